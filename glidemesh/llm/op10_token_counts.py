@@ -6,6 +6,7 @@ import os
 import re
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -44,14 +45,38 @@ class WordCounts(dict):
         if _SEPARATORS.search(text):
             return len(self.tok.encode(text, add_special_tokens=False))
         words = text.split()
-        new = list(set(words).difference(self.keys()))
+        new = [w for w in set(words) if w not in self]
         if new:
             if len(self) + len(new) > MEMO_WORDS:
                 self.clear()
                 new = list(set(words))
-            self.update(zip(new, map(len, self.tok.encode_batch_fast(new, add_special_tokens=False))))
+            self.learn(new)
         return sum(map(self.__getitem__, words))
 
+    def learn(self, words: list[str]) -> None:
+        """Count words; a plain one is its lower-case stem and, a pre-token of its own, its stops."""
+        split = [(w, *_stem(w)) for w in words]
+        new = [x for x in {x for _, *both in split for x in both if x} if x not in self]
+        self.update(zip(new, self.each(new)))
+        self[""] = 0
+        self.update([(w, self[a] + self[b]) for w, a, b in split])
+
+    def each(self, words: list[str]) -> list[int]:
+        """Tokens of each word, by offsets in one encoding of them all with spaces between."""
+        if not words:
+            return []
+        starts = np.array([a for a, _ in self.tok.encode(" ".join(words), add_special_tokens=False).offsets])
+        ends = np.cumsum([len(w) + 1 for w in words])
+        return np.diff(np.searchsorted(starts, ends), prepend=0).tolist()
+
+
+def _stem(word: str) -> tuple[str, str]:
+    if word.isascii():
+        stem = word.rstrip(".,;:!?")
+        if stem and stem[-1].isalpha():
+            return stem.lower(), word[len(stem) :]
+    return word, ""
+
 
 @lru_cache(maxsize=2)
 def word_counts(path: str) -> WordCounts:
