@@ -188,9 +188,9 @@ def near_duplicates(df: DataFrame, p: NearDupParams = NearDupParams(), id_col: s
     2. Nodes that share a band key are candidates. In each bucket all members are compared with one
        centre, the member that most others of its buckets agree with: as many pairs as members.
     3. Links are confirmed on the full sets and closed to components. Only in buckets whose members
-       are not yet all in one component, members of different components are paired, unless their
-       sizes, the number of bands they share or the joint estimate rule a link out; these pairs too
-       are confirmed on the full sets.
+       are not yet all in one component, members of different components are paired if what they
+       lack of the centre and add to it leaves a link possible (see ``apart``) and the joint
+       estimate does not rule it out; these pairs too are confirmed on the full sets.
 
     Pairs inside a component add nothing to it, so the components are those of all confirmed links
     among candidates. Texts without words are linked with nothing. Rows without an id take no part:
@@ -220,7 +220,6 @@ def near_duplicates(df: DataFrame, p: NearDupParams = NearDupParams(), id_col: s
     )
     starred = member.join(centre, "key")
     stars = starred.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    stars = saved(likely(stars, nodes, p), f"{at}/stars")
 
     # the full sets, of candidates only
     wanted = member.select("node").distinct().join(nodes.select("node", "rep"), "node")
@@ -244,25 +243,11 @@ def near_duplicates(df: DataFrame, p: NearDupParams = NearDupParams(), id_col: s
     tagged = starred.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     rest = saved(
-        tagged.join(mixed, "key")
-        .join(nodes.select("node", "regs"), "node")
-        .select("key", "node", "component", "n_shingles", _as_longs("regs").alias("r")),
-        f"{at}/rest",
+        tagged.join(mixed, "key").where("node <> centre").select("key", "node", "centre", "component"), f"{at}/rest"
     )
-    one, two = rest.alias("x"), rest.alias("y")
-    same = " + ".join(f"if(x.r[{i}] = y.r[{i}], 1, 0)" for i in range(p.bands))
-    pairs = (
-        one.join(
-            two,
-            (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.component") < F.col("y.component"))
-            & (F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * p.percent)
-            & F.expr(f"({same}) >= {_least_equal_bands(p)}"),
-        )
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
-    pairs = saved(likely(pairs, nodes, p), f"{at}/pairs")
+    edges = rest.select(F.col("node").alias("a"), F.col("centre").alias("b"), "component").distinct()
+    delta = saved(deltas(edges, sets), f"{at}/delta")
+    pairs = saved(likely(apart(rest, delta, nodes, p), nodes, p), f"{at}/pairs")
     final = saved(components(links.union(linked(pairs, sets, p))), f"{at}/final")
 
     place = nodes.select("node", "rep").join(final.withColumnRenamed("id", "node"), "node", "left")
@@ -282,9 +267,61 @@ def near_duplicates(df: DataFrame, p: NearDupParams = NearDupParams(), id_col: s
     return out.unionByName(no_id)
 
 
-def _as_longs(col: str) -> "F.Column":
-    """A hash for each band of four 16-bit registers."""
-    return F.expr(f"transform(sequence(0, cast(length(hex({col})) / 16 as int) - 1), i -> hash(substring(hex({col}), i * 16 + 1, 16)))")
+def deltas(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each ``(a, b, component)``: b's size, how many items of b are not in a, and a's own items."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for x, y in zip(pdf.s_a, pdf.s_b):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                own = np.setdiff1d(x, y, assume_unique=True)
+                rows.append((len(y), len(y) - len(x) + len(own), len(own), own.view(np.int64)))
+            out = pd.DataFrame(rows, columns=["size", "gone", "added", "own"])
+            yield pd.concat([pdf[["a", "b", "component"]].reset_index(drop=True), out], axis=1)
+
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias("s_" + x))
+    return (
+        edges.join(side("a"), "a")
+        .join(side("b"), "b")
+        .mapInPandas(run, "a binary, b binary, component binary, size long, gone long, added long, own array<long>")
+    )
+
+
+def apart(rest: DataFrame, delta: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
+    """Pairs of bucket members in different components that can still be linked.
+
+    Two sets x and y are told apart by what each lacks of their bucket's centre c and what it adds.
+    With t the number of lacking and added items that they share, they are linked only if
+    (100 + P) t >= 100 (gone_x + gone_y) + P (added_x + added_y) - (100 - P) |c|. So either they
+    share an added item, found by an equi-join on these; or t is at most the smaller ``gone``, and
+    the numbers alone must allow that. Variants of one text that lack and add like amounts never
+    pass the second way unless they are linked to the centre, so no group is paired with itself.
+    """
+    own = delta.select("a", "component", F.explode("own").alias("item"), "b").select(
+        F.xxhash64("b", "item").alias("k"), F.col("a").alias("node"), "component"
+    )
+    x, y = own.alias("x"), own.alias("y")
+    by_item = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.component") < F.col("y.component")))
+    same = " + ".join(f"if(x.r[{i}] = y.r[{i}], 1, 0)" for i in range(p.bands))
+    sized = (
+        rest.join(delta.select(F.col("a").alias("node"), F.col("b").alias("centre"), "size", "gone", "added"), ["node", "centre"])
+        .join(nodes.select("node", F.col("keys").alias("r")), "node")
+        .where(f"{100 + p.percent} * gone >= 100 * gone + {p.percent} * added - {100 - p.percent} * size")
+    )
+    x, y = sized.alias("x"), sized.alias("y")
+    by_size = x.join(
+        y,
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.component") < F.col("y.component"))
+        & F.expr(
+            f"{100 + p.percent} * least(x.gone, y.gone) >= 100 * (x.gone + y.gone) + {p.percent} * (x.added + y.added)"
+            f" - {100 - p.percent} * x.size"
+        )
+        & F.expr(f"({same}) >= {_least_equal_bands(p)}"),
+    )
+    pick = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]
+    return by_item.select(*pick).union(by_size.select(*pick)).distinct()
 
 
 def _least_equal_bands(p: NearDupParams) -> int:
