@@ -18,7 +18,7 @@ def sf(spark, tmp_path_factory):
     words = "one two three four five six seven eight nine ten eleven twelve thirteen".split()
     near = [rng.choice(words) + str(rng.randint(0, 99)) for _ in range(150)]
     for k in range(5):
-        rows.append((1000 + k, " ".join(near[:-1] + [f"end{k}"]), "en", "s1", 1))
+        rows.append((1000 + k, " ".join(near[:-1] + [["alpha", "bravissimo", "charlemagne", "delta", "echo"][k] * 2]), "en", "s1", 1))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(d / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
     return str(d), toxic
