@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glidemesh.llm.common import components, saved, shared_dir, table
@@ -242,12 +242,10 @@ def near_duplicates(df: DataFrame, p: NearDupParams = NearDupParams(), id_col: s
     comp = saved(components(links), f"{at}/comp")
     tagged = starred.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = saved(
-        tagged.join(mixed, "key").where("node <> centre").select("key", "node", "centre", "component"), f"{at}/rest"
-    )
+    rest = tagged.join(mixed, "key").where("node <> centre")
     edges = rest.select(F.col("node").alias("a"), F.col("centre").alias("b"), "component").distinct()
     delta = saved(deltas(edges, sets), f"{at}/delta")
-    pairs = saved(likely(apart(rest, delta, nodes, p), nodes, p), f"{at}/pairs")
+    pairs = saved(likely(apart(delta, p), nodes, p), f"{at}/pairs")
     final = saved(components(links.union(linked(pairs, sets, p))), f"{at}/final")
 
     place = nodes.select("node", "rep").join(final.withColumnRenamed("id", "node"), "node", "left")
@@ -268,71 +266,51 @@ def near_duplicates(df: DataFrame, p: NearDupParams = NearDupParams(), id_col: s
 
 
 def deltas(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """For each ``(a, b, component)``: b's size, how many items of b are not in a, and a's own items."""
+    """For each ``(a, b, component)``: b's size, the items of b that a lacks, those a has besides."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for x, y in zip(pdf.s_a, pdf.s_b):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                own = np.setdiff1d(x, y, assume_unique=True)
-                rows.append((len(y), len(y) - len(x) + len(own), len(own), own.view(np.int64)))
-            out = pd.DataFrame(rows, columns=["size", "gone", "added", "own"])
+                gone, own = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                rows.append((len(y), len(gone), len(own), np.concatenate([gone, own]).view(np.int64)))
+            out = pd.DataFrame(rows, columns=["size", "gone", "added", "items"])
             yield pd.concat([pdf[["a", "b", "component"]].reset_index(drop=True), out], axis=1)
 
     side = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias("s_" + x))
     return (
         edges.join(side("a"), "a")
         .join(side("b"), "b")
-        .mapInPandas(run, "a binary, b binary, component binary, size long, gone long, added long, own array<long>")
+        .mapInPandas(run, "a binary, b binary, component binary, size long, gone long, added long, items array<long>")
     )
 
 
-def apart(rest: DataFrame, delta: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
-    """Pairs of bucket members in different components that can still be linked.
+def apart(delta: DataFrame, p: NearDupParams) -> DataFrame:
+    """Pairs of nodes with a common centre, in different components, that can still be linked.
 
-    Two sets x and y are told apart by what each lacks of their bucket's centre c and what it adds.
-    With t the number of lacking and added items that they share, they are linked only if
-    (100 + P) t >= 100 (gone_x + gone_y) + P (added_x + added_y) - (100 - P) |c|. So either they
-    share an added item, found by an equi-join on these; or t is at most the smaller ``gone``, and
-    the numbers alone must allow that. Variants of one text that lack and add like amounts never
-    pass the second way unless they are linked to the centre, so no group is paired with itself.
+    Two sets x and y are told apart by the items they lack of their centre c or add to it. With t
+    such items in common, gone and added ones alike, they are linked only if
+    (100 + P) t >= far_x + far_y + (100 - P) |c|, far = 100 gone + P added - (100 - P) |c|; far is
+    positive just for nodes not linked to c, and one of the two is such. So t is at least 1, and
+    mostly a large share of the smaller difference. The differences are joined on their items,
+    each ordered from the rarest item to the commonest: a pair is made only at items after which
+    both still have enough. What all variants of a text have in common comes last and makes none.
     """
-    own = delta.select("a", "component", F.explode("own").alias("item"), "b").select(
-        F.xxhash64("b", "item").alias("k"), F.col("a").alias("node"), "component"
-    )
-    x, y = own.alias("x"), own.alias("y")
-    by_item = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.component") < F.col("y.component")))
-    same = " + ".join(f"if(x.r[{i}] = y.r[{i}], 1, 0)" for i in range(p.bands))
-    sized = (
-        rest.join(delta.select(F.col("a").alias("node"), F.col("b").alias("centre"), "size", "gone", "added"), ["node", "centre"])
-        .join(nodes.select("node", F.col("keys").alias("r")), "node")
-        .where(f"{100 + p.percent} * gone >= 100 * gone + {p.percent} * added - {100 - p.percent} * size")
-    )
-    x, y = sized.alias("x"), sized.alias("y")
-    by_size = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.component") < F.col("y.component"))
-        & F.expr(
-            f"{100 + p.percent} * least(x.gone, y.gone) >= 100 * (x.gone + y.gone) + {p.percent} * (x.added + y.added)"
-            f" - {100 - p.percent} * x.size"
-        )
-        & F.expr(f"({same}) >= {_least_equal_bands(p)}"),
-    )
-    pick = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]
-    return by_item.select(*pick).union(by_size.select(*pick)).distinct()
-
-
-def _least_equal_bands(p: NearDupParams) -> int:
-    """The most bands of which a pair at the threshold shares fewer with a chance below 1e-5."""
-    from math import comb
-
-    q = (p.percent / 100) ** p.rows
-    below, t = 0.0, 0
-    while t < p.bands and (below := below + comb(p.bands, t) * q**t * (1 - q) ** (p.bands - t)) < 1e-5:
-        t += 1
-    return max(1, t)
+    one = delta.withColumn("far", F.expr(f"100 * gone + {p.percent} * added - {100 - p.percent} * size"))
+    each = one.select(
+        F.col("a").alias("node"), "b", "component", "far", "size", F.explode("items").alias("item")
+    ).withColumn("k", F.xxhash64("b", "item"))
+    often = each.groupBy("k").agg(F.count("*").alias("often"))
+    each = each.join(often, "k")
+    after = F.row_number().over(Window.partitionBy("node", "b").orderBy(F.desc("often"), "k"))
+    least = F.expr(f"if(far > 0, far, far + {100 - p.percent} * size)")
+    each = each.withColumn("after", after).where((F.col("often") > 1) & (F.col("after") * (100 + p.percent) >= least))
+    each = each.select("k", "node", "component", "far", "size", "after")
+    x, y = each.alias("x"), each.alias("y")
+    enough = F.expr(f"{100 + p.percent} * least(x.after, y.after) >= x.far + y.far + {100 - p.percent} * x.size")
+    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.component") < F.col("y.component")) & enough)
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
