@@ -18,6 +18,8 @@ class LineParams:
     near_chars: int = 24  # shorter lines are only matched exactly
     least_chars: int = 10  # shorter lines are left alone
     broadcast_ids: int = 500_000  # candidate line ids, 8 bytes each, that are broadcast; more are joined by shuffle
+    hot_members: int = 32  # lines under one key from which their letter counts are compared first
+    letters: str = "etaoinshrdlucmfwypvbgk .,"
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -96,6 +98,17 @@ def probe_keys(edits: int) -> str:
     return f"array({', '.join(keys)})"
 
 
+def _meet(index: DataFrame, probes: DataFrame, also: "F.Column") -> DataFrame:
+    """Pairs ``(a, b)`` of lines that an index key brings together with another index key or a probe."""
+    x, y = index.alias("x"), index.alias("y")
+    level = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h1") < F.col("y.h1")) & also)
+    z = probes.alias("y")
+    other = x.join(z, (F.col("x.key") == F.col("y.key")) & (F.col("x.h1") != F.col("y.h1")) & also)
+    return level.select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b")).union(
+        other.select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b"))
+    )
+
+
 def lines_of(docs: DataFrame, p: LineParams) -> DataFrame:
     """``(uid, doc_id, line_no, line, h1, h2)`` of lines that may be dropped; h1, h2: 128 bits of hash."""
     each = docs.select("uid", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
@@ -119,8 +132,10 @@ def line_classes(df: DataFrame, p: LineParams = LineParams(), id_col: str = "doc
 
     Each distinct line is split into ``edits`` + 1 segments, of which one at least survives so many
     edits, and looked up under substrings of fitting lengths and places; copies are put together
-    before, so a line that a third of all texts hold is looked up once. All candidates are verified
-    by banded bit-parallel edit distance on whole lines.
+    before, so a line that a third of all texts hold is looked up once. Under keys of more than
+    ``hot_members`` lines a pair is only made if the counts of ``letters`` differ by two an edit at
+    most, which no link exceeds. All candidates are verified by banded bit-parallel edit distance
+    on whole lines.
     """
     at = shared_dir(df.sparkSession)
     lines = lines_of(with_uid(df, id_col, text_col), p)
@@ -132,13 +147,16 @@ def line_classes(df: DataFrame, p: LineParams = LineParams(), id_col: str = "doc
     if p.edits:
         keyed = lambda sql: long.select(F.explode(F.expr(sql)).alias("key"), "h1")
         index, probes = keyed(index_keys(p.edits)), keyed(probe_keys(p.edits))
-        x, y = index.alias("x"), index.alias("y")
-        level = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h1") < F.col("y.h1")))
-        z = probes.alias("z")
-        other = x.join(z, (F.col("x.key") == F.col("z.key")) & (F.col("x.h1") != F.col("z.h1")))
-        both = level.select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b")).union(
-            other.select(F.least("x.h1", "z.h1").alias("a"), F.greatest("x.h1", "z.h1").alias("b"))
-        )
+        hot = saved(index.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {p.hot_members}").select("key"), f"{at}/hot")
+        small = hot.count() <= p.broadcast_ids
+        hot = F.broadcast(hot) if small else hot
+        both = _meet(index.join(hot, "key", "left_anti"), probes, F.lit(True))
+        # under hot keys only pairs whose letter counts allow so few edits are made
+        counts = ", ".join(f"length(low) - length(replace(low, '{c}', ''))" for c in p.letters)
+        counted = long.withColumn("low", F.lower("line")).select("h1", F.expr(f"array({counts})").alias("c"))
+        with_counts = lambda rows: rows.join(hot, "key", "left_semi").join(counted, "h1")
+        apart = "aggregate(zip_with(x.c, y.c, (s, t) -> abs(s - t)), 0, (s, v) -> s + v)"
+        both = both.union(_meet(with_counts(index), with_counts(probes), F.expr(f"{apart} <= {2 * p.edits}")))
         candidates = saved(both.distinct(), f"{at}/candidates")
         ids = candidates.select(F.col("a").alias("h1")).union(candidates.select("b")).distinct()
         if ids.count() <= p.broadcast_ids:

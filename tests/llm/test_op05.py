@@ -63,9 +63,9 @@ def brute(rows, p):
     return {(d, n): (first[find(line)] != (d, n), first[find(line)][0]) for d, n, line in places}
 
 
-@pytest.mark.parametrize("edits", [0, 1, 2, 3])
-def test_same_lines_dropped_as_by_all_pairs(spark, edits):
-    rows, p = corpus(), op.LineParams(edits=edits)
+@pytest.mark.parametrize("edits,hot", [(0, 32), (1, 32), (2, 32), (2, 1), (3, 2)])
+def test_same_lines_dropped_as_by_all_pairs(spark, edits, hot):
+    rows, p = corpus(), op.LineParams(edits=edits, hot_members=hot)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, line string")
     got = op.dropped_lines(df, p).collect()
     want = brute(rows, p)
