@@ -145,18 +145,17 @@ def line_classes(df: DataFrame, p: LineParams = LineParams(), id_col: str = "doc
     )
     long = distinct.select("h1", "line", F.length("line").alias("n")).where(f"n >= {p.near_chars}")
     if p.edits:
-        keyed = lambda sql: long.select(F.explode(F.expr(sql)).alias("key"), "h1")
+        keyed = lambda sql: long.select(F.explode(F.expr(sql)).alias("key"), "h1", "line")
         index, probes = keyed(index_keys(p.edits)), keyed(probe_keys(p.edits))
-        hot = saved(index.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {p.hot_members}").select("key"), f"{at}/hot")
-        small = hot.count() <= p.broadcast_ids
-        hot = F.broadcast(hot) if small else hot
-        both = _meet(index.join(hot, "key", "left_anti"), probes, F.lit(True))
-        # under hot keys only pairs whose letter counts allow so few edits are made
-        counts = ", ".join(f"length(low) - length(replace(low, '{c}', ''))" for c in p.letters)
-        counted = long.withColumn("low", F.lower("line")).select("h1", F.expr(f"array({counts})").alias("c"))
-        with_counts = lambda rows: rows.join(hot, "key", "left_semi").join(counted, "h1")
+        hot = index.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {p.hot_members}")
+        hot = saved(hot.select("key", F.lit(True).alias("hot")), f"{at}/hot")
+        if hot.count() <= p.broadcast_ids:
+            hot = F.broadcast(hot)
+        # letters are only counted where a key is hot
+        counts = ", ".join(f"length(lower(line)) - length(replace(lower(line), '{c}', ''))" for c in p.letters)
+        with_counts = lambda rows: rows.join(hot, "key", "left").select("key", "h1", F.expr(f"if(hot, array({counts}), null)").alias("c"))
         apart = "aggregate(zip_with(x.c, y.c, (s, t) -> abs(s - t)), 0, (s, v) -> s + v)"
-        both = both.union(_meet(with_counts(index), with_counts(probes), F.expr(f"{apart} <= {2 * p.edits}")))
+        both = _meet(with_counts(index), with_counts(probes), F.expr(f"x.c is null or {apart} <= {2 * p.edits}"))
         candidates = saved(both.distinct(), f"{at}/candidates")
         ids = candidates.select(F.col("a").alias("h1")).union(candidates.select("b")).distinct()
         if ids.count() <= p.broadcast_ids:
