@@ -88,12 +88,19 @@ class ShardStore:
 
     def _measured(self, folder: str, origin: str) -> DataFrame:
         """Manifest rows of the files in a folder: footers are read, not the rows."""
-        rows = self.spark.read.parquet(folder).groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+        rows = self._files(folder).groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
         tier = F.floor(F.log(F.greatest(F.col("bytes") / self.p.least_bytes, F.lit(1.0))) / F.log(F.lit(float(self.p.fanout))))
         return rows.agg(F.count("*").alias("n_rows")).select("path", "bytes", "n_rows", tier.cast("int").alias("tier"), F.lit(origin).alias("origin"))
 
+    def _files(self, *folders: str) -> DataFrame:
+        """All files below some folders; the names of folders in between are no columns."""
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(*folders)
+
     def append(self, df: DataFrame, by: str | None = None) -> int:
-        """Write arrivals as new shards where the rows are, a file a task (and value of ``by``)."""
+        """Write arrivals as new shards where the rows are, a file a task (and value of ``by``).
+
+        ``by`` only deals rows to files; it is not kept as a column.
+        """
         base, name = self.version(), uuid.uuid4().hex
         if not df.take(1):
             return base
@@ -135,7 +142,7 @@ class ShardStore:
         groups = plan.select("grp").distinct().count()
         at = f"{self.folder}/data/{uuid.uuid4().hex}"
         # only the folders that the plan names are listed; the files come from a join on their paths
-        rows = self.spark.read.parquet(*self._folders(plan)).withColumn("_path", F.col("_metadata.file_path"))
+        rows = self._files(*self._folders(plan)).withColumn("_path", F.col("_metadata.file_path"))
         chosen = plan.select(F.col("path").alias("_path"), F.col("grp").alias("_grp"))
         if n <= self.p.broadcast_shards:
             chosen = F.broadcast(chosen)
@@ -169,7 +176,7 @@ class ShardStore:
         """The rows of a version, with ``_shard``, the file each stands in."""
         shards = self.manifest(version)
         folders = self._folders(shards)
-        rows = self.spark.read.parquet(*folders).withColumn("_shard", F.col("_metadata.file_path"))
+        rows = self._files(*folders).withColumn("_shard", F.col("_metadata.file_path"))
         live = shards.select(F.col("path").alias("_shard"))
         return rows.join(live, "_shard", "left_semi")
 

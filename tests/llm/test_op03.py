@@ -48,3 +48,13 @@ def test_empty_and_query(spark, tmp_path):
 def test_query_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert op.query(spark, str(tmp_path)).count() == 0
+
+
+def test_dealt_arrivals_beside_merged_shards(spark, tmp_path):
+    s = store(spark, tmp_path)
+    s.append(rows(spark, 0, 90).withColumn("part", __import__("pyspark").sql.functions.expr("doc_id % 4")), by="part")
+    s.settle()
+    s.append(rows(spark, 90, 100).withColumn("part", __import__("pyspark").sql.functions.expr("doc_id % 2")), by="part")
+    assert {r.origin for r in s.manifest().collect()} == {"arrival", "merged"}
+    got = s.read().select("doc_id", "text", "_n").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, rows(spark, 0, 100).collect()))
