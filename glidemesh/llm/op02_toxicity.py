@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -76,12 +77,14 @@ def _compressor(dictionary: bytes) -> zs.ZstdCompressor:
     return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(dictionary), compression_params=params)
 
 
-def _contexts(texts: list[list[bytes]]) -> dict[bytes, int]:
-    """Number of distinct words that stand before each word: copies of a text count once."""
+def _contexts(texts: list[str], only: set[bytes] | None = None) -> dict[bytes, int]:
+    """Number of distinct words that stand before each word (of ``only``): copies count once."""
     seen: dict[bytes, set[bytes]] = {}
-    for ws in texts:
+    for text in texts:
+        ws = windows(text)
         for before, w in zip([b"", *ws], ws):
-            seen.setdefault(w, set()).add(before)
+            if only is None or w in only:
+                seen.setdefault(w, set()).add(before)
     return {w: len(v) for w, v in seen.items()}
 
 
@@ -117,21 +120,18 @@ def train(toxic: list[str], ordinary: list[str], base_rate: float, p: ToxicityPa
     The toxic dictionary is trained on those windows of toxic texts that are much likelier there
     than in ordinary texts, judged by the contexts they appear in.
     """
-    pos, neg = ([windows(t) for t in texts] for texts in (toxic, ordinary))
-    a, b = (max(1, int(len(x) * p.fit_share)) for x in (pos, neg))
-    in_pos, in_neg = _contexts(pos[:a]), _contexts(neg[:b])
+    a, b = (max(1, int(len(x) * p.fit_share)) for x in (toxic, ordinary))
     least = max(3, round(0.004 * a))
-    telling = {
-        w
-        for w, n in in_pos.items()
-        if n >= least and len(w) >= 3 and np.log((n + 0.5) / (a + 1)) - np.log((in_neg.get(w, 0) + 0.5) / (b + 1)) >= p.contrast
-    }
+    in_pos = {w: n for w, n in _contexts(toxic[:a]).items() if n >= least and len(w) >= 3}
+    in_neg = _contexts(ordinary[:b], set(in_pos))
+    odds = lambda n, of: np.log((n + 0.5) / (of + 1))
+    telling = {w for w, n in in_pos.items() if odds(n, a) - odds(in_neg.get(w, 0), b) >= p.contrast}
     framed = lambda w: ANCHOR + b" " + w + b" "
-    plain = [w for ws in neg[:b] for w in ws]
-    every = max(1, len(plain) // p.ordinary_windows)
+    every = max(1, sum(len(windows(t)) for t in ordinary[:b]) // p.ordinary_windows)
+    plain = islice((w for t in ordinary[:b] for w in windows(t)), 0, None, every)
     draft = ToxicityModel(
-        _train([framed(w) for ws in pos[:a] for w in ws if w in telling], p.dict_bytes),
-        _train([framed(w) for w in plain[::every]], p.dict_bytes),
+        _train([framed(w) for t in toxic[:a] for w in windows(t) if w in telling], p.dict_bytes),
+        _train([framed(w) for w in plain], p.dict_bytes),
         (),
     )
     gain = Distance(draft, p.memo_windows)
