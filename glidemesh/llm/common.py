@@ -42,6 +42,14 @@ def saved(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Hand Python workers at most ``rows`` rows at once, so that a batch of long texts stays small
+    on both sides of the pipe. It is a setting of the session; a smaller one is left as it is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names, so no other column can clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

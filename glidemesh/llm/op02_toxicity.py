@@ -34,7 +34,7 @@ class ToxicityParams:
     ordinary_windows: int = 60_000
     contrast: float = 3.0  # log odds from which a window tells the classes apart
     threshold: float = 0.3
-    memo_windows: int = 500_000
+    memo_windows: int = 100_000  # lengths a Python worker keeps; beyond, they are computed again
 
 
 @dataclass(frozen=True)
