@@ -128,3 +128,30 @@ def norm_space(c) -> Column:
 
 def extract_codes(c, pattern: str = r"\b(L[FSO][A-Z]{2})\b") -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(c), F.lit(pattern), F.lit(1))))
+
+
+#: Names of countries that the first two letters would get wrong, and media files.
+COUNTRY_NAMES = {
+    "FRANCE": "FR", "SWITZERLAND": "CH", "SCHWEIZ": "CH", "SUISSE": "CH", "ITALY": "IT", "ITALIA": "IT",
+    "SPAIN": "ES", "ESPAÑA": "ES", "ESPANA": "ES", "ESPAGNE": "ES",
+}
+MEDIA_FILES = r"(?i)\.(jpg|jpeg|png|webp|pdf)$"
+MINTED = r"_M?\d+P\d+_M?\d+P\d+$"
+
+
+def norm_country(c) -> Column:
+    """A country's code from its code or name."""
+    up = F.upper(clean(c))
+    names = F.create_map(*[F.lit(x) for kv in COUNTRY_NAMES.items() for x in kv])
+    return F.coalesce(names[up], F.substring(up, 1, 2))
+
+
+def display_code(c) -> Column:
+    """A code as shown: one that was made from a position is not."""
+    return F.when(F.regexp_like(c, F.lit(MINTED)), "").otherwise(F.coalesce(c, F.lit("")))
+
+
+def media_refs(c) -> Column:
+    """Base names of the media files listed in a text."""
+    parts = F.filter(F.split(c, r"[;|,\s]+"), lambda x: F.regexp_like(x, F.lit(MEDIA_FILES)))
+    return F.transform(parts, lambda x: F.substring_index(F.replace(x, F.lit("\\"), F.lit("/")), "/", -1))
