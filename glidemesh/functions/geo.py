@@ -10,10 +10,10 @@ C = F.col
 
 
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance in metres on a sphere."""
+    """Great-circle distance in metres on a sphere; null where a coordinate is."""
     la1, lo1, la2, lo2 = (F.radians(x) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((la2 - la1) / 2), 2) + F.cos(la1) * F.cos(la2) * F.pow(F.sin((lo2 - lo1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def bearing_deg(lat1, lon1, lat2, lon2) -> Column:

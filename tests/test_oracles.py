@@ -1,11 +1,11 @@
 import pytest
 
-from glidemesh.plans import matching, packs, sites
+from glidemesh.plans import matching, packs, records, sites
 from tests.oracle import rows_of_duckdb, rows_of_spark
 
 SF = "/root/testdata/sf0.001"
-ALL = {**sites.ORACLES, **packs.ORACLES, **matching.ORACLES}
-RUN = {**sites.QUERIES, **packs.QUERIES, **matching.QUERIES}
+ALL = {**sites.ORACLES, **packs.ORACLES, **matching.ORACLES, **records.ORACLES}
+RUN = {**sites.QUERIES, **packs.QUERIES, **matching.QUERIES, **records.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(ALL))
