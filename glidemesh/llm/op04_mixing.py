@@ -13,7 +13,7 @@ from glidemesh.llm.common import table
 @dataclass(frozen=True)
 class MixParams:
     block_bytes: int = 65_536
-    period: int = 1_000  # slots of a period; a source's weight is a whole number of them
+    period: int = 1_000  # slots of a period, more for more sources; a source's weight is a whole number of them
     bucket_rows: int = 2_000  # rows of a source that are put in order together
 
 
@@ -21,12 +21,13 @@ def default_weights(totals: DataFrame, period: int) -> DataFrame:
     """``(source, parts)``: weights as the square root of each source's bytes, in parts of a period.
 
     Every source gets one part, the rest go by largest remainder. Whole numbers throughout, so the
-    parts add up to the period exactly.
+    parts add up to the period exactly. Where there are more sources than ``period``, the period is
+    its least multiple of two slots a source or more, so no source is left without a part.
     """
     every = Window.partitionBy()
     root = F.floor(F.sqrt(F.col("bytes").cast("double"))).cast("long") + 1
-    q = totals.select("source", root.alias("q"))
-    left = F.lit(period).cast("long") - F.count("*").over(every)
+    q = totals.select("source", root.alias("q")).withColumn("k", F.count("*").over(every))
+    left = F.expr(f"if(k > {period}, (2 * k + {period - 1}) div {period} * {period}, {period}L) - k")
     q = q.withColumn("all_q", F.sum("q").over(every)).withColumn("room", left)
     q = q.select("source", "room", F.expr("room * q div all_q").alias("whole"), F.expr("room * q % all_q").alias("frac"))
     rank = F.row_number().over(Window.orderBy(F.desc("frac"), "source"))

@@ -45,3 +45,13 @@ def test_edges(spark):
     given = spark.createDataFrame([("x", 1), ("y", 1), (None, 2)], "source string, parts int")
     assert op.mix(df, given).count() == 6
     assert op.mix(df.limit(0)).count() == 0
+
+
+def test_more_sources_than_slots_lose_no_row(spark):
+    rows = [(i, f"s{i}", 1_000_000) for i in range(1, 1_200)] + [(10_000 + i, "hot", 100_000_000) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    got = op.mix(df, size=df.n).collect()
+    assert sorted((r.doc_id, r.source) for r in got) == sorted((i, s) for i, s, _ in rows)
+    assert all(r.release <= r.slot < r.due for r in got)
+    parts = op.default_weights(df.groupBy("source").agg({"n": "sum"}).toDF("source", "bytes"), 1_000).collect()
+    assert sum(r.parts for r in parts) == 3_000 and max(parts, key=lambda r: r.parts).source == "hot"
