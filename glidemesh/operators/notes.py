@@ -26,8 +26,8 @@ def segments(df: DataFrame) -> DataFrame:
 
 
 def memory(conversations: DataFrame) -> DataFrame:
-    """``(norm, translation)`` from the lines of every second conversation."""
-    lines = conversations.where("conv_id % 2 = 0").select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    """``(norm, translation)`` from the lines of all conversations."""
+    lines = conversations.select(F.explode(F.split("text", "\n", -1)).alias("line"))
     return lines.select(F.trim("line").alias("norm")).distinct().withColumn("translation", F.upper("norm"))
 
 
@@ -52,3 +52,71 @@ def misses(df: DataFrame, tm: DataFrame, budget: int) -> DataFrame:
     near = sums.select("block", before.alias("before")).where(F.col("before") <= budget)
     run = F.sum("chars").over(Window.partitionBy("block").orderBy("first"))
     return one.join(near, "block").select("first", "chars", (F.col("before") + run).alias("total")).where(F.col("total") <= budget)
+
+
+#: 'Label: value': a label of 24 characters at most, without a colon.
+LABEL = r"^([^:]{1,24}):\s+(\S.*)$"
+
+
+def norm_space(text: "F.Column") -> "F.Column":
+    return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+
+
+def parts(df: DataFrame) -> DataFrame:
+    """``(note_id, pos, part, mark, value)``: what is looked up of each line; a label and its value apart."""
+    both = F.array(F.concat(F.regexp_extract("value", LABEL, 1), F.lit(":")), F.regexp_extract("value", LABEL, 2))
+    each = F.when(F.col("value").rlike(LABEL), both).otherwise(F.array("value"))
+    return segments(df).select("note_id", "pos", "mark", F.posexplode(each).alias("part", "value"))
+
+
+def translate_notes(df: DataFrame, tm: DataFrame, langs: list[str]) -> DataFrame:
+    """``(note_id, lang, text, whole, hits, fallbacks)`` of every note in every target language.
+
+    A note that ``tm(lang, norm, translation)`` holds as a whole takes that translation; of others
+    each line's parts are looked up, those without a translation stay as they are, and the lines
+    are put together again in order. A null note has no row.
+    """
+    known = tm.where("norm <> ''")
+    every = F.explode(F.array(*map(F.lit, langs)))
+    notes = df.where("text is not null").select("note_id", "text", every.alias("lang")).withColumn("norm", norm_space(F.col("text")))
+    looked = notes.join(known, ["lang", "norm"], "left")
+    whole = looked.where("translation is not null").select(
+        "note_id", "lang", F.col("translation").alias("text"), F.lit(True).alias("whole"), F.lit(1).cast("long").alias("hits"), F.lit(0).cast("long").alias("fallbacks")
+    )
+    each = parts(df).withColumn("lang", every).withColumn("norm", norm_space(F.col("value")))
+    each = each.join(whole.select("note_id", "lang"), ["note_id", "lang"], "left_anti").join(known, ["lang", "norm"], "left")
+    line = each.groupBy("note_id", "lang", "pos").agg(
+        F.first("mark").alias("mark"),
+        F.sort_array(F.collect_list(F.struct("part", F.coalesce("translation", "value").alias("t")))).alias("p"),
+        F.count("translation").alias("hits"),
+        F.count_if(F.col("translation").isNull() & (F.col("value") != "")).alias("fallbacks"),
+    )
+    line = line.withColumn("line", F.concat("mark", F.array_join("p.t", " ")))
+    rest = line.groupBy("note_id", "lang").agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("pos", "line")))["line"], "\n").alias("text"),
+        F.lit(False).alias("whole"), F.sum("hits").alias("hits"), F.sum("fallbacks").alias("fallbacks"),
+    )
+    return whole.unionByName(rest)
+
+
+def lang_misses(df: DataFrame, tm: DataFrame, langs: list[str], budget: int) -> DataFrame:
+    """``(lang, first, chars, total)``: distinct parts without translation in a target language, in
+    reading order, while their characters fit the budget. Notes known as a whole need none of theirs."""
+    known = tm.where("norm <> ''").select("lang", "norm")
+    every = F.explode(F.array(*map(F.lit, langs)))
+    whole = df.select("note_id", every.alias("lang"), norm_space(F.col("text")).alias("norm")).join(known, ["lang", "norm"], "left_semi")
+    each = parts(df).where("value <> ''").withColumn("lang", every).withColumn("norm", norm_space(F.col("value")))
+    each = each.join(whole.select("note_id", "lang"), ["note_id", "lang"], "left_anti").join(known, ["lang", "norm"], "left_anti")
+    one = each.groupBy("lang", "norm").agg(F.min(F.struct("note_id", "pos", "part")).alias("first")).select("lang", "first", F.length("norm").cast("long").alias("chars"))
+    one = one.withColumn("block", F.floor(F.col("first.note_id") / 1000))
+    sums = one.groupBy("block").agg(F.sum("chars").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = sums.select("block", before.alias("before")).where(F.col("before") <= budget)
+    run = F.sum("chars").over(Window.partitionBy("block").orderBy("first", "lang"))
+    out = one.join(near, "block").withColumn("total", F.col("before") + run).where(F.col("total") <= budget)
+    return out.select("lang", "first.note_id", "first.pos", "first.part", "chars", "total")
+
+
+def tm_merge(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The union of two memories ``(lang, norm, translation)``; what is held already stays."""
+    return current.unionByName(incoming.dropDuplicates(["lang", "norm"]).join(current, ["lang", "norm"], "left_anti"))
