@@ -71,7 +71,8 @@ class WordCounts(dict):
 
 
 def _stem(word: str) -> tuple[str, str]:
-    if word.isascii():
+    # special strings are matched before the text is lower-cased
+    if word.isascii() and "<|" not in word:
         stem = word.rstrip(".,;:!?")
         if stem and stem[-1].isalpha():
             return stem.lower(), word[len(stem) :]

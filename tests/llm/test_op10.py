@@ -36,3 +36,10 @@ def test_query(spark, tmp_path):
     assert got == {1: (2048, False), 2: (2049, True), 3: (0, False)}
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert op.count_tokens(empty, PATH).count() == 0
+
+
+def test_special_strings_in_capitals(spark):
+    texts = ["<|ENDOFTEXT|>foo", "<|endoftext|>foo", "<|StartOfText|>x.", "a<|ENDOFTEXT|>b <|ENDOFTEXT|> foo", "<|ENDOFTEXT|>foo " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in op.count_tokens(df, PATH).collect()}
+    assert got == {i: count(t) for i, t in enumerate(texts)}
