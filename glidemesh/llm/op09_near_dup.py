@@ -124,7 +124,7 @@ def joint_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray
 
 
 def signatures(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """``(doc_id, node, n_shingles, regs, keys)``: the set's digest, size, registers and band keys."""
+    """``(doc_id, d1, d2, node, n_shingles, regs, keys)``: the text's digest as it came, the set's digest, size, registers and band keys."""
 
     def run(batches):
         shingler = Shingler(p.words, p.memo_words)
@@ -141,10 +141,11 @@ def signatures(docs: DataFrame, p: NearDupParams) -> DataFrame:
                 node = hashlib.blake2b(s.tobytes(), digest_size=12).digest()
                 rows.append((node, len(s), regs.tobytes(), np.array(keys, dtype=np.uint64).view(np.int64)))
             out = pd.DataFrame(rows, columns=["node", "n_shingles", "regs", "keys"])
-            out.insert(0, "doc_id", pdf.doc_id.to_numpy())
+            for i, c in enumerate(("doc_id", "d1", "d2")):
+                out.insert(i, c, pdf[c].to_numpy())
             yield out
 
-    return docs.mapInPandas(run, "doc_id long, node binary, n_shingles long, regs binary, keys array<long>")
+    return docs.mapInPandas(run, "doc_id long, d1 long, d2 long, node binary, n_shingles long, regs binary, keys array<long>")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
@@ -180,6 +181,11 @@ def _near(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def digests(text: F.Column) -> dict[str, F.Column]:
+    """128 bits that tell apart different texts under one id."""
+    return {"d1": F.xxhash64(text.cast("string")), "d2": F.xxhash64(F.lit(1), text.cast("string"))}
+
+
 def near_duplicates(df: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every document.
 
@@ -197,15 +203,32 @@ def near_duplicates(df: DataFrame, p: NearDupParams = NearDupParams(), id_col: s
     their component is null and they are kept. Repeated rows get equal results; other columns are
     ignored.
     """
-    spark = df.sparkSession
-    at = shared_dir(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = grouped(docs, p).select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+    def alone(batches):
+        shingler = Shingler(p.words, p.memo_words)
+        for pdf in batches:
+            yield pd.DataFrame({"n_shingles": [len(shingler.of(t)) for t in pdf.text]})
+
+    no_id = docs.where("doc_id is null").select("text").mapInPandas(alone, "n_shingles long")
+    no_id = no_id.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(no_id)
+
+
+def grouped(docs: DataFrame, p: NearDupParams) -> DataFrame:
+    """``(doc_id, d1, d2, n_shingles, component_id, first)`` of ``docs(doc_id, text)`` with an id.
+
+    ``first`` tells whether the row's document, told by id and text, is the first of its component.
+    """
+    spark = docs.sparkSession
+    at = shared_dir(spark)
     known = docs.where("doc_id is not null")
-    sigs = saved(signatures(known, p), f"{at}/signatures")
+    sigs = saved(signatures(known.withColumns(digests(F.col("text"))), p), f"{at}/signatures")
     nodes = saved(
         sigs.where("node is not null")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("keys").alias("keys")),
+        .agg(F.min(F.struct("doc_id", "d1", "d2")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("keys").alias("keys")),
         f"{at}/nodes",
     )
     every = nodes.select("node", "n_shingles", F.explode("keys").alias("key"))
@@ -233,7 +256,7 @@ def near_duplicates(df: DataFrame, p: NearDupParams = NearDupParams(), id_col: s
                 node = [hashlib.blake2b(s, digest_size=12).digest() for s in items]
                 yield pd.DataFrame({"node": node, "items": items})
 
-    texts = known.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    texts = known.join(wanted.select("rep.doc_id").distinct(), "doc_id", "left_semi").select("text")
     # an id may stand on several texts; one set a node is enough
     sets = texts.mapInPandas(sets_of, "node binary, items binary").join(wanted.select("node"), "node", "left_semi")
     sets = saved(sets.dropDuplicates(["node"]), f"{at}/sets")
@@ -250,19 +273,13 @@ def near_duplicates(df: DataFrame, p: NearDupParams = NearDupParams(), id_col: s
 
     place = nodes.select("node", "rep").join(final.withColumnRenamed("id", "node"), "node", "left")
     place = place.withColumn("component", F.coalesce("component", "node"))
-    least = place.groupBy("component").agg(F.min("rep").alias("component_id"))
-    place = place.join(least, "component").select("node", "component_id")
-    out = sigs.join(place, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
-    def alone(batches):
-        shingler = Shingler(p.words, p.memo_words)
-        for pdf in batches:
-            yield pd.DataFrame({"n_shingles": [len(shingler.of(t)) for t in pdf.text]})
-
-    no_id = docs.where("doc_id is null").select("text").mapInPandas(alone, "n_shingles long")
-    no_id = no_id.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return out.unionByName(no_id)
+    least = place.groupBy("component").agg(F.min("rep").alias("least"))
+    place = place.join(least, "component").select("node", "least")
+    return sigs.join(place, "node", "left").select(
+        "doc_id", "d1", "d2", "n_shingles",
+        F.coalesce("least.doc_id", "doc_id").alias("component_id"),
+        (F.col("least").isNull() | (F.struct("doc_id", "d1", "d2") == F.col("least"))).alias("first"),
+    )
 
 
 def deltas(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -314,10 +331,15 @@ def apart(delta: DataFrame, p: NearDupParams) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id, columns as they were."""
-    keep = near_duplicates(docs, p).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each near-duplicate group, the one with the smallest id, columns as they were.
+
+    Different texts under one id are documents of their own; rows equal in id and text are one.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    one = ["doc_id", "d1", "d2"]
+    keep = grouped(rows.select("doc_id", "text"), p).where("first").select(one).distinct()
+    named = rows.where("doc_id is not null").withColumns(digests(F.col("text"))).drop("text").join(keep, one, "left_semi").dropDuplicates(one)
+    return named.select("_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,10 @@ def test_keep_one_and_edges(spark):
     assert got.columns == df.columns
     assert sorted((r.doc_id or 0, r.text or "", r.source or "") for r in got.collect()) == [(0, "a b c d e f", "u"), (2, "A B C D E F", "t"), (7, "", ""), (8, "", "v")]
     assert op.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_different_texts_under_one_id(spark):
+    texts = ["one two three four five six", "red green blue white black grey", "sun moon star sky cloud rain"]
+    rows = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (5, texts[2]), (5, texts[2]), (5, texts[2].upper()), (6, texts[1]), (7, None), (7, "")]
+    got = op.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, (r.text or "").lower()) for r in got) == sorted([(1, texts[0]), (5, texts[1]), (5, texts[2]), (7, ""), (7, "")])
