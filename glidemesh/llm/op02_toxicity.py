@@ -1,40 +1,45 @@
-"""Toxicity by compression distance: one zstandard dictionary a class, windows, thresholds."""
+"""Toxicity by compression distance: one zstandard dictionary a class, windows, calibrated thresholds."""
 
 from __future__ import annotations
 
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 import zstandard as zs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glidemesh.llm.common import table
 
-#: Stands in both dictionaries and in front of every window, so that a window's frame is always
-#: compressed and its length shows what the window itself costs.
+#: Stands at the end of both dictionaries and in front of every window, so that a window's frame is
+#: always compressed and its length shows what the window itself costs.
 ANCHOR = b"|0123456789abcdef|"
 _SPACES = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
-GAINS = tuple(range(2, 10))
+GAINS = tuple(range(1, 10))
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     """Bounds of the training sample and of the dictionaries; none of them touches scoring."""
 
-    toxic_rows: int = 2_400
-    ordinary_rows: int = 6_000
-    row_chars: int = 100_000  # longer texts are not taken as training rows
-    fit_share: float = 0.7  # of the sample, for the dictionaries; the rest calibrates
-    dict_bytes: int = 8_192
-    ordinary_windows: int = 60_000
-    contrast: float = 3.0  # log odds from which a window tells the classes apart
+    toxic_rows: int = 1_600
+    ordinary_rows: int = 3_000
+    row_chars: int = 20_000  # longer texts are not taken as training rows
+    class_chars: int = 6_000_000  # rows of a class are taken up to so many characters
+    words: int = 4  # of a window
+    share: float = 0.1  # of toxic windows: those the toxic text shortens most
+    passes: int = 2
+    toxic_bytes: int = 4_096
+    ordinary_bytes: int = 16_384
+    draft_bytes: int = 1 << 19
+    hard_bytes: int = 16_384  # ordinary text added each time it is found to be taken for toxic
+    hard_rounds: int = 3
+    hard_gain: int = 2
+    mined_windows: int = 60_000  # ordinary windows a pass looks for such text in; twice as many at the end
     threshold: float = 0.3
-    memo_windows: int = 100_000  # lengths a Python worker keeps; beyond, they are computed again
 
 
 @dataclass(frozen=True)
@@ -42,58 +47,70 @@ class ToxicityModel:
     toxic: bytes
     ordinary: bytes
     weights: tuple[float, ...]
+    words: int
 
 
-def windows(text: str | None) -> list[bytes]:
-    """Windows of a whole text: its words in lower case, without punctuation."""
-    return (text or "").encode().lower().translate(_SPACES).split()
+def windows(text: str | None, words: int) -> list[bytes]:
+    """A whole text, cut into windows of ``words`` words in lower case without punctuation."""
+    ws = (text or "").encode().lower().translate(_SPACES).split()
+    return [ANCHOR + b" " + b" ".join(ws[i : i + words]) + b" " for i in range(0, len(ws), words)]
 
 
-class Distance(dict):
-    """By how many bytes the toxic dictionary shortens a window more than the ordinary one does."""
-
-    def __init__(self, model: ToxicityModel, most: int):
-        super().__init__()
-        self.most = most
-        self.toxic, self.ordinary = (_compressor(d) for d in (model.toxic, model.ordinary))
-
-    def __missing__(self, window: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        x = ANCHOR + b" " + window + b" "
-        gain = self[window] = len(self.ordinary.compress(x)) - len(self.toxic.compress(x))
-        return gain
-
-    def of(self, text: str | None) -> np.ndarray:
-        ws = windows(text)
-        return np.fromiter(map(self.__getitem__, ws), dtype=np.int32, count=len(ws))
-
-
-def _compressor(dictionary: bytes) -> zs.ZstdCompressor:
+def _lengths(dictionary: bytes):
+    """The function that gives the compressed length of a window under a dictionary."""
     params = zs.ZstdCompressionParameters(
-        window_log=17, hash_log=14, chain_log=14, search_log=5, min_match=5, target_length=64,
+        window_log=20, hash_log=17, chain_log=17, search_log=7, min_match=4, target_length=128,
         strategy=zs.STRATEGY_BTOPT, write_checksum=0, write_content_size=0, write_dict_id=0,
     )
-    return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(dictionary), compression_params=params)
+    held = zs.ZstdCompressionDict(dictionary + ANCHOR, dict_type=zs.DICT_TYPE_RAWCONTENT)
+    compress = zs.ZstdCompressor(dict_data=held, compression_params=params).compress
+    return lambda ws: np.fromiter((len(compress(w)) for w in ws), dtype=np.int32, count=len(ws))
 
 
-def _contexts(texts: list[str], only: set[bytes] | None = None) -> dict[bytes, int]:
-    """Number of distinct words that stand before each word (of ``only``): copies count once."""
-    seen: dict[bytes, set[bytes]] = {}
-    for text in texts:
-        ws = windows(text)
-        for before, w in zip([b"", *ws], ws):
-            if only is None or w in only:
-                seen.setdefault(w, set()).add(before)
-    return {w: len(v) for w, v in seen.items()}
+class Distance:
+    """By how many bytes the toxic dictionary shortens windows more than the ordinary one does."""
 
+    def __init__(self, toxic: bytes, ordinary: bytes):
+        self.toxic, self.ordinary = _lengths(toxic), _lengths(ordinary)
 
-def _train(samples: list[bytes], size: int) -> bytes:
-    samples = samples or [ANCHOR + b" "]
+    def __call__(self, ws: list[bytes]) -> np.ndarray:
+        return self.ordinary(ws) - self.toxic(ws)
+
+
+def _dictionary(ws: list[bytes], size: int) -> bytes:
+    """The most valuable ``size`` bytes of a dictionary trained on windows: its end."""
+    samples = [w[len(ANCHOR) :] for w in ws]
     try:
-        return zs.train_dictionary(size, samples, k=32, d=6, level=3).as_bytes()
+        return zs.train_dictionary(max(4 * size, 8_192), samples, k=16, d=6, level=3).as_bytes()[-size:]
     except zs.ZstdError:  # too few samples: their bytes are the dictionary
-        return b"".join(dict.fromkeys(samples))[:size].ljust(16, b" ")
+        return b"".join(samples)[-size:]
+
+
+def _text(ws: list[bytes], size: int) -> bytes:
+    return b"".join(w[len(ANCHOR) :] for w in ws)[:size]
+
+
+def _most(gains: np.ndarray, ws: list[bytes], share: float) -> list[bytes]:
+    if not len(ws):
+        return []
+    least = max(1, int(np.partition(gains, -max(1, int(len(ws) * share)))[-max(1, int(len(ws) * share))]))
+    return [w for w, g in zip(ws, gains) if g >= least]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], p: ToxicityParams) -> tuple[bytes, bytes]:
+    """``(toxic, ordinary)`` dictionaries from windows of each class.
+
+    The toxic one goes on with the ordinary one's text, so both shorten common words alike and
+    their difference is what toxic text adds. Ordinary windows that still are shorter under the
+    toxic dictionary show what it holds by chance: their text is added to both, some rounds over.
+    """
+    own, base = _dictionary(toxic, p.toxic_bytes), _dictionary(ordinary, p.ordinary_bytes)
+    for _ in range(p.hard_rounds):
+        hard = [w for w, g in zip(ordinary, Distance(own + base, base)(ordinary)) if g >= p.hard_gain]
+        if not hard:
+            break
+        base = _text(hard, p.hard_bytes) + base
+    return own + base, base
 
 
 def _measures(gains: np.ndarray) -> np.ndarray:
@@ -115,36 +132,43 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 
 
 def train(toxic: list[str], ordinary: list[str], base_rate: float, p: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Dictionaries from one part of the sample, the weights of the window counts from the other.
+    """Dictionaries and weights from the texts of a bounded sample.
 
-    The toxic dictionary is trained on those windows of toxic texts that are much likelier there
-    than in ordinary texts, judged by the contexts they appear in.
+    The sample is dealt in two halves, and a half is only ever judged by dictionaries of the other.
+    First the running text of each class is the dictionary: of a half's toxic windows those are
+    kept that the other half's toxic text shortens most. Dictionaries are trained on what is kept,
+    and judge the other half again, ``passes`` times. Every text of the sample, measured by the
+    other half's dictionaries, then calibrates the weights; the final dictionaries come from all.
     """
-    a, b = (max(1, int(len(x) * p.fit_share)) for x in (toxic, ordinary))
-    least = max(3, round(0.004 * a))
-    in_pos = {w: n for w, n in _contexts(toxic[:a]).items() if n >= least and len(w) >= 3}
-    in_neg = _contexts(ordinary[:b], set(in_pos))
-    odds = lambda n, of: np.log((n + 0.5) / (of + 1))
-    telling = {w for w, n in in_pos.items() if odds(n, a) - odds(in_neg.get(w, 0), b) >= p.contrast}
-    framed = lambda w: ANCHOR + b" " + w + b" "
-    every = max(1, sum(len(windows(t)) for t in ordinary[:b]) // p.ordinary_windows)
-    plain = islice((w for t in ordinary[:b] for w in windows(t)), 0, None, every)
-    draft = ToxicityModel(
-        _train([framed(w) for t in toxic[:a] for w in windows(t) if w in telling], p.dict_bytes),
-        _train([framed(w) for w in plain], p.dict_bytes),
-        (),
-    )
-    gain = Distance(draft, p.memo_windows)
-    held = [(toxic[a:] or toxic, 1.0), (ordinary[b:] or ordinary, 0.0)]
-    x = np.array([_measures(gain.of(t)) for texts, _ in held for t in texts]).reshape(-1, len(GAINS) + 3)
-    y = np.array([label for texts, label in held for _ in texts])
+    rng = np.random.default_rng(7)
+    cut = lambda texts: [[windows(t, p.words) for t in texts[i::2]] for i in (0, 1)]
+
+    def distinct(docs: list[list[bytes]], most: int | None = None) -> list[bytes]:
+        ws = list(dict.fromkeys(w for d in docs for w in d))
+        return [ws[i] for i in rng.permutation(len(ws))[:most]]
+
+    tox, plain = cut(toxic), cut(ordinary)
+    tox_w = [distinct(d) for d in tox]
+    plain_w = [distinct(d, p.mined_windows) for d in plain]
+    kept = []
+    for i in (0, 1):
+        size = min(p.draft_bytes, *(sum(map(len, x)) for x in (tox_w[1 - i], plain_w[1 - i])))
+        draft = Distance(_text(tox_w[1 - i], size), _text(plain_w[1 - i], size))
+        kept.append(_most(draft(tox_w[i]), tox_w[i], p.share))
+    judge = []
+    for _ in range(p.passes):
+        judge = [Distance(*dictionaries(kept[1 - i], plain_w[1 - i], p)) for i in (0, 1)]
+        kept = [_most(judge[i](tox_w[i]), tox_w[i], p.share) for i in (0, 1)]
+    final = dictionaries(kept[0] + kept[1], plain_w[0] + plain_w[1], p)
+    x = np.array([_measures(judge[i](d)) for label in (tox, plain) for i in (0, 1) for d in label[i]]).reshape(-1, len(GAINS) + 3)
+    y = np.repeat([1.0, 0.0], [len(toxic), len(ordinary)])
     if not len(y) or y.min() == y.max():
         weights = np.zeros(len(GAINS) + 3)
         weights[0] = np.log(max(base_rate, 1e-6) / max(1 - base_rate, 1e-6))
     else:
         share = y.mean()
         weights = _logistic(x, y, np.where(y == 1, base_rate / share, (1 - base_rate) / (1 - share)))
-    return ToxicityModel(draft.toxic, draft.ordinary, tuple(weights.tolist()))
+    return ToxicityModel(*final, tuple(weights.tolist()), p.words)
 
 
 def held_out(id_col: str = "doc_id") -> "F.Column":
@@ -154,8 +178,9 @@ def held_out(id_col: str = "doc_id") -> "F.Column":
 def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Train on a bounded sample of labelled rows outside the held-out quarter.
 
-    At most ``toxic_rows`` and ``ordinary_rows`` rows, those with the least hashed ids, are read by
-    the driver; their ids, at most as many, are broadcast. Rows without label or text, and texts of
+    At most ``toxic_rows`` and ``ordinary_rows`` rows, those with the least hashed ids, go to one
+    task, a class up to ``class_chars`` characters; their ids, at most as many, are broadcast. The
+    driver gets the finished model alone, some 0.1 MB. Rows without label or text, and texts of
     over ``row_chars``, are not taken. A row labelled twice counts as toxic if one label says so.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -163,16 +188,19 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     take = lambda v, n: known.where(F.col("toxic") == v).orderBy(*by_hash).limit(n)
     ids = take(1, p.toxic_rows).unionByName(take(0, p.ordinary_rows))
-    rate = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    rows = (
-        docs.select("doc_id", "text")
-        .where(F.length("text") <= p.row_chars)
-        .join(F.broadcast(ids), "doc_id")
-        .orderBy(*by_hash, "text")
-        .select("toxic", "text")
-        .collect()
-    )
-    return train([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0], rate or 0.0, p)
+    rate = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+    rows = docs.select("doc_id", "text").where(F.length("text") <= p.row_chars).join(F.broadcast(ids), "doc_id")
+    before = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(*by_hash, "text").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", before).where(F.col("upto") <= p.class_chars)
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = pd.concat([b for b in batches] or [pd.DataFrame({"toxic": [], "text": []})])
+        m = train(sample.text[sample.toxic == 1].tolist(), sample.text[sample.toxic == 0].tolist(), rate, p)
+        yield pd.DataFrame({"toxic": [m.toxic], "ordinary": [m.ordinary], "weights": [list(m.weights)]})
+
+    sample = rows.select("toxic", "text", "upto").repartition(1).sortWithinPartitions("toxic", "upto", "text").select("toxic", "text")
+    got = sample.mapInPandas(one, "toxic binary, ordinary binary, weights array<double>").collect()
+    return ToxicityModel(bytes(got[0][0]), bytes(got[0][1]), tuple(got[0][2]), p.words) if got else train([], [], rate, p)
 
 
 def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", p: ToxicityParams = ToxicityParams()) -> DataFrame:
@@ -184,9 +212,9 @@ def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", p: Toxici
 
     @F.pandas_udf("double")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        gain, w = Distance(model, p.memo_windows), np.array(model.weights)
+        gain, w = Distance(model.toxic, model.ordinary), np.array(model.weights)
         for texts in batches:
-            z = [float(_measures(gain.of(t)) @ w) for t in texts]
+            z = [float(_measures(gain(windows(t, model.words))) @ w) for t in texts]
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return df.withColumn("score", toxicity(F.col(text_col))).withColumn(
