@@ -16,7 +16,7 @@ from glidemesh.llm.common import components, saved, shared_dir, table
 class LineParams:
     edits: int = 2
     near_chars: int = 24  # shorter lines are only matched exactly
-    least_chars: int = 10  # shorter lines are left alone
+    least_chars: int = 1  # shorter lines, by what is left without blanks at their ends, are left alone
     broadcast_ids: int = 500_000  # candidate line ids, 8 bytes each, that are broadcast; more are joined by shuffle
     hot_members: int = 32  # lines under one key from which their letter counts are compared first
     letters: str = "etaoinshrdlucmfwypvbgk .,"
@@ -112,7 +112,7 @@ def _meet(index: DataFrame, probes: DataFrame, also: "F.Column") -> DataFrame:
 def lines_of(docs: DataFrame, p: LineParams) -> DataFrame:
     """``(uid, doc_id, line_no, line, h1, h2)`` of lines that may be dropped; h1, h2: 128 bits of hash."""
     each = docs.select("uid", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    each = each.where(F.length(F.trim("line")) >= p.least_chars)
+    each = each.where(F.length(F.btrim("line", F.lit(" \t\r"))) >= p.least_chars)
     return each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -198,31 +198,35 @@ def dropped_lines(df: DataFrame, p: LineParams = LineParams(), id_col: str = "do
 def dedup_lines(df: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     """The documents without the lines that an earlier place (by doc_id, then line) already has.
 
-    Lines up to ``least_chars`` characters, blank ones among them, are left alone; the others keep
-    their order. A document is never lost, though its text may become empty; null texts stay null.
+    Blank lines are left alone. Every other line is matched, one of at least ``near_chars`` with up
+    to ``edits`` edits (at most a twelfth of it), a shorter one exactly; what stays keeps its order.
+    A document is never lost, though its text may become empty; null texts stay null.
     Rows that are equal in id and text count as one document and keep the same lines. All columns
-    stay; ``n_chars``, if there, is counted anew for texts that changed.
+    stay; ``n_chars``, if there, is counted anew for texts that changed. No column name clashes, as
+    whole rows go along as one struct. An empty table gives an empty one.
     """
     rows = df.select(F.struct(*df.columns).alias("_row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("uid"))
     gone = dropped_lines(df, p).where("dropped").groupBy("uid").agg(F.collect_set("line_no").alias("gone"))
     joined = rows.join(gone, "uid", "left").select(
-        "_row.*",
+        "_row",
         F.expr("if(gone is null, _row.text, array_join(filter(split(_row.text, '\\n', -1), (x, i) -> not array_contains(gone, i)), '\\n'))").alias("_text"),
         F.col("gone").isNotNull().alias("_changed"),
     )
-    cols = {"text": F.col("_text")}
+    cols = {"text": F.col("_text")}  # the row's own columns are read from its struct, so no name clashes
     if "n_chars" in df.columns:
         kind = df.schema["n_chars"].dataType
-        cols["n_chars"] = F.when(F.col("_changed"), F.length("_text").cast(kind)).otherwise(F.col("n_chars"))
-    return joined.select([cols.get(c, F.col(c)).alias(c) for c in df.columns])
+        cols["n_chars"] = F.when(F.col("_changed"), F.length("_text").cast(kind)).otherwise(F.col("_row.n_chars"))
+    return joined.select([cols.get(c, F.col("_row")[c]).alias(c) for c in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines, lines dropped (and which), links, and the documents that keep them."""
+    """Per document: lines, lines dropped (and which), links, and the documents that keep them.
+
+    Repeated rows share a uid and meet here several times over; sets of places count each line once.
+    """
     docs = table(spark, sf_dir, "documents")
     found = dropped_lines(docs).groupBy("uid").agg(
-        F.count_if("dropped").alias("n_dropped"),
-        F.sum("links").alias("n_links"),
+        F.collect_set(F.struct("line_no", "links")).alias("places"),
         F.sort_array(F.collect_set(F.when(F.col("dropped"), F.col("line_no")))).alias("dropped_lines"),
         F.sort_array(F.collect_set(F.when(F.col("dropped"), F.col("kept_in")))).alias("kept_in"),
     )
@@ -232,8 +236,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.join(found, "uid", "left").select(
         "doc_id",
         "n_lines",
-        F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce(F.size("dropped_lines").cast("long"), F.lit(0)).alias("n_dropped"),
+        F.coalesce(F.expr("aggregate(places, 0L, (s, x) -> s + x.links)"), F.lit(0)).alias("n_links"),
         F.coalesce("dropped_lines", none).alias("dropped_lines"),
         F.coalesce("kept_in", none.cast("array<long>")).alias("kept_in"),
     )

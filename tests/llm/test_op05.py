@@ -81,8 +81,25 @@ def test_texts_and_query(spark, tmp_path):
     out = op.dedup_lines(df)
     assert out.columns == df.columns
     got = sorted((r.doc_id, r.text, r.n_chars, r.gone) for r in out.collect() if r.doc_id != 3)
-    assert got == [(1, f"{long}!\n\nhi", 5, "a"), (2, "keep me, I am on my own\nhi", 26, "b"), (4, "", 0, "c"), (4, "", 0, "c")]
+    assert got == [(1, f"{long}!\n\nhi", 5, "a"), (2, "keep me, I am on my own", 23, "b"), (4, "", 0, "c"), (4, "", 0, "c")]
     df.write.parquet(str(tmp_path / "documents.parquet"))
     q = {r.doc_id: r for r in op.query(spark, str(tmp_path)).collect()}
-    assert (q[2].n_lines, q[2].n_dropped, q[2].dropped_lines, q[2].kept_in, q[3].n_lines) == (3, 1, [0], [1], 0)
+    assert (q[2].n_lines, q[2].n_dropped, q[2].dropped_lines, q[2].kept_in, q[3].n_lines) == (3, 2, [0, 2], [1], 0)
     assert op.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_count_once_and_blank_lines_stay(spark, tmp_path):
+    line = "this line is long enough to be matched with edits"
+    rows = [(1, line), (4, f"{line}\n{line}\n\t\n\t"), (4, f"{line}\n{line}\n\t\n\t"), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in op.query(spark, str(tmp_path)).where("doc_id = 4").collect()]
+    assert got == [(4, 4, 2, 0, [0, 1], [1])] * 2
+    linked = rows + [(6, line + "!")]
+    spark.createDataFrame(linked, "doc_id long, text string").write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    q = {r.doc_id: (r.n_dropped, r.n_links) for r in op.query(spark, str(tmp_path / "b")).collect()}
+    assert q == {1: (0, 1), 4: (2, 2), 5: (0, 0), 6: (1, 1)}
+
+
+def test_short_lines_are_matched_exactly(spark):
+    df = spark.createDataFrame([(1, "ab\n}\nzz", "u"), (2, "ab\n}\nzy", "v")], "doc_id long, text string, _text string")
+    assert [tuple(r) for r in op.dedup_lines(df).orderBy("doc_id").collect()] == [(1, "ab\n}\nzz", "u"), (2, "zy", "v")]
