@@ -24,7 +24,6 @@ class ShardParams:
     fanout: int = 4  # a tier's sizes span this factor; so many shards at least are merged
     broadcast_shards: int = 100_000  # a longer list of shards to merge is joined by shuffle
     bucket_shards: int = 10_000  # small shards that one task plans
-    rounds: int = 4
 
 
 class ShardStore:
@@ -99,14 +98,19 @@ class ShardStore:
     def append(self, df: DataFrame, by: str | None = None) -> int:
         """Write arrivals as new shards where the rows are, a file a task (and value of ``by``).
 
-        ``by`` only deals rows to files; it is not kept as a column.
+        ``by`` is an expression that only deals rows to files; no column is added or lost, whatever
+        the table's columns are called. No rows make no shard and no version. Nulls, repeated rows
+        and texts of any length are rows like others.
         """
         base, name = self.version(), uuid.uuid4().hex
         if not df.take(1):
             return base
         at = f"{self.folder}/data/{name}"
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(at)
+        if by is None:
+            df.write.option("compression", "zstd").parquet(at)
+        else:
+            deal = f"_by_{name}"
+            df.withColumn(deal, F.expr(by)).write.option("compression", "zstd").partitionBy(deal).parquet(at)
         return self.commit(self.manifest(base).unionByName(self._measured(at, "arrival")), base)
 
     # -- compaction
@@ -130,7 +134,11 @@ class ShardStore:
         return ready.select("path", "bytes", F.concat_ws("-", "tier", "bucket", "cut").alias("grp"))
 
     def compact(self) -> bool:
-        """One round: merge what the plan asks for, commit the new list; False if there was nothing."""
+        """One round: merge what the plan asks for, commit the new list; False if there was nothing.
+
+        Every group is one task's, by its number, and becomes one file; a task holds rows one by
+        one, so its memory does not grow with the group.
+        """
         base = self.version()
         before = self.manifest(base)
         plan = self.plan(before)
@@ -139,15 +147,19 @@ class ShardStore:
         if not n:
             plan.unpersist()
             return False
-        groups = plan.select("grp").distinct().count()
-        at = f"{self.folder}/data/{uuid.uuid4().hex}"
+        groups = plan.select("grp").distinct()
+        numbers = groups.withColumn("number", (F.row_number().over(Window.orderBy("grp")) - 1).cast("int"))
+        many = groups.count()
+        new = uuid.uuid4().hex
+        at, file, number = f"{self.folder}/data/{new}", f"_file_{new}", f"_group_{new}"
         # only the folders that the plan names are listed; the files come from a join on their paths
-        rows = self._files(*self._folders(plan)).withColumn("_path", F.col("_metadata.file_path"))
-        chosen = plan.select(F.col("path").alias("_path"), F.col("grp").alias("_grp"))
+        rows = self._files(*self._folders(plan))
+        rows = rows.withColumn(file, F.col("_metadata.file_path"))
+        chosen = plan.join(numbers, "grp").select(F.col("path").alias(file), F.col("number").alias(number))
         if n <= self.p.broadcast_shards:
             chosen = F.broadcast(chosen)
-        merged = rows.join(chosen, "_path").drop("_path").repartition(groups, "_grp").sortWithinPartitions("_grp")
-        merged.write.option("compression", "zstd").partitionBy("_grp").parquet(at)
+        merged = rows.join(chosen, file).drop(file).repartitionById(many, number).drop(number)
+        merged.write.option("compression", "zstd").parquet(at)
         rest = before.join(plan.select("path"), "path", "left_anti")
         self.commit(rest.unionByName(self._measured(at, "merged")), base)
         plan.unpersist()
@@ -159,9 +171,9 @@ class ShardStore:
         return [f"{self.folder}/data/{r[0]}" for r in shards.select(top).distinct().collect()]
 
     def settle(self) -> int:
-        for _ in range(self.p.rounds):
-            if not self.compact():
-                break
+        """Compact until no group is left to merge; every round leaves fewer shards, so it ends."""
+        while self.compact():
+            pass
         return self.version()
 
     def vacuum(self) -> None:
@@ -172,13 +184,16 @@ class ShardStore:
             if f"{self.folder}/data/{s.getPath().getName()}" not in used:
                 fs.delete(s.getPath(), True)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with ``_shard``, the file each stands in."""
+    def read(self, version: int | None = None, shard_col: str | None = None) -> DataFrame:
+        """The rows of a version; ``shard_col``, if given, is added: the file each stands in."""
         shards = self.manifest(version)
-        folders = self._folders(shards)
-        rows = self._files(*folders).withColumn("_shard", F.col("_metadata.file_path"))
-        live = shards.select(F.col("path").alias("_shard"))
-        return rows.join(live, "_shard", "left_semi")
+        rows = self._files(*self._folders(shards))
+        if shard_col in rows.columns:
+            raise ValueError(f"the table has a column {shard_col} of its own")
+        file = shard_col or f"_file_{uuid.uuid4().hex}"
+        rows = rows.withColumn(file, F.col("_metadata.file_path"))
+        found = rows.join(shards.select(F.col("path").alias(file)), file, "left_semi")
+        return found if shard_col else found.drop(file)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,14 +203,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, shared_dir(spark))
-    store.append(docs.withColumn("arrival", F.expr("pmod(coalesce(doc_id, 0), 8)")), by="arrival")
+    store.append(docs.select("doc_id", "text"), by="pmod(coalesce(doc_id, 0), 8)")
     version = store.settle()
     if not version:
         empty = "null as text_sha256, 0 as tier, '' as origin, 0L as shard_rows, 0 as version"
         return docs.selectExpr("doc_id", *empty.split(", ")).limit(0)
     store.vacuum()
-    tiers = store.manifest().select(F.col("path").alias("_shard"), "tier", "origin", F.col("n_rows").alias("shard_rows"))
-    return store.read().join(tiers, "_shard").select(
+    tiers = store.manifest().select(F.col("path").alias("shard"), "tier", "origin", F.col("n_rows").alias("shard_rows"))
+    return store.read(shard_col="shard").join(tiers, "shard").select(
         "doc_id", F.sha2("text", 256).alias("text_sha256"), "tier", "origin", "shard_rows", F.lit(version).alias("version")
     )
 

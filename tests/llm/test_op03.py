@@ -58,3 +58,29 @@ def test_dealt_arrivals_beside_merged_shards(spark, tmp_path):
     assert {r.origin for r in s.manifest().collect()} == {"arrival", "merged"}
     got = s.read().select("doc_id", "text", "_n").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, rows(spark, 0, 100).collect()))
+
+
+def test_no_column_name_clashes(spark, tmp_path):
+    s = store(spark, tmp_path)
+    names = ["_grp", "_path", "_shard", "arrival", "_by", "tier"]
+    df = spark.range(0, 60, 1, 3).selectExpr("id as doc_id", *[f"id % 7 as {n}" for n in names], "repeat('t', 200) as text")
+    s.append(df, by="doc_id % 6")
+    s.settle()
+    assert s.read().columns == df.columns
+    assert sorted(map(tuple, s.read().collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(ValueError):
+        s.read(shard_col="tier")
+    df.select("doc_id", "text", "arrival").write.parquet(str(tmp_path / "documents.parquet"))
+    assert op.query(spark, str(tmp_path)).count() == 60
+
+
+def test_every_group_is_one_file_and_settling_ends(spark, tmp_path):
+    s = store(spark, tmp_path)
+    for i in range(4):
+        s.append(rows(spark, i * 64, i * 64 + 64).withColumn("part", __import__("pyspark").sql.functions.expr("doc_id")), by="doc_id % 16")
+    plan = s.plan(s.manifest())
+    groups, before = plan.select("grp").distinct().count(), s.manifest().count()
+    merged = plan.count()
+    assert s.compact() and s.manifest().count() == before - merged + groups
+    s.settle()
+    assert s.plan(s.manifest()).count() == 0 and s.read().count() == 256
