@@ -83,8 +83,8 @@ def mix(
 
     Positions within a source come from sums over buckets of a hash, about ``bucket_rows`` rows
     each, so a source with a third of all rows is no larger task than others. ``weights(source,
-    parts)`` may be given; sources it lacks raise no error and are left out of the join, so it must
-    name all. A null source is a source of its own, shown as null; null sizes count as 0; repeated
+    parts)`` may be given; a source that it lacks, or gives less than one part, gets one part, so no
+    row is lost. A null source is a source of its own, shown as null; null sizes count as 0; repeated
     rows are placed one after the other. ``size`` defaults to the UTF-8 bytes of ``text``. With
     ``keep`` the whole row goes along as ``_row``, so column names cannot clash.
     """
@@ -109,6 +109,8 @@ def mix(
             F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("source"),
             F.col("parts").cast("long").alias("parts"),
         )
+        weights = totals.select("source").distinct().join(weights, "source", "full")
+        weights = weights.select("source", F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1)).cast("long").alias("parts"))
     plan = schedule(weights)
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "bytes").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("offset") + F.coalesce(F.sum("bytes").over(inside), F.lit(0))
@@ -134,9 +136,13 @@ def mixed_order(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
 
     Written as files, the rows follow the schedule from file to file and within each.
     """
-    placed = mix(docs, p=p, keep=True)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(n, "slot", "start").sortWithinPartitions("slot", "start", "doc_id").select("_row.*")
+    return in_order(mix(docs, p=p, keep=True)).select("_row.*")
+
+
+def in_order(placed: DataFrame) -> DataFrame:
+    """Rows with a place ``(slot, start)``, dealt and sorted by it."""
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionByRange(n, "slot", "start").sortWithinPartitions("slot", "start", "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,11 @@ def test_more_sources_than_slots_lose_no_row(spark):
     assert all(r.release <= r.slot < r.due for r in got)
     parts = op.default_weights(df.groupBy("source").agg({"n": "sum"}).toDF("source", "bytes"), 1_000).collect()
     assert sum(r.parts for r in parts) == 3_000 and max(parts, key=lambda r: r.parts).source == "hot"
+
+
+def test_sources_without_a_weight_get_one_part(spark):
+    rows = [(i, f"s{i % 30}", "x" * 100) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    given = spark.createDataFrame([("s0", 20), ("s1", 0), ("gone", 4)], "source string, parts int")
+    got = op.mix(df, given).collect()
+    assert sorted(r.doc_id for r in got) == list(range(600)) and all(r.release <= r.slot < r.due for r in got)
