@@ -14,13 +14,14 @@ from glidemesh.llm.common import saved, shared_dir, table
 
 @dataclass(frozen=True)
 class HnswParams:
-    shard_rows: int = 8_192  # distinct vectors of a shard, on average
+    shard_rows: int = 16_384  # distinct vectors of a shard, on average
     degree: int = 24  # links a node gets; the bottom layer holds twice as many
     pool: int = 96  # nearest nodes from which links are chosen
     layer: int = 16  # a layer has about this share fewer nodes than the one below
     beam: int = 160  # nodes a search of the bottom layer keeps
     k: int = 20
     queries: int = 256  # of a block that is searched together
+    part_queries: int = 4_096  # that one task takes to a shard
 
 
 def _levels(keys: np.ndarray, layer: int) -> np.ndarray:
@@ -186,40 +187,42 @@ def nearest(
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` nearest rows but itself, nearest first.
 
-    Queries are packed in blocks, every block meets every shard of its dimension, and the shards'
-    results are merged: inner products in double precision on the original vectors, ties to the
-    smaller id. Copies of a vector can only be among the first in the order of their ids, so of
-    each node k + 1 members are looked up; none is left out that could be in a result. Queries
-    without a usable vector get no rows; with fewer than k candidates all are returned.
+    A query is sent to every shard of its dimension and the shards' results are merged: inner
+    products in double precision on the original vectors, ties to the smaller id. Queries are dealt
+    to parts of about ``part_queries``; a task has one shard and one part, so a graph is moved and
+    loaded once a part, and no task grows with the table. Copies of a vector can only be among the
+    first in the order of their ids, so of each node k + 1 members are looked up; none is left out
+    that could be in a result. Queries without a usable vector get no rows; with fewer than k
+    candidates all are returned.
     """
-    spark = queries.sparkSession
     q = usable(queries, id_col, vec_col).withColumn("dim", F.size("v"))
-    n_blocks = max(1, -(-q.count() // p.queries))
-    packed = q.withColumn("block", F.expr(f"pmod(xxhash64(vec_id), {n_blocks})")).groupBy("dim", "block").agg(
-        F.collect_list(F.struct("vec_id", "v")).alias("rows")
-    )
-
-    def run(batches):
-        last, held = None, None
-        for pdf in batches:
-            for t in pdf.itertuples(index=False):
-                if t.shard != last:
-                    last = t.shard
-                    ids, x = np.frombuffer(t.nodes, np.int64), np.frombuffer(t.vectors, np.float64).reshape(-1, t.dim)
-                    held = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32).reshape(len(a) // 4, -1)) for a, b in zip(t.layers, t.links)]
-                qid = np.array([r["vec_id"] for r in t.rows], dtype=np.int64)
-                qv = np.array([r["v"] for r in t.rows], dtype=np.float64)
-                found = search(qv, x, held, max(p.beam, p.k + 1))
-                r, c = np.nonzero(found >= 0)
-                near = found[r, c]
-                score = (qv[r] * x[near]).sum(axis=1)
-                out = pd.DataFrame({"query_id": qid[r], "node": ids[near], "score": score})
-                out = out.sort_values(["query_id", "score", "node"], ascending=[True, False, True])
-                # one more than k nodes a shard: the query's own node may be among them
-                yield out.groupby("query_id", sort=False).head(p.k + 1)
-
-    met = packed.join(shards, "dim").repartition("shard", "block").sortWithinPartitions("shard")
-    found = met.mapInPandas(run, "query_id long, node long, score double")
+    parts = max(1, -(-q.count() // p.part_queries))
+    last = shards.agg(F.max("shard")).first()[0]
+    part = F.expr(f"pmod(xxhash64(vec_id, v), {parts}L)")
+    sent = q.select("dim", part.alias("part"), F.explode(F.expr(f"sequence(0L, {last or 0}L)")).alias("shard"), "vec_id", "v")
+    served = shards.select("*", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part"))
+
+    def run(key, asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(shard):
+            return pd.DataFrame({"query_id": [], "node": [], "score": []})
+        t = next(shard.itertuples(index=False))
+        ids, x = np.frombuffer(t.nodes, np.int64), np.frombuffer(t.vectors, np.float64).reshape(-1, t.dim)
+        layers = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32).reshape(len(a) // 4, -1)) for a, b in zip(t.layers, t.links)]
+        out = []
+        for lo in range(0, len(asked), p.queries):
+            block = asked.iloc[lo : lo + p.queries]
+            qid, qv = block.vec_id.to_numpy(np.int64), np.stack(block.v.to_numpy()).astype(np.float64)
+            found = search(qv, x, layers, max(p.beam, p.k + 1))
+            r, c = np.nonzero(found >= 0)
+            near = found[r, c]
+            got = pd.DataFrame({"query_id": qid[r], "place": r, "node": ids[near], "score": (qv[r] * x[near]).sum(axis=1)})
+            got = got.sort_values(["place", "score", "node"], ascending=[True, False, True])
+            # one more than k nodes a shard: the query's own node may be among them
+            out.append(got.groupby("place", sort=False).head(p.k + 1)[["query_id", "node", "score"]])
+        return pd.concat(out)
+
+    key = ["shard", "dim", "part"]
+    found = sent.groupBy(*key).cogroup(served.groupBy(*key)).applyInPandas(run, "query_id long, node long, score double")
     order = [F.desc("score"), F.col("node")]
     near = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(f"r <= {p.k + 1}")
     few = members.withColumn("m", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(f"m <= {p.k + 1}")
