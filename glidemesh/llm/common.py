@@ -5,35 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that the driver and all executors see, under ``spark.checkpoint.dir``.
+    """A fresh folder that the driver and all executors see, under ``spark.checkpoint.dir``."""
+    return f"{_base(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
-    Only where the session names none (tests on one machine) is a temporary folder set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+
+def _base(spark: SparkSession) -> str:
+    """The shared folder that the session names. Only a session on one machine may name none: a
+    temporary folder serves it. On a cluster that would be another folder on every machine, so it
+    is an error there."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    return base
 
 
 def ensure_checkpoint(spark: SparkSession) -> None:
     """Let ``checkpoint()`` work: the cluster's folder if it names one."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-        )
+        spark.sparkContext.setCheckpointDir(_base(spark))
 
 
 def saved(df: DataFrame, folder: str) -> DataFrame:
@@ -44,10 +49,20 @@ def saved(df: DataFrame, folder: str) -> DataFrame:
 
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Hand Python workers at most ``rows`` rows at once, so that a batch of long texts stays small
-    on both sides of the pipe. It is a setting of the session; a smaller one is left as it is."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    on both sides of the pipe. It is a setting of the session, read when a plan runs; a smaller one
+    is left as it is. ``batch_setting`` puts back what was there before."""
+    if not 0 < int(spark.conf.get(BATCH)) <= rows:
+        spark.conf.set(BATCH, str(rows))
+
+
+@contextmanager
+def batch_setting(spark: SparkSession) -> Iterator[None]:
+    """On leaving, the session's batch size is what it was on entering."""
+    before = spark.conf.get(BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

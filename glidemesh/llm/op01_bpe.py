@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glidemesh.llm.common import keyed, table
+from glidemesh.llm.common import table
 from glidemesh.llm.overlap import owned_parts
 
 CHUNK_CHARS = 1 << 16
@@ -52,6 +52,7 @@ def encode(
     text_col: str = "text",
     chunk_chars: int = CHUNK_CHARS,
     overlaps: tuple[int, ...] = OVERLAPS,
+    keep: dict[str, str] | None = None,
 ) -> DataFrame:
     """``(doc_id, n_tokens, ids)`` of every text; ``ids`` little-endian unsigned 32-bit integers.
 
@@ -60,7 +61,7 @@ def encode(
     resynchronise, and the pieces encoded in parallel; only ids are brought together.
 
     Null text counts as empty: no ids. Repeated rows and null ids each give a row of their own.
-    Other columns are ignored. Special-token strings are ordinary text.
+    Other columns are ignored, but those named in ``keep`` (with their types) go along. Special-token strings are ordinary text.
     """
 
     def run(batches):
@@ -69,11 +70,18 @@ def encode(
             ids = [np.array(enc.encode_ordinary(t), dtype="<u4").tobytes() if t else b"" for t in pdf.text]
             yield pdf.drop(columns="text").assign(n_tokens=[len(x) // 4 for x in ids], ids=ids)
 
-    docs = keyed(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    keep = keep or {}
+    docs = df.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        *[F.col(c).cast(t).alias(c) for c, t in keep.items()],
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    )
     size = F.length("text")
-    short = docs.where(size <= chunk_chars).mapInPandas(run, "doc_id long, n_tokens long, ids binary")
+    also = "".join(f", {c} {t}" for c, t in keep.items())
+    short = docs.where(size <= chunk_chars).mapInPandas(run, f"doc_id long{also}, n_tokens long, ids binary")
+    whole = docs.where(size > chunk_chars).withColumn("uid", F.monotonically_increasing_id())
     parts = owned_parts(
-        docs.where(size > chunk_chars).withColumn("uid", F.monotonically_increasing_id()),
+        whole.select("uid", "doc_id", "text"),
         lambda part: pre_token_bounds(part, pattern), chunk_chars, overlaps, MARGIN,
     )
     encoded = parts.withColumnRenamed("part", "text").mapInPandas(
@@ -82,7 +90,9 @@ def encode(
     long = encoded.groupBy("uid", "doc_id").agg(
         F.sum("n_tokens").alias("n_tokens"), F.expr("listagg(ids) WITHIN GROUP (ORDER BY i)").alias("ids")
     )
-    return short.unionByName(long.select("doc_id", "n_tokens", "ids"))
+    if keep:
+        long = long.join(whole.select("uid", *keep), "uid")
+    return short.unionByName(long.select("doc_id", *keep, "n_tokens", "ids"))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:

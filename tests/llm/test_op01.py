@@ -54,3 +54,13 @@ def test_digests(spark, tmp_path):
     got = {r.doc_id: r for r in op.query(spark, str(tmp_path)).collect()}
     assert got[1].decoded_sha256 == hashlib.sha256("Hello 日本".encode()).hexdigest()
     assert got[2].ids_sha256 == hashlib.sha256(b"").hexdigest() and got[2].n_tokens == 0
+
+
+def test_very_long_text_at_the_default_chunk_size_keeps_its_place(spark):
+    path, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    long = "Wörter and  numbers 123, again!\n" * 6_000
+    df = spark.createDataFrame([(1, long, 7), (1, "short", 8), (None, None, 9)], "doc_id long, text string, slot int")
+    got = {r.slot: r for r in op.encode(df, path, pattern, keep={"slot": "int"}).collect()}
+    enc = op.encoding(path, pattern)
+    assert len(long) > op.CHUNK_CHARS and bytes(got[7].ids) == __import__("numpy").array(enc.encode_ordinary(long), dtype="<u4").tobytes()
+    assert got[8].n_tokens == len(enc.encode_ordinary("short")) and got[9].n_tokens == 0

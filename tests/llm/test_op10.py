@@ -43,3 +43,9 @@ def test_special_strings_in_capitals(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in op.count_tokens(df, PATH).collect()}
     assert got == {i: count(t) for i, t in enumerate(texts)}
+
+
+def test_very_long_text_at_the_default_chunk_size(spark):
+    long = "Wörter and  numbers 123, again!\n" * 6_000
+    df = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    assert len(long) > op.CHUNK_CHARS and op.count_tokens(df, PATH).first().n_tokens == count(long)

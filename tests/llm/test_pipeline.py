@@ -40,3 +40,19 @@ def test_stages_take_effect(spark, sf):
     assert len(toxic & set(texts)) < 0.2 * len(toxic) and BAD
     out = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, path).collect()}
     assert out == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+
+
+def test_awkward_rows_and_order(spark, tmp_path):
+    line = "a line of a good many words that stands in two documents"
+    rows = [(1, f"{line}\nmine alone", "s1"), (2, f"{line}\nyours and no one else's", "s2"), (3, None, "s1"), (4, "", None), (5, "5", "s2"), (5, "5", "s2"), (None, "no id", "s1"), (6, "word " * 30_000, "s1")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, n_chars int, _row string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = out.collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 1, 2, 3, 4, 5, 6]
+    assert len({(r.slot, r.start) for r in got if r.n_tokens}) == sum(1 for r in got if r.n_tokens)
+    again = spark.createDataFrame([(1, "t", "s")], "doc_id long, text string, source string").limit(0)
+    again.write.parquet(str(tmp_path / "e" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "e" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "e")).count() == 0
