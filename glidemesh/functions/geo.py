@@ -53,7 +53,7 @@ def tile_key(lat, lon) -> Column:
 
 
 def compass_point(deg) -> Column:
-    names = "N NNE NE ENE E ESE SE SSE S SSW SW WSW W WNW NW NNW".split()
+    names = ["N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW"]
     at = F.pmod(F.floor(deg / 22.5 + 0.5), F.lit(16)).cast("int") + 1
     # element_at of a null place would give the last name
     return F.when(deg.isNotNull(), F.element_at(F.array(*map(F.lit, names)), at))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values that must match for equal results: words that carry no identity in a name, direction
 #: words with what they stand for, and tokens that only tell fields of one name apart.
-STOPWORDS = "aerodrome airfield terrain ulm altisurface altiport de du des la le les sur en st saint".split()
+STOPWORDS = [
+    "aerodrome", "airfield", "terrain", "ulm", "altisurface", "altiport",
+    "de", "du", "des", "la", "le", "les", "sur", "en", "st", "saint",
+]
 DIRECTIONS = {
     "north": "n", "nord": "n", "n": "n",
     "south": "s", "sud": "s", "sued": "s", "s": "s",
@@ -16,7 +22,6 @@ DIRECTIONS = {
 }
 NUMBERS = ["1", "2", "3", "4"]
 CODE_TOKEN = "^(lf|ls|li)[0-9]*[a-z0-9]{2,4}$"
-ACCENTS = ("àâäáãçéèêëíìîïñóòôöõúùûüÿÀÂÄÁÇÉÈÊËÍÎÏÑÓÔÖÚÙÛÜ", "aaaaaceeeeiiiinooooouuuuyAAAACEEEEIIINOOOUUUU")
 
 
 def clean(c) -> Column:
@@ -65,7 +70,19 @@ def parse_heading_deg(c) -> Column:
 
 
 def ascii_fold(c) -> Column:
-    return F.regexp_replace(F.translate(c, *ACCENTS), "[^ -~]", "")
+    """Letters without their accents; what is not ASCII then goes.
+
+    Spark has no decomposition of characters, so the letters of the Latin blocks are laid side by
+    side with their first decomposed character, worked out from Unicode once.
+    """
+    return F.regexp_replace(F.translate(c, *_folding()), "[^ -~]", "")
+
+
+@lru_cache(maxsize=1)
+def _folding() -> tuple[str, str]:
+    letters = [chr(x) for x in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F))]
+    pairs = [(x, d[0]) for x in letters if (d := unicodedata.normalize("NFKD", x))[0].isascii() and all(map(unicodedata.combining, d[1:]))]
+    return "".join(x for x, _ in pairs), "".join(d for _, d in pairs)
 
 
 def slugify(c) -> Column:
@@ -99,13 +116,13 @@ def token_jaccard(a, b) -> Column:
 
 def mine_frequencies(c) -> Column:
     """Distinct radio frequencies between 118 and 137 MHz in a text, ascending."""
-    found = F.regexp_extract_all(c, F.lit(r"(?:^|[^0-9.,])(1[1-3][0-9][.,][0-9]{1,3})"), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(r"(?<![0-9])(1[1-3][0-9][.,][0-9]{1,3})(?![0-9])"), F.lit(1))
     mhz = F.transform(found, lambda s: F.regexp_replace(s, ",", ".").try_cast("double"))
     return F.array_sort(F.array_distinct(F.filter(mhz, lambda x: x.between(118, 137))))
 
 
 def format_freq(mhz, kind) -> Column:
-    label = F.when(F.regexp_like(kind, F.lit("^[0-9]+$")) | F.upper(kind).isin("OTHER", "UNKNOWN", "NA", ""), F.lit(None)).otherwise(kind)
+    label = F.when(F.regexp_like(kind, F.lit("^[0-9]+$")) | F.upper(kind).isin("OTHER", "UNKNOWN", "N/A", "NA", ""), F.lit(None)).otherwise(kind)
     return F.concat_ws(" ", F.format_string("%.3f", mhz), label)
 
 

@@ -12,11 +12,15 @@ from glidemesh.operators.resolve import near_pairs
 def score_pairs(sites: DataFrame, fixes: DataFrame, radius_m: float = 60_000.0, margin_m: float = 250.0) -> DataFrame:
     """Every fix against the sites within a radius of it: distance, bearing, ratio, reason.
 
-    Grid cells join the two sides, so neither side is broadcast or crossed with the other.
+    Grid cells join the two sides, so neither side is broadcast or crossed with the other. A fix
+    stands in one cell, ``g``, which goes along: windows over ``(g, fix_id)`` need no more shuffle.
     """
-    p = near_pairs(fixes, sites, radius_m)
+    p = near_pairs(
+        fixes.select("fix_id", "lat", "lon", "alt_m"), sites.select("src_seq", "lat", "lon", "kind", "difficulty", "elev_m"), radius_m, spread="right"
+    )
     at = [F.col(c) for c in ("x.lat", "x.lon", "y.lat", "y.lon")]
     return p.select(
+        "g",
         F.col("x.fix_id").alias("fix_id"),
         F.col("y.src_seq").alias("src_seq"),
         F.col("y.kind").alias("kind"),
@@ -36,15 +40,20 @@ def filter_difficulty(df: DataFrame, show_c: bool, show_d: bool) -> DataFrame:
     return df.where(F.col("difficulty").isin(shown) | (~known & F.lit(show_c and show_d)))
 
 
+def _each_fix(df: DataFrame):
+    """Windows of a fix, by its cell too where it is known, as the pairs are dealt by cells."""
+    return Window.partitionBy(*(["g", "fix_id"] if "g" in df.columns else ["fix_id"]))
+
+
 def rank_answers(df: DataFrame) -> DataFrame:
     """Least ratio first, rows without one last, then by distance."""
-    by = Window.partitionBy("fix_id").orderBy(F.asc_nulls_last("ratio"), "distance_m", "src_seq")
+    by = _each_fix(df).orderBy(F.asc_nulls_last("ratio"), "distance_m", "src_seq")
     return df.withColumn("rank", F.row_number().over(by).cast("long"))
 
 
 def top_picks(df: DataFrame, k: int = 3, max_ratio: float = 25.0) -> DataFrame:
     """Grade A within the ratio, airfields first, then the least ratio: k a fix."""
-    by = Window.partitionBy("fix_id").orderBy((F.col("kind") != "airfield").cast("int"), "ratio", "src_seq")
+    by = _each_fix(df).orderBy((F.col("kind") != "airfield").cast("int"), "ratio", "src_seq")
     good = df.where((F.col("difficulty") == "A") & (F.col("ratio") <= max_ratio))
     return good.withColumn("pick", F.row_number().over(by).cast("long")).where(F.col("pick") <= k)
 

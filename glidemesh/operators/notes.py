@@ -45,13 +45,14 @@ def misses(df: DataFrame, tm: DataFrame, budget: int) -> DataFrame:
     budget can reach, so the whole list is never one window.
     """
     s = segments(df).where("value <> ''").join(tm, F.col("norm") == F.col("value"), "left_anti")
-    one = s.groupBy("value").agg(F.min(F.col("note_id") * 100_000 + F.col("pos")).alias("first")).select("first", F.length("value").cast("long").alias("chars"))
-    one = one.withColumn("block", F.floor(F.col("first") / 100_000_000))
+    one = s.groupBy("value").agg(F.min(F.struct("note_id", "pos")).alias("at")).select("at", F.length("value").cast("long").alias("chars"))
+    one = one.withColumn("block", F.floor(F.col("at.note_id") / 1_000))
     sums = one.groupBy("block").agg(F.sum("chars").alias("c"))
     before = F.coalesce(F.sum("c").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     near = sums.select("block", before.alias("before")).where(F.col("before") <= budget)
-    run = F.sum("chars").over(Window.partitionBy("block").orderBy("first"))
-    return one.join(near, "block").select("first", "chars", (F.col("before") + run).alias("total")).where(F.col("total") <= budget)
+    run = F.sum("chars").over(Window.partitionBy("block").orderBy("at"))
+    out = one.join(near, "block").withColumn("total", F.col("before") + run).where(F.col("total") <= budget)
+    return out.select((F.col("at.note_id") * 100_000 + F.col("at.pos")).alias("first"), "chars", "total")
 
 
 #: 'Label: value': a label of 24 characters at most, without a colon.

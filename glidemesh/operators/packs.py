@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def assign_packs(sites: DataFrame, packs: DataFrame, edges: DataFrame) -> DataFrame:
+def assign_packs(sites: DataFrame, packs: DataFrame, edges: DataFrame, most: int = 100_000) -> DataFrame:
     """``(src_seq, pack_id, pack_rank)``: by country, or by ray casting with half-open edges.
 
-    Packs and edges are literals of the job, a few dozen rows, which bounds what is broadcast.
+    Packs and edges are literals of the job, a few dozen rows; more than ``most`` are refused before
+    any is broadcast.
     """
+    n = packs.count() + edges.count()
+    if n > most:
+        raise ValueError(f"{n} packs and edges; above {most} they are no literals of a job")
     by_country = sites.join(F.broadcast(packs.where("country is not null")), "country").select("src_seq", "pack_id", "pack_rank")
     fenced = F.broadcast(packs.where("fence is not null").select("pack_id", "pack_rank", "fence").join(edges, "fence"))
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (
         F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
     )
     hits = sites.select("src_seq", "lat", "lon").join(fenced, crosses).groupBy("src_seq", "pack_id", "pack_rank").count()
-    return by_country.unionByName(hits.where("count % 2 = 1").drop("count"))
+    # a pack with both selectors holds a site that meets both once
+    return by_country.unionByName(hits.where("count % 2 = 1").drop("count")).distinct()
 
 
 def first_pack(members: DataFrame) -> DataFrame:

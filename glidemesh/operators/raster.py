@@ -47,17 +47,23 @@ def walk_lines(pairs: DataFrame) -> DataFrame:
     return each.withColumns({"r": on("r0", "r1"), "c": on("c0", "c1")})
 
 
-def direct_score(pairs: DataFrame, cells: DataFrame, cell_m: float = 278.0, clearance: float = 200.0, margin: float = 250.0, ramp: float = 2000.0) -> DataFrame:
+def direct_score(pairs: DataFrame, cells: DataFrame, cell_m: float | tuple[float, float] = 278.0, clearance: float = 200.0, margin: float = 250.0, ramp: float = 2000.0) -> DataFrame:
     """Required ratio of the straight line of each pair ``(..., alt)``; null where terrain blocks it.
 
     At every step the ratio is the way flown over the height left above terrain and a clearance that
     grows over the first ``ramp`` metres; the last step is the arrival above the target's own cell.
+    Ground without a cell, or with a missing one, is unknown: a line over it has no ratio. A cell is
+    ``cell_m`` metres, or (north, east) metres where it is not square.
     """
-    steps = walk_lines(pairs).join(cells.select("tile", "r", "c", "elev"), ["tile", "r", "c"])
-    length = F.sqrt(F.pow(F.col("r1") - F.col("r0"), 2) + F.pow(F.col("c1") - F.col("c0"), 2)) * cell_m
+    north, east = cell_m if isinstance(cell_m, tuple) else (cell_m, cell_m)
+    known = cells.select("tile", "r", "c", F.when(F.col("elev") != NODATA, F.col("elev")).alias("elev"))
+    steps = walk_lines(pairs).join(known, ["tile", "r", "c"], "left")
+    length = F.sqrt(F.pow(F.col("r1") - F.col("r0"), 2) * north**2 + F.pow(F.col("c1") - F.col("c0"), 2) * east**2)
+    if north == east:
+        length = F.sqrt(F.pow(F.col("r1") - F.col("r0"), 2) + F.pow(F.col("c1") - F.col("c0"), 2)) * north
     flown = length * F.col("s") / F.col("n")
     arrives = F.col("s") == F.col("n")
-    room = F.when(F.col("elev") == NODATA, F.lit(None)).when(arrives, F.col("alt") - F.col("elev") - margin).otherwise(
+    room = F.when(F.col("elev").isNull(), F.lit(None)).when(arrives, F.col("alt") - F.col("elev") - margin).otherwise(
         F.col("alt") - F.col("elev") - clearance * F.least(F.lit(1.0), flown / ramp)
     )
     s = steps.select("pair", "s", room.alias("room"), flown.alias("flown"))

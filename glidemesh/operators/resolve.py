@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
-from math import cos, radians
+from math import degrees, pi, sin
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glidemesh.functions import geo, text
@@ -22,25 +23,64 @@ class DuplicateBounds:
     near_jaccard: float = 0.62
 
 
-def grid_steps(radius_m: float, max_lat: float = 72.0) -> tuple[float, float]:
-    """Cell sides in degrees, nowhere smaller than the radius up to ``max_lat``."""
-    lat = radius_m / 111_190.0
-    return lat, lat / cos(radians(max_lat))
+def cells_around(lat: Column, lon: Column, radius_m: float, step: float) -> Column:
+    """Array of the cells ``(gy, gx)`` that hold every point within a radius of ``(lat, lon)``.
 
+    Rows are ``step`` degrees high. Each row of cells is cut into as many columns as its own
+    circumference asks for, so cells are about square at every latitude; columns are numbered round
+    the globe, so nothing ends at 180 degrees. By how much the longitude of such a point can differ
+    follows from the latitude; where the circle holds a pole, a row's columns are all taken.
+    """
+    r = radius_m / geo.EARTH_M * (1 + 1e-9)
+    deg = degrees(r)
+    rows = F.sequence(F.floor((F.greatest(lat - deg, F.lit(-90.0)) + 90) / step), F.floor((F.least(lat + deg, F.lit(90.0)) + 90) / step))
+    wide = F.when(F.abs(lat) + deg >= 90, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), sin(r) / F.cos(F.radians(lat))))) + 1e-9)
+
+    def in_row(gy: Column) -> Column:
+        n = _columns(gy, step)
+        lo, hi = F.floor((lon - wide + 180) / 360 * n), F.floor((lon + wide + 180) / 360 * n)
+        several = F.transform(F.sequence(lo, hi), lambda gx: F.struct(gy.alias("gy"), F.pmod(gx, n).alias("gx")))
+        every = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda gx: F.struct(gy.alias("gy"), gx.alias("gx")))
+        return F.when(hi - lo + 1 >= n, every).otherwise(several)
+
+    return F.flatten(F.transform(rows, in_row))
+
+
+def cell_of(lat: Column, lon: Column, step: float) -> Column:
+    """The cell ``(gy, gx)`` of a point, as ``cells_around`` numbers them."""
+    gy = F.floor((lat + 90) / step)
+    n = _columns(gy, step)
+    return F.struct(gy.alias("gy"), F.pmod(F.floor((lon + 180) / 360 * n), n).alias("gx"))
+
+
+def _columns(gy: Column, step: float) -> Column:
+    middle = F.radians((gy + 0.5) * step - 90)
+    return F.greatest(F.lit(1).cast("long"), F.floor(360 * F.cos(middle) / step))
 
-def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, on: tuple[str, str] = ("lat", "lon")) -> DataFrame:
-    """Pairs ``x`` (left), ``y`` (right), ``d`` of rows within a radius, by an equi-join on grid cells.
 
-    The left side is put into the 3 x 3 cells around it, so work follows local density.
+def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, on: tuple[str, str] = ("lat", "lon"), spread: str = "left", fine: int = 3) -> DataFrame:
+    """Pairs ``x`` (left), ``y`` (right), their distance ``d`` and cell ``g``, of rows within a radius.
+
+    An equi-join on grid cells a ``fine``-th of the radius high. The side named in ``spread`` is put
+    into all cells around it, the other in its own, so all pairs of one of its rows share a ``g``.
+    Rows without a position are in no pair. A comparison of straight chords, on coordinates worked
+    out once a row, leaves few pairs for the exact distance.
     """
-    sy, sx = grid_steps(radius_m)
-    la, lo = on
-    cell = lambda c, s: F.floor(F.col(c) / s).cast("long")
-    around = F.explode(F.array(*[F.struct((cell(la, sy) + i).alias("gy"), (cell(lo, sx) + j).alias("gx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    x = left.where(f"{la} is not null and {lo} is not null").select(F.struct(*left.columns).alias("x"), around.alias("g"))
-    y = right.where(f"{la} is not null and {lo} is not null").select(F.struct(*right.columns).alias("y"), F.struct(cell(la, sy).alias("gy"), cell(lo, sx).alias("gx")).alias("g"))
-    d = geo.haversine_m(F.col(f"x.{la}"), F.col(f"x.{lo}"), F.col(f"y.{la}"), F.col(f"y.{lo}"))
-    return x.join(y, "g").select("x", "y", d.alias("d")).where(F.col("d") <= radius_m)
+    step = degrees(radius_m / geo.EARTH_M) / fine
+    la, lo = F.col(on[0]), F.col(on[1])
+    a, o = F.radians(la), F.radians(lo)
+    place = [(F.cos(a) * F.cos(o)), (F.cos(a) * F.sin(o)), F.sin(a)]
+
+    def side(df: DataFrame, name: str, spreads: bool) -> DataFrame:
+        g = F.explode(cells_around(la, lo, radius_m, step)) if spreads else cell_of(la, lo, step)
+        known = df.where(la.isNotNull() & lo.isNotNull())
+        return known.select(F.struct(*df.columns).alias(name), *[c.alias(f"{name}{i}") for i, c in enumerate(place)], g.alias("g"))
+
+    chord = sum(F.pow(F.col(f"x{i}") - F.col(f"y{i}"), 2) for i in range(3))
+    most = (2 * sin(min(radius_m / geo.EARTH_M / 2, pi / 2))) ** 2 * (1 + 1e-6)
+    met = side(left, "x", spread == "left").join(side(right, "y", spread != "left"), "g").where(chord <= most)
+    d = geo.haversine_m(*[F.col(f"{n}.{c}") for n in "xy" for c in on])
+    return met.select("x", "y", d.alias("d"), "g").where(F.col("d") <= radius_m)
 
 
 def same_strip(b: DuplicateBounds = DuplicateBounds()):
@@ -70,6 +110,14 @@ def duplicate_pairs(sites: DataFrame, b: DuplicateBounds = DuplicateBounds()) ->
     return p.where(keep).select(F.col("x.src_seq").alias("a"), F.col("y.src_seq").alias("b"), F.round("d").cast("long").alias("d_m"))
 
 
+def checkpoint_folder(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a session on one machine may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return base or "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """``(id, gid)`` of the nodes of ``edges(a, b)``; gid is the smallest id of the component.
 
@@ -78,9 +126,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v").distinct().checkpoint()
     label = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("gid")).checkpoint()
     for _ in range(rounds):
@@ -98,10 +144,10 @@ def consolidate(sites: DataFrame, b: DuplicateBounds = DuplicateBounds()) -> Dat
     """``sites`` with ``gid``: sites that share a code form a group and leave the pool; the rest meet
     in the fuzzy pass, whose links are closed transitively."""
     code = F.upper(F.trim(F.coalesce("code", F.lit(""))))
-    by = Window.partitionBy("_code")
-    tagged = sites.withColumn("_code", F.when(code != "", code)).withColumn("_n", F.when(F.col("_code").isNotNull(), F.count("*").over(by)))
-    coded = tagged.where("_n >= 2").withColumn("gid", F.min("src_seq").over(by)).drop("_code", "_n")
-    rest = tagged.where("coalesce(_n, 1) < 2").drop("_code", "_n")
+    named = sites.withColumn("_code", F.when(code != "", code))
+    shared = named.where("_code is not null").groupBy("_code").agg(F.count("*").alias("_n"), F.min("src_seq").alias("gid")).where("_n >= 2")
+    coded = named.join(shared.drop("_n"), "_code").drop("_code")
+    rest = named.join(shared.select("_code"), "_code", "left_anti").drop("_code")
     comp = connected_components(duplicate_pairs(rest, b)).withColumnRenamed("id", "src_seq")
     loose = rest.join(comp, "src_seq", "left").withColumn("gid", F.coalesce("gid", "src_seq"))
     return coded.unionByName(loose)
@@ -135,7 +181,7 @@ def merge_groups(grouped: DataFrame) -> DataFrame:
 def nearest_within(points: DataFrame, sites: DataFrame, radius_m: float, id_col: str, strict: bool = False, first: bool = False) -> DataFrame:
     """The nearest site of each point within a radius: inclusive and the last of equals, or ``strict``
     and the ``first`` of equals."""
-    p = near_pairs(points, sites, radius_m)
+    p = near_pairs(points.select(id_col, "lat", "lon"), sites, radius_m, spread="right")
     if strict:
         p = p.where(F.col("d") < radius_m)
     seq = F.col("y.src_seq") if first else -F.col("y.src_seq")

@@ -98,8 +98,8 @@ add(
 add(
     "R4_gradient",
     lambda s, d: raster.raster_gradient(derive(s, d, fx.CELLS)),
-    f"""{CELLS} SELECT x.tile, x.r, x.c, cast(((x.elev - coalesce(a.elev, 0) - coalesce(b.elev, 0) + coalesce(z.elev, 0)) % 65536 + 65536) % 65536 as bigint) AS g FROM cells x
-    LEFT JOIN cells a ON a.tile = x.tile AND a.r = x.r AND a.c = x.c - 1 LEFT JOIN cells b ON b.tile = x.tile AND b.r = x.r - 1 AND b.c = x.c LEFT JOIN cells z ON z.tile = x.tile AND z.r = x.r - 1 AND z.c = x.c - 1""",
+    f"""{CELLS}, m AS MATERIALIZED (SELECT tile, r, c, elev FROM cells), a AS (SELECT *, elev - coalesce(lag(elev) OVER (PARTITION BY tile, r ORDER BY c), 0) AS h FROM m)
+    SELECT tile, r, c, cast(((h - coalesce(lag(h) OVER (PARTITION BY tile, c ORDER BY r), 0)) % 65536 + 65536) % 65536 as bigint) AS g FROM a""",
 )
 add(
     "R4_integrate",

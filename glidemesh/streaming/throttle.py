@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import asin, cos, radians, sin, sqrt
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,41 +11,53 @@ from pyspark.sql import functions as F
 from glidemesh.functions import geo
 
 
+def _moved(last: tuple[float, float, float], now: tuple[float, float, float], move_m: float, climb_m: float) -> bool:
+    """Whether a fix ``(lat, lon, alt)`` is far enough, across or up, from the last one emitted."""
+    if abs(now[2] - last[2]) >= climb_m:
+        return True
+    a, b = radians(last[0]), radians(now[0])
+    h = sin((b - a) / 2) ** 2 + cos(a) * cos(b) * sin((radians(now[1]) - radians(last[1])) / 2) ** 2
+    return 2 * geo.EARTH_M * asin(sqrt(min(1.0, h))) >= move_m
+
+
 def throttle_batch(track: DataFrame, move_m: float = 400.0, climb_m: float = 75.0) -> DataFrame:
-    """Fixes that moved far enough since the last *emitted* one: a fold over each session's order."""
-    point = F.struct("n", "lat", "lon", "alt_m", "event_id")
-    runs = track.groupBy("session_id").agg(F.array_sort(F.collect_list(point)).alias("p"))
+    """Fixes that moved far enough since the last *emitted* one: a fold over each session's order.
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        far = geo.haversine_m(last.lat, last.lon, x.lat, x.lon) >= move_m
-        go = (F.size(acc) == 0) | (F.abs(x.alt_m - last.alt_m) >= climb_m) | far
-        return F.when(go, F.concat(acc, F.array(x))).otherwise(acc)
+    Sessions are dealt to partitions and sorted there; the fold goes through a partition batch by
+    batch and holds one fix, so a session of any length needs no more memory than a short one.
+    """
 
-    # element_at of an empty array is never looked at: the first point starts the list
-    first = F.slice("p", 1, 1)
-    rest = F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0)))
-    kept = F.aggregate(rest, first, step)
-    return runs.select("session_id", F.explode(kept).alias("x")).select("session_id", "x.event_id", "x.n")
+    def run(batches):
+        session = last = None
+        for pdf in batches:
+            keep = []
+            for k, lat, lon, alt in zip(pdf.session_id, pdf.lat, pdf.lon, pdf.alt_m):
+                now = (lat, lon, alt)
+                go = k != session or _moved(last, now, move_m, climb_m)
+                if go:
+                    session, last = k, now
+                keep.append(go)
+            yield pdf.loc[keep, ["session_id", "event_id", "n"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in track.schema}
+    out = ", ".join(f"{c} {kinds[c]}" for c in ("session_id", "event_id", "n"))
+    dealt = track.select("session_id", "event_id", "n", *[F.col(c).cast("double").alias(c) for c in ("lat", "lon", "alt_m")])
+    return dealt.repartition("session_id").sortWithinPartitions("session_id", "n").mapInPandas(run, out)
 
 
 def throttle_stream(fixes: DataFrame, move_m: float = 400.0, climb_m: float = 75.0) -> DataFrame:
     """The same on a stream of ``(session_id, event_id, ts, lat, lon, alt_m)``; state: the last one emitted."""
-    from math import asin, cos, radians, sin, sqrt
-
-    def far(a, b):
-        h = sin(radians(b[0] - a[0]) / 2) ** 2 + cos(radians(a[0])) * cos(radians(b[0])) * sin(radians(b[1] - a[1]) / 2) ** 2
-        return 2 * geo.EARTH_M * asin(min(1.0, sqrt(h)))
 
     def run(key, batches, state):
         last = state.get if state.exists else None
         out = []
         for pdf in batches:
-            for t in pdf.sort_values(["ts", "event_id"]).itertuples(index=False):
-                now = (float(t.lat), float(t.lon), float(t.alt_m))
-                if last is None or abs(now[2] - last[2]) >= climb_m or far(last, now) >= move_m:
+            pdf = pdf.sort_values(["ts", "event_id"])
+            for event, lat, lon, alt in zip(pdf.event_id, pdf.lat, pdf.lon, pdf.alt_m):
+                now = (float(lat), float(lon), float(alt))
+                if last is None or _moved(last, now, move_m, climb_m):
                     last = now
-                    out.append((key[0], t.event_id))
+                    out.append((key[0], event))
         if last is not None:
             state.update(last)
         yield pd.DataFrame(out, columns=["session_id", "event_id"])
