@@ -76,9 +76,10 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, on: tuple[str
         known = df.where(la.isNotNull() & lo.isNotNull())
         return known.select(F.struct(*df.columns).alias(name), *[c.alias(f"{name}{i}") for i, c in enumerate(place)], g.alias("g"))
 
-    chord = sum(F.pow(F.col(f"x{i}") - F.col(f"y{i}"), 2) for i in range(3))
+    chord = sum((F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}")) for i in range(3))
     most = (2 * sin(min(radius_m / geo.EARTH_M / 2, pi / 2))) ** 2 * (1 + 1e-6)
-    met = side(left, "x", spread == "left").join(side(right, "y", spread != "left"), "g").where(chord <= most)
+    # dealt by cell: a small side would else be broadcast to as few tasks as the other has files
+    met = side(left, "x", spread == "left").join(side(right, "y", spread != "left").hint("merge"), "g").where(chord <= most)
     d = geo.haversine_m(*[F.col(f"{n}.{c}") for n in "xy" for c in on])
     return met.select("x", "y", d.alias("d"), "g").where(F.col("d") <= radius_m)
 
@@ -118,15 +119,18 @@ def checkpoint_folder(spark) -> str:
     return base or "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
+def ensure_checkpoints(spark) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """``(id, gid)`` of the nodes of ``edges(a, b)``; gid is the smallest id of the component.
 
     Labels spread to neighbours and jump to their label's label each round, so rounds grow with the
     logarithm of the longest chain; checkpoints in the shared folder bound the lineage.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
+    ensure_checkpoints(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v").distinct().checkpoint()
     label = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("gid")).checkpoint()
     for _ in range(rounds):
