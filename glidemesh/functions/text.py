@@ -172,3 +172,56 @@ def media_refs(c) -> Column:
     """Base names of the media files listed in a text."""
     parts = F.filter(F.split(c, r"[;|,\s]+"), lambda x: F.regexp_like(x, F.lit(MEDIA_FILES)))
     return F.transform(parts, lambda x: F.substring_index(F.replace(x, F.lit("\\"), F.lit("/")), "/", -1))
+
+
+#: What a tag of a guide says about a field, and the tags of places made for aircraft.
+GRADES = {
+    "aerodrome": "A", "terrain": "A", "altiport": "A", "velisurface": "A", "facile": "A",
+    "normal": "B", "difficile": "C", "tres_difficile": "D",
+}
+AIRFIELD_TAGS = ["aerodrome", "terrain", "altiport", "velisurface"]
+#: Particles that are not capitalised inside a name.
+PARTICLES = ["de", "du", "des", "la", "le", "les", "sur", "en", "au", "aux", "d", "l"]
+
+
+def raw_difficulty(tagged, style) -> Column:
+    """The first known ``{tag}`` of a text; without one, style 5 stands for an aerodrome."""
+    tags = F.transform(F.regexp_extract_all(tagged, F.lit(r"\{([^}]+)\}"), F.lit(1)), lambda t: F.lower(F.trim(t)))
+    known = F.filter(tags, lambda t: t.isin(list(GRADES)))
+    return F.coalesce(F.get(known, 0), F.when(clean(style) == "5", "aerodrome"), F.lit("unknown"))
+
+
+def grade(raw) -> Column:
+    """The grade of a raw difficulty, A to D or UNKNOWN."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in GRADES.items() for x in kv])[raw], F.lit("UNKNOWN"))
+
+
+def site_kind(raw, code) -> Column:
+    return F.when(raw.isin(AIRFIELD_TAGS) | F.regexp_like(F.upper(F.coalesce(code, F.lit(""))), F.lit("^LF[A-Z]{2}$")), "airfield").otherwise("outlanding")
+
+
+def strip_tags(notes) -> Column:
+    return F.trim(F.regexp_replace(notes, r"\s*\{[^}]+\}\s*", " "))
+
+
+def clean_display_name(c) -> Column:
+    """A name as it is shown: without ordinals and codes around it, particles small, words capitalised."""
+    s = F.trim(F.regexp_replace(clean(c), r"^(?:#?\d+\s+)+", ""))
+    s = F.trim(F.regexp_replace(s, r"^(?:LF|LS|LI)[A-Z0-9]{2,4}\b\s+(?=\S)", ""))
+    s = F.trim(F.regexp_replace(s, r"(?i)\s+\b(?:LF|LS|LI)[A-Z0-9]{2,4}\b\s*$", ""))
+    pieces = F.regexp_extract_all(s, F.lit(r"(\s+|-|[^\s-]+)"), F.lit(1))
+    words = F.zip_with(pieces, F.sequence(F.lit(0), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    plain = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000)))
+
+    def shown(x) -> Column:
+        w = x["w"]
+        even = (w == F.upper(w)) | (w == F.lower(w)) | (w == plain(w))
+        return (
+            F.when(F.regexp_like(w, F.lit(r"^(\s+|-)$")), w)
+            .when(F.lower(w) == "sued", "Sud")
+            .when(F.lower(w).isin(PARTICLES) & (x["i"] > 0), F.lower(w))
+            .when(even, plain(w))
+            .otherwise(w)
+        )
+
+    return F.array_join(F.transform(words, shown), "")

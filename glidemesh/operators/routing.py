@@ -239,14 +239,8 @@ def pull_strings(scored: DataFrame, grid: DataFrame, solves: DataFrame, targets:
                 nodes = np.array([(n["r"], n["c"]) for n in x.nodes], dtype=int)
                 kept, at, flown = [0], 0, 0.0
                 while at < len(nodes) - 1:
-                    best, way = at + 1, _walk(elev, floor, solve, nodes[at], nodes[at + 1], flown, at + 2 == len(nodes), p)[0]
-                    for to in range(at + 2, len(nodes)):
-                        far, need = _walk(elev, floor, solve, nodes[at], nodes[to], flown, to + 1 == len(nodes), p)
-                        if not need <= x.ratio:
-                            break
-                        best, way = to, far
-                    kept.append(best)
-                    at, flown = best, way
+                    at, flown = _farthest(elev, floor, solve, nodes, at, flown, x.ratio, p)
+                    kept.append(at)
                 out.append((solve.solve_id, x.target_id, [{"r": int(nodes[i][0]), "c": int(nodes[i][1])} for i in kept]))
         return pd.DataFrame(out, columns=[*PATH, "nodes"])
 
@@ -255,18 +249,23 @@ def pull_strings(scored: DataFrame, grid: DataFrame, solves: DataFrame, targets:
     return grid.groupBy("solve_id").cogroup(asked.groupBy("solve_id")).applyInPandas(run, f"solve_id long, target_id long, nodes {NODES}")
 
 
-def _walk(elev, floor, solve, a, b, flown: float, to_target: bool, p: GlideParams) -> tuple[float, float]:
-    """The way flown at the end of a straight leg, and the largest ratio needed along it (NaN: blocked)."""
-    n = int(np.abs(b - a).max())
-    if not n:
-        return flown, 0.0
-    s = np.arange(1, n + 1)
-    way = flown + np.hypot((b[0] - a[0]) * solve.north_m, (b[1] - a[1]) * solve.east_m) * s / n
-    r, c = (np.floor(a[i] + (b[i] - a[i]) * s / n + 0.5).astype(int) for i in (0, 1))
-    room = _headroom(solve.alt_m, elev[r, c], floor[r, c], way, p)[: n - to_target]
-    if not (room > 0).all():
-        return float(way[-1]), float("nan")
-    return float(way[-1]), float((way[: len(room)] / room).max(initial=0.0))
+def _farthest(elev, floor, solve, nodes: np.ndarray, at: int, flown: float, limit: float, p: GlideParams) -> tuple[int, float]:
+    """The farthest node from ``at`` on up to which every straight leg stays within a ratio, and the way
+    flown there; the next node in any case. All legs are walked at once, step by step of each."""
+    a, to = nodes[at], nodes[at + 1 :]
+    n = np.abs(to - a).max(axis=1)
+    leg = np.repeat(np.arange(len(to)), n)
+    s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+    r, c = np.floor(a + (to[leg] - a) * s[:, None] / n[leg][:, None] + 0.5).astype(int).T
+    ends = flown + np.hypot((to - a)[:, 0] * solve.north_m, (to - a)[:, 1] * solve.east_m)
+    way = flown + (ends[leg] - flown) * s / n[leg]
+    room = _headroom(solve.alt_m, elev[r, c], floor[r, c], way, p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        good = (room > 0) & (way / room <= limit)
+    arrives = (leg == len(to) - 1) & (s == n[leg])
+    fails = leg[~good & ~arrives & (leg > 0)]
+    best = fails.min() - 1 if len(fails) else len(to) - 1
+    return at + 1 + int(best), float(ends[best])
 
 
 def refine_paths(paths: DataFrame, grid: DataFrame, solves: DataFrame, targets: DataFrame, p: GlideParams = GlideParams(), passes: int = 2) -> DataFrame:
