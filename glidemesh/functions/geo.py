@@ -52,6 +52,33 @@ def tile_key(lat, lon) -> Column:
     return F.concat(ns, F.lpad(F.abs(la).cast("string"), 2, "0"), ew, F.lpad(F.abs(lo).cast("string"), 3, "0"))
 
 
+def parse_tile_key(key) -> Column:
+    """``struct(lat0, lon0)`` of a tile's key; null for what is none."""
+    part = lambda i: F.regexp_extract(key, r"^([NS])(\d{2})([EW])(\d{3})$", i)
+    signed = lambda i, minus: F.when(part(i) == minus, -1).otherwise(1) * part(i + 1).try_cast("int")
+    return F.when(part(1) != "", F.struct(signed(1, "S").alias("lat0"), signed(3, "W").alias("lon0")))
+
+
+def tiles_for_bounds(south, west, north, east) -> Column:
+    """Keys of the tiles that a box touches, south to north, then west to east."""
+    rows = F.sequence(F.ceil(south), F.ceil(north))
+    cols = F.sequence(F.floor(west), F.floor(east))
+    # any point of a tile's upper edge and right of its left edge names it
+    return F.flatten(F.transform(rows, lambda a: F.transform(cols, lambda o: tile_key(a.cast("double"), o.cast("double")))))
+
+
+def cell_centre(row, col, per_degree: int = 1200) -> Column:
+    """``struct(lat, lon)`` of the middle of a cell of the global lattice, whose rows count from the north."""
+    return F.struct((90 - (row + 0.5) / per_degree).alias("lat"), ((col + 0.5) / per_degree - 180).alias("lon"))
+
+
+def profile_lines(ground, step_m, alt, ratio, clearance) -> Column:
+    """Ground, the height to stay above and the glide's height at each sample of a profile; unknown ground stays null."""
+    return F.transform(
+        ground, lambda g, i: F.struct((i * step_m).alias("at_m"), g.alias("ground"), (g + clearance).alias("envelope"), (alt - i * step_m / ratio).alias("glide"))
+    )
+
+
 def compass_point(deg) -> Column:
     names = ["N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW"]
     at = F.pmod(F.floor(deg / 22.5 + 0.5), F.lit(16)).cast("int") + 1

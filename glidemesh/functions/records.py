@@ -147,3 +147,9 @@ def crossing_clearance(alt, crit_elev, crit_at, ratio) -> Column:
 
 def is_detour(path, distance, direct, times: float = 1.1) -> Column:
     return F.coalesce(~direct & (path > distance * times), F.lit(False))
+
+
+def airac_dates(today, first: str = "2024-01-25", back: int = 365, ahead: int = 56) -> Column:
+    """The publication dates, every 28 days, from a year back to 56 days ahead, the nearest first; the earlier of equals."""
+    days = F.filter(F.sequence(F.lit(first).cast("date"), F.greatest(F.date_add(today, ahead), F.lit(first).cast("date")), F.expr("interval 28 days")), lambda d: d.between(F.date_sub(today, back), F.date_add(today, ahead)))
+    return F.transform(F.array_sort(F.transform(days, lambda d: F.struct(F.abs(F.datediff(d, today)).alias("far"), d.alias("d")))), lambda x: x["d"])

@@ -121,6 +121,29 @@ def mine_frequencies(c) -> Column:
     return F.array_sort(F.array_distinct(F.filter(mhz, lambda x: x.between(118, 137))))
 
 
+#: What a frequency is for, the first of these that stands near it.
+FREQ_LABELS = ["AFIS", "TWR", "TOUR", "A/A", "AUTO", "INFO", "APP", "ATIS", "ATF", "CTAF", "UNICOM"]
+
+
+def labelled_frequencies(c, near: int = 24) -> Column:
+    """Radio frequencies of a text as ``array<struct<mhz, type>>``, each once, in the order they stand.
+
+    A label is looked for in the ``near`` characters before and after; empty without one. What lies
+    before a frequency is caught by a look-behind that starts that far back, or at the text's start.
+    """
+    pattern = rf"(?s)(?<![0-9])(?<=(^.{{0,{near}}}|.{{{near}}}))(1[1-3][0-9][.,][0-9]{{1,3}})(?![0-9])(?=(.{{0,{near}}}))"
+    before, number, after = (F.regexp_extract_all(c, F.lit(pattern), F.lit(i)) for i in (1, 2, 3))
+
+    def entry(x) -> Column:
+        around = F.upper(F.concat(x["b"], x["n"], x["a"]))
+        kind = F.coalesce(*[F.when(F.contains(around, F.lit(label)), label) for label in FREQ_LABELS], F.lit(""))
+        return F.struct(F.regexp_replace(x["n"], ",", ".").try_cast("double").alias("mhz"), kind.alias("type"))
+
+    zipped = F.arrays_zip(before.alias("b"), number.alias("n"), after.alias("a"))
+    inside = F.filter(F.transform(zipped, entry), lambda x: x["mhz"].between(118, 137))
+    return F.filter(inside, lambda x, i: F.array_position(F.transform(inside, lambda y: y["mhz"]), x["mhz"]) == i + 1)
+
+
 def format_freq(mhz, kind) -> Column:
     label = F.when(F.regexp_like(kind, F.lit("^[0-9]+$")) | F.upper(kind).isin("OTHER", "UNKNOWN", "N/A", "NA", ""), F.lit(None)).otherwise(kind)
     return F.concat_ws(" ", F.format_string("%.3f", mhz), label)
@@ -156,6 +179,21 @@ MEDIA_FILES = r"(?i)\.(jpg|jpeg|png|webp|pdf)$"
 MINTED = r"_M?\d+P\d+_M?\d+P\d+$"
 
 
+#: How the codes of a country's places begin.
+ICAO_PREFIXES = {"FR": ["LF"], "CH": ["LS"], "IT": ["LI"], "ES": ["LE", "GC", "GE"]}
+
+
+def country_from_icao(c) -> Column:
+    """The country whose codes begin like this one; empty where none does."""
+    begins = [(land, F.startswith(F.upper(clean(c)), F.lit(p))) for land, prefixes in ICAO_PREFIXES.items() for p in prefixes]
+    return F.coalesce(*[F.when(hit, land) for land, hit in begins], F.lit(""))
+
+
+def is_country_icao(c, countries: list[str]) -> Column:
+    """Whether a code of four characters is one of these countries'."""
+    return F.regexp_like(F.upper(clean(c)), F.lit("^[A-Z0-9]{4}$")) & country_from_icao(c).isin([x.upper() for x in countries])
+
+
 def norm_country(c) -> Column:
     """A country's code from its code or name."""
     up = F.upper(clean(c))
@@ -225,3 +263,79 @@ def clean_display_name(c) -> Column:
         )
 
     return F.array_join(F.transform(words, shown), "")
+
+
+def safe_filename(c) -> Column:
+    """The last part of a path with nothing in it that a file system could mind."""
+    return F.regexp_replace(F.substring_index(c, "/", -1), "[^a-zA-Z0-9._-]+", "_")
+
+
+def rewrite_phrases(c, rules: list[tuple[str, str]], hint: str | None = None) -> Column:
+    """A text with patterns replaced in their order, whatever the case; with a ``hint``, only texts
+    that match it (they are in the rules' language, it seems) are touched."""
+    out = c
+    for pattern, by in rules:
+        out = F.regexp_replace(out, f"(?iu){pattern}", by)
+    return out if hint is None else F.when(F.regexp_like(c, F.lit(f"(?iu){hint}")), out).otherwise(c)
+
+
+def stamp_chart_keys(media, prefix: str = "") -> Column:
+    """Media (structs with ``url``) with a ``chart_key``: what follows ``docs/`` in a chart's address; null for others."""
+    key = lambda u: F.nullif(F.regexp_extract(clean(u), r"(?i)(?:^|/)docs/(vac/[^/]+\.pdf)$", 1), F.lit(""))
+    return F.transform(media, lambda m: m.withField("chart_key", F.concat(F.lit(prefix), key(m["url"]))))
+
+
+def share_media_urls(media, root: str = "../_shared/", columns: tuple[str, ...] = ("url", "thumbnail_url")) -> Column:
+    """Media whose relative addresses lead to the shared folder; absolute and shared ones stay, so twice is once."""
+
+    def moved(u) -> Column:
+        own = (clean(u) != "") & ~F.contains(u, F.lit("://")) & ~F.startswith(clean(u), F.lit(root))
+        return F.when(own, F.concat(F.lit(root), clean(u))).otherwise(u)
+
+    def item(m) -> Column:
+        for name in columns:
+            m = m.withField(name, moved(m[name]))
+        return m
+
+    return F.transform(media, item)
+
+
+def longest_strip(c) -> Column:
+    """``struct(length_m, width_m)`` of the longest of strips ``600 m x 50 m / 430 x 25 m``, the first of equals; null without any."""
+    pattern = r"(\d+)\s*(?:m\s*)?(?:[x×]\s*(\d+)\s*m?)?"
+
+    def strip(s, i) -> Column:
+        part = lambda n: F.regexp_extract(s, pattern, n).try_cast("double")
+        return F.struct(part(1).alias("length_m"), (-i).alias("at"), part(2).alias("width_m"))
+
+    best = F.array_max(F.filter(F.transform(F.split(c, "/"), strip), lambda x: x["length_m"].isNotNull()))
+    return F.when(best.isNotNull(), F.struct(best["length_m"].alias("length_m"), best["width_m"].alias("width_m")))
+
+
+def extract_record(c) -> Column:
+    """A landing site's record in the text of one page of a printed guide, as a struct; null without its heading.
+
+    Notes in the margin, ten blanks or more to the right, are cut off. Labels begin a line, the first
+    of a kind counts; remarks run to the next blank line, without radio frequencies.
+    """
+    body = F.regexp_replace(c, r"(?m)[ \t]{10,}[^\r\n]*$", "")
+    header = r"(?m)^([EF]\d{1,2})\s*/\s*(AERO|ULM|CHAMPS?)\s*[–-]\s*(.+)$"
+    head = lambda i: F.trim(F.regexp_extract(body, header, i))
+    line = lambda label: F.trim(F.regexp_extract(body, rf"(?m)^[ \t]*{label}[ \t]*:[ \t]*(.*)$", 1))
+    place = r"N\s*(\d{1,2})°\s*(\d{1,2}),(\d{1,3})['’]?\s*[–-]\s*([EW])\s*(\d{1,3})°\s*(\d{1,2}),(\d{1,3})"
+    at = lambda i: F.regexp_extract(line("Position"), place, i)
+    degrees = lambda d, m, f: at(d).try_cast("double") + F.concat(at(m), F.lit("."), at(f)).try_cast("double") / 60
+    lon = degrees(5, 6, 7)
+    told = norm_space(F.regexp_extract(body, r"(?ms)^[ \t]*Observations[ \t]*:[ \t]*(.*?)(?:\r?\n[ \t]*\r?\n|\z)", 1))
+    remarks = F.regexp_replace(told, r"(?:\b[A-Z]{4}\s*-\s*)?Fréq\.?\s*=?\s*[\d.,]+(?:\s*/\s*[\d.,]+)*\s*MHz\.?\s*", "")
+    size = longest_strip(line("Longueur"))
+    record = F.struct(
+        head(1).alias("id"), head(2).alias("type"), head(3).alias("name"),
+        F.regexp_extract(told, r"\b(L[EF][A-Z]{2})\s*-\s*(?=Fréq)", 1).alias("code"),
+        degrees(1, 2, 3).alias("lat"), F.when(at(4) == "W", -lon).otherwise(lon).alias("lon"),
+        F.regexp_extract(line("Altitude"), r"(\d+)\s*m", 1).try_cast("int").alias("elev_m"),
+        F.transform(F.regexp_extract_all(line("Orientation"), F.lit(r"(\d{1,3})\s*°"), F.lit(1)), lambda d: d.try_cast("int")).alias("directions"),
+        size["length_m"].alias("length_m"), size["width_m"].alias("width_m"),
+        norm_space(line("État surface")).alias("surface"), norm_space(remarks).alias("remarks"),
+    )
+    return F.when(head(1) != "", record)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glidemesh.functions import geo, text
@@ -114,3 +114,10 @@ def extract_links(pages: DataFrame) -> DataFrame:
     full = F.when(F.regexp_like(href, F.lit("(?i)^[a-z]+:")), href).when(F.startswith(href, F.lit("/")), F.concat(root, href))
     full = F.coalesce(full, F.concat(F.regexp_extract("url", "^(.*/)", 1), href))
     return one.select("page_id", F.col("place").cast("long").alias("place"), full.alias("href"), text.strip_html(F.col("x.label")).alias("label"))
+
+
+def unique_ids(rows: DataFrame, order: str, column: str = "id") -> DataFrame:
+    """Rows whose ids that another row has before get their ordinal as a suffix, from ``_2`` on."""
+    n = F.row_number().over(Window.partitionBy(column).orderBy(order))
+    numbered = rows.withColumn("_n", n)
+    return numbered.withColumn(column, F.when(F.col("_n") > 1, F.concat(column, F.lit("_"), F.col("_n").cast("string"))).otherwise(F.col(column))).drop("_n")

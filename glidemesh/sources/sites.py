@@ -76,7 +76,7 @@ def write_packs(sites: DataFrame, folder: str) -> None:
 
 def read_contributions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """``(contributions, broken)``: every JSON file below a folder with its path, and those that do not parse."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     parsed = files.withColumn("v", F.try_parse_json("value"))
     good = parsed.where("v is not null")
     get = lambda p, t: F.try_variant_get("v", p, t)
@@ -88,6 +88,86 @@ def read_contributions(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     return out, parsed.where("v is null").select("path")
 
 
+def read_airport_json(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """``(path, place, raw)``: every record of JSON files as its own text.
+
+    A file is a list of records, a feature collection, an object that has such a list under one of
+    some keys, or else one record. What is no object is left out. A file is one row until its records
+    are dealt out, as its outline is told from all of it.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    keys = ["items", "data", "results", "airports", "features"]
+    box = F.from_json("value", "type string, " + ", ".join(f"{k} array<string>" for k in keys))
+    first = F.when(box["type"] == "FeatureCollection", box["features"])
+    listed = F.when(F.startswith(F.trim("value"), F.lit("[")), F.from_json("value", "array<string>")).otherwise(F.coalesce(first, *[box[k] for k in keys], F.array("value")))
+    each = files.select("path", F.posexplode(listed).alias("place", "raw"))
+    return each.where(F.startswith(F.trim("raw"), F.lit("{")))
+
+
+def _table(spark: SparkSession, paths: list[str] | str, columns: str, code: str, countries: list[str]) -> DataFrame:
+    """Rows of a CSV table whose code is one of the countries'; columns are found by the header, all read as texts."""
+    rows = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(paths)
+    kept = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in columns.split()])
+    return kept.withColumn("code", F.upper(text.clean(F.col(code)))).where(text.is_country_icao(F.col("code"), countries))
+
+
+def _metres(feet: str) -> Column:
+    return F.bround(text.parse_float(text.clean(F.col(feet))) * 0.3048, 1)
+
+
+def read_airports(spark: SparkSession, paths: list[str] | str, countries: list[str]) -> DataFrame:
+    """Airports with a position, one row a code: where a code stands twice, the one of the greater id counts."""
+    rows = _table(spark, paths, "id ident name latitude_deg longitude_deg elevation_ft type iso_country", "ident", countries)
+    filled = lambda c, other: F.coalesce(F.nullif(text.clean(F.col(c)), F.lit("")), other)
+    found = rows.select(
+        "code", filled("name", F.col("code")).alias("name"), text.parse_float(text.clean(F.col("latitude_deg"))).alias("lat"),
+        text.parse_float(text.clean(F.col("longitude_deg"))).alias("lon"), _metres("elevation_ft").alias("elev_m"),
+        filled("type", F.lit("airport")).alias("type"), filled("iso_country", F.lit("FR")).alias("country"), F.col("id").try_cast("long").alias("seq"),
+    ).where("lat is not null and lon is not null")
+    kept = [c for c in found.columns if c not in ("code", "seq")]
+    return found.groupBy("code").agg(F.max(F.struct("seq", *kept)).alias("x")).select("code", *[f"x.{c}" for c in kept])
+
+
+def read_runways(spark: SparkSession, paths: list[str] | str, countries: list[str]) -> DataFrame:
+    """The longest runway of each code, the first of equals by its id."""
+    rows = _table(spark, paths, "id airport_ident length_ft width_ft le_ident le_heading_degT", "airport_ident", countries)
+    number = lambda c: text.parse_float(text.clean(F.col(c)))
+    known = rows.withColumns({"feet": number("length_ft"), "seq": F.col("id").try_cast("long")}).where("feet is not null")
+    kept = F.struct(_metres("length_ft").alias("length_m"), _metres("width_ft").alias("width_m"), number("le_heading_degT").alias("heading_deg"), text.clean(F.col("le_ident")).alias("runway"))
+    return known.groupBy("code").agg(F.max_by(kept, F.struct("feet", -F.col("seq"))).alias("x")).select("code", "x.*")
+
+
+def read_frequencies(spark: SparkSession, paths: list[str] | str, countries: list[str]) -> DataFrame:
+    """Radio frequencies of each code between 118 and 137 MHz."""
+    rows = _table(spark, paths, "airport_ident frequency_mhz type description", "airport_ident", countries)
+    mhz = text.parse_float(text.clean(F.col("frequency_mhz")))
+    return rows.where(mhz.between(118, 137)).select("code", F.round(mhz, 3).alias("mhz"), text.clean(F.col("type")).alias("type"), text.clean(F.col("description")).alias("description"))
+
+
+def snapshot_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, hash, size)`` of every file below a folder: path from there, 16 digits of its content's SHA-1.
+
+    Spark's scan passes over files without content, so they are not listed.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    inner = F.substring_index("path", folder.rstrip("/").split("://")[-1].lstrip("/") + "/", -1)
+    return files.select(inner.alias("path"), F.substring(F.sha1("content"), 1, 16).alias("hash"), F.col("length").alias("size"))
+
+
+def read_cols(elements: DataFrame) -> DataFrame:
+    """``(name, lat, lon, elev_m)`` of map nodes ``(seq, name, lat, lon, ele)`` that have a name and a position.
+
+    One place is often mapped twice, so of those at one position, to 1/2000 degree, the first counts.
+    Heights are numbers with or without commas and a unit of metres; others are unknown.
+    """
+    tidy = F.trim(F.replace(F.replace(F.trim("ele"), F.lit(","), F.lit("")), F.lit("m"), F.lit("")))
+    name = F.trim(F.coalesce("name", F.lit("")))
+    named = elements.where((name != "") & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    spot = [F.bround(F.col(c) * 2000).cast("long").alias(f"_{c}") for c in ("lat", "lon")]
+    row = F.struct("seq", name.alias("name"), F.bround("lat", 5).alias("lat"), F.bround("lon", 5).alias("lon"), F.bround(tidy.try_cast("double")).cast("long").alias("elev_m"))
+    return named.groupBy(*spot).agg(F.min(row).alias("x")).select("x.name", "x.lat", "x.lon", "x.elev_m")
+
+
 def pack_index(manifests: DataFrame) -> DataFrame:
     """Packs in their published order with what a picker shows."""
     return manifests.select("pack_rank", "pack_id", F.concat(F.lit("packs/"), "pack_id", F.lit("/manifest.json")).alias("manifest"), "sites", "bytes").orderBy("pack_rank")

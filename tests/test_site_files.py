@@ -45,7 +45,7 @@ def test_names_and_submissions(spark, tmp_path):
     assert sorted(r.reason for r in bad.collect()) == ["coordinates", "country", "empty", "name", "photos", "reference"]
     assert sorted((r.type, r.name, r.lat, r.country) for r in good.collect()) == [("new-field", "abc", 45.0, "FR"), ("update", "", 1.0, None)]
     (tmp_path / "c" / "x").mkdir(parents=True)
-    (tmp_path / "c" / "x" / "1.json").write_text('{"fieldId": "a", "fieldLat": 45.5, "description": "ok"}')
+    (tmp_path / "c" / "x" / "1.json").write_text('{"fieldId": "a", "fieldLat": 45.5,\n "description": "ok"}')
     (tmp_path / "c" / "2.json").write_text('{"broken')
     found, broken = sites.read_contributions(spark, f"file://{tmp_path}/c")
     assert [(r.site_id, r.lat, r.description) for r in found.collect()] == [("a", 45.5, "ok")] and broken.count() == 1
