@@ -141,7 +141,9 @@ def labelled_frequencies(c, near: int = 24) -> Column:
 
     zipped = F.arrays_zip(before.alias("b"), number.alias("n"), after.alias("a"))
     inside = F.filter(F.transform(zipped, entry), lambda x: x["mhz"].between(118, 137))
-    return F.filter(inside, lambda x, i: F.array_position(F.transform(inside, lambda y: y["mhz"]), x["mhz"]) == i + 1)
+    # as the one element of an array, the list is worked out once and not again for each of its entries
+    once = lambda found: F.filter(found, lambda x, i: F.array_position(F.transform(found, lambda y: y["mhz"]), x["mhz"]) == i + 1)
+    return F.get(F.transform(F.array(inside), once), 0)
 
 
 def format_freq(mhz, kind) -> Column:

@@ -72,9 +72,10 @@ def merge_fields(grouped: DataFrame) -> DataFrame:
     """
     code, raw = F.upper(text.clean(F.col("code"))), text.clean(F.col("raw_difficulty"))
     level = F.upper(text.clean(F.col("difficulty")))
-    named = F.when(text.clean(F.col("name")) != "", name_quality(text.clean_display_name(F.col("name"))))
+    # in a column of its own, a name is made ready to show once, not for each test of it
+    named = F.when(text.clean(F.col("name")) != "", name_quality(F.col("_shown")))
     q = F.col("_q")
-    g = grouped.withColumns({"_q": record_quality(), "_name": named})
+    g = grouped.withColumn("_shown", text.clean_display_name(F.col("name"))).withColumns({"_q": record_quality(), "_name": named})
     rank = F.struct((~F.regexp_like(code, F.lit(REAL_CODE))).alias("made_up"), F.length(code).alias("n"), code.alias("code"))
     best = lambda c, has: F.max_by(F.when(has, F.col(c)), F.when(has, q)).alias(c)
     one = g.groupBy("gid").agg(
