@@ -1,4 +1,4 @@
-"""Routes over an elevation grid: windows, reachability by glide ratio, scores, choice and profiles.
+"""Routes over an elevation grid: windows, scores, choice and profiles; reachability is in `reach`.
 
 Tables: ``solves(solve_id, r0, c0, alt_m, north_m, east_m)``, one position to glide from, with the
 ground size of a cell; ``grid(solve_id, r, c, elev)``, its window of cells, those of unknown height
@@ -8,30 +8,19 @@ nodes)`` with nodes as ``array<struct<r, c>>``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glidemesh.operators.raster import NODATA
+from glidemesh.operators.reach import NODES, GlideParams, headroom, reachability  # noqa: F401
 from glidemesh.operators.resolve import ensure_checkpoints
 
 METRES_PER_DEGREE = 111_320.0
-NODES = "array<struct<r:long,c:long>>"
 PATH = ["solve_id", "target_id"]
 
 
-@dataclass(frozen=True)
-class GlideParams:
-    clearance_m: float = 200.0
-    margin_m: float = 250.0
-    ramp_m: float = 2_000.0
-    #: Glide ratios that are tried from the lowest up. Fixed values.
-    ladder: tuple[int, ...] = (8, 10, 12, 14, 17, 20, 24, 28, 33, 40, 50, 65)
-
-
 def routing_windows(solves: DataFrame, per_degree: int = 1_200, pooled: int = 3) -> DataFrame:
     """``solves(solve_id, lat, lon, radius_m)`` with the lattice window of each.
 
@@ -87,11 +76,6 @@ def coverage(grid: DataFrame, windows: DataFrame) -> DataFrame:
     return windows.join(n, "solve_id", "left").select("solve_id", covered.alias("covered"), (covered / (F.col("rows") * F.col("cols"))).alias("coverage"))
 
 
-def _headroom(alt, elev, floor, flown, p: GlideParams):
-    """Height left over cells; a cell that holds a target is bounded by its floor alone."""
-    return np.where(np.isnan(floor), alt - elev - p.clearance_m * np.minimum(1.0, flown / p.ramp_m), alt - floor)
-
-
 def _arrays(grid: pd.DataFrame, targets: pd.DataFrame, solve, p: GlideParams) -> tuple[np.ndarray, np.ndarray]:
     """Heights and floors of one window as dense arrays, NaN where there are none."""
     g = grid[grid.elev != NODATA]
@@ -102,72 +86,6 @@ def _arrays(grid: pd.DataFrame, targets: pd.DataFrame, solve, p: GlideParams) ->
     return elev, floor
 
 
-def _flood(elev: np.ndarray, floor: np.ndarray, solve, ratio: float, p: GlideParams) -> tuple[np.ndarray, np.ndarray]:
-    """Least path length to every cell at a glide ratio, and the cell each is entered from (ties: the lowest).
-
-    All cells are relaxed at once from their eight neighbours until nothing changes. As the height
-    left never grows with the way flown, this ends at the same lengths as a search by distance.
-    """
-    dist, prev = np.full(elev.shape, np.inf), np.full(elev.shape, -1)
-    dist[int(solve.r0), int(solve.c0)] = 0.0
-    ids = np.arange(elev.size).reshape(elev.shape)
-    moves = [(i, j, float(np.hypot(i * solve.north_m, j * solve.east_m))) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
-    cut = lambda d: (slice(max(d, 0), None if d >= 0 else d), slice(max(-d, 0), None if d <= 0 else -d))
-    while True:
-        old, changed = dist.copy(), False
-        for i, j, cost in moves:
-            (ri, rf), (ci, cf) = cut(i), cut(j)
-            to, come = (ri, ci), (rf, cf)
-            way = old[come] + cost
-            room = _headroom(solve.alt_m, elev[to], floor[to], way, p)
-            with np.errstate(invalid="ignore"):
-                better = (way < dist[to]) | ((way == dist[to]) & (ids[come] < prev[to]) & np.isfinite(way))
-                better &= (room > 0) & (way <= ratio * room)
-            if better.any():
-                dist[to][better], prev[to][better] = way[better], ids[come][better]
-                changed = True
-        if not changed:
-            return dist, prev
-
-
-def reachability(grid: DataFrame, solves: DataFrame, targets: DataFrame, p: GlideParams = GlideParams()) -> DataFrame:
-    """``(solve_id, target_id, rung, length_m, nodes)`` of targets that some rung of the ladder reaches.
-
-    The lowest such rung decides the path. A group is one solve's window, bounded by the longest
-    glide; solves are dealt to tasks. A target outside its window or a solve without targets has no
-    row; the cell glided from is exempt.
-    """
-
-    def run(key, window: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        t = rest[rest.target_id.notna()]
-        if len(t) and len(window):
-            solve = rest.iloc[0]
-            elev, floor = _arrays(window, t, solve, p)
-            open_ = list(t.itertuples(index=False))
-            for ratio in p.ladder:
-                if not open_:
-                    break
-                dist, prev = _flood(elev, floor, solve, ratio, p)
-                origin, later = int(solve.r0) * elev.shape[1] + int(solve.c0), []
-                for x in open_:
-                    if not np.isfinite(dist[int(x.r), int(x.c)]):
-                        later.append(x)
-                        continue
-                    path = [int(x.r) * elev.shape[1] + int(x.c)]
-                    while path[-1] != origin:
-                        path.append(int(prev.flat[path[-1]]))
-                    nodes = [{"r": i // elev.shape[1], "c": i % elev.shape[1]} for i in reversed(path)]
-                    out.append((solve.solve_id, x.target_id, ratio, dist[int(x.r), int(x.c)], nodes))
-                open_ = later
-        return pd.DataFrame(out, columns=["solve_id", "target_id", "rung", "length_m", "nodes"])
-
-    asked = solves.join(targets, "solve_id").select("solve_id", "r0", "c0", "alt_m", "north_m", "east_m", "target_id", "r", "c", "elev_m")
-    return grid.groupBy("solve_id").cogroup(asked.groupBy("solve_id")).applyInPandas(
-        run, f"solve_id long, target_id long, rung int, length_m double, nodes {NODES}"
-    )
-
-
 def _legs(paths: DataFrame, solves: DataFrame) -> DataFrame:
     """One row a leg: its ends, steps, length and the way flown before it."""
     each = F.expr("transform(sequence(0, greatest(size(nodes) - 2, 0)), i -> struct(nodes[i] as a, coalesce(try_element_at(nodes, i + 2), nodes[i]) as b))")
@@ -259,7 +177,7 @@ def _farthest(elev, floor, solve, nodes: np.ndarray, at: int, flown: float, limi
     r, c = np.floor(a + (to[leg] - a) * s[:, None] / n[leg][:, None] + 0.5).astype(int).T
     ends = flown + np.hypot((to - a)[:, 0] * solve.north_m, (to - a)[:, 1] * solve.east_m)
     way = flown + (ends[leg] - flown) * s / n[leg]
-    room = _headroom(solve.alt_m, elev[r, c], floor[r, c], way, p)
+    room = headroom(solve.alt_m, elev[r, c], floor[r, c], way, p)
     with np.errstate(divide="ignore", invalid="ignore"):
         good = (room > 0) & (way / room <= limit)
     arrives = (leg == len(to) - 1) & (s == n[leg])

@@ -1,9 +1,11 @@
 import heapq
 import math
+import time
 
 import numpy as np
 import pytest
 
+from glidemesh.operators import reach
 from glidemesh.operators import routing as rt
 from glidemesh.plans import routing as plans
 from tests.oracle import rows_of_duckdb, rows_of_spark
@@ -123,3 +125,48 @@ def test_unknown_ground_and_empty_tables(spark, world):
     none = rt.score_paths(rt.direct_lines(s, t), grid.limit(0), s, t).where("ratio is not null")
     assert none.where("size(nodes) > 1 and nodes[0] <> nodes[1] and length_m > 400").count() == 0
     assert rt.reachability(grid.limit(0), s, t).count() == 0 and rt.reachability(grid, s, t.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("side", [5, 8, 22])
+def test_tiles_do_not_change_labels_or_rungs(world, side):
+    """Windows cut into tiles, with paths that leave a tile and come back, against one tile each."""
+    _, _, _, *dfs = world
+    whole = {r.target_id: r for r in rt.reachability(*dfs).collect()}
+    cut = {r.target_id: r for r in rt.reachability(*dfs, side=side).collect()}
+    assert set(cut) == set(whole)
+    for t, r in cut.items():
+        assert (r.rung, r.length_m, len(r.nodes)) == (whole[t].rung, pytest.approx(whole[t].length_m), len(whole[t].nodes))
+        assert (r.nodes[0], r.nodes[-1]) == (whole[t].nodes[0], whole[t].nodes[-1])
+        assert all(max(abs(a.r - b.r), abs(a.c - b.c)) == 1 for a, b in zip(r.nodes, r.nodes[1:]))
+
+
+def hills(n, seed=0):
+    rng, y = np.random.default_rng(seed), np.arange(n)
+    ground = np.full((n + 4, n + 4), np.nan)
+    ground[2:-2, 2:-2] = 900 + 500 * np.sin(y / 9)[:, None] + 450 * np.cos(y / 7)[None, :] + rng.normal(0, 60, (n, n))
+    return reach.Ground(ground, np.full(ground.shape, np.nan), 3000.0, 278.0, 250.0)
+
+
+@pytest.mark.parametrize("n,seconds", [(230, 4.0), (650, 30.0)])
+def test_ladder_within_the_published_times(n, seconds):
+    """Twelve rungs over the windows of 32 and 90 km."""
+    ground = hills(n)
+    dist = np.full((len(P.ladder), ground.elev.size), np.inf)
+    dist[:, (n // 2) * ground.elev.shape[1] + n // 2] = 0.0
+    start = time.perf_counter()
+    reach.settle_ladder(dist, ground, P)
+    assert time.perf_counter() - start < seconds
+    assert (np.isfinite(dist).sum(axis=1)[1:] >= np.isfinite(dist).sum(axis=1)[:-1]).all() and np.isfinite(dist[-1]).sum() > n * n / 4
+
+
+def test_labels_are_a_fixpoint_of_the_search_by_distance():
+    ground = hills(60, 4)
+    dist = np.full((len(P.ladder), ground.elev.size), np.inf)
+    origin = 30 * 64 + 30
+    dist[:, origin] = 0.0
+    reach.settle_ladder(dist, ground, P)
+    elev = {(r, c): ground.elev[r, c] for r in range(64) for c in range(64) if not np.isnan(ground.elev[r, c])}
+    for k, ratio in enumerate(P.ladder):
+        want = search(elev, {}, (30, 30), ground.alt_m, ground.north_m, ground.east_m, ratio, 64)
+        got = {(int(i) // 64, int(i) % 64): dist[k, i] for i in np.flatnonzero(np.isfinite(dist[k]))}
+        assert set(got) == set(want) and all(got[c] == pytest.approx(d) for c, d in want.items())
