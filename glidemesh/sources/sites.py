@@ -2,48 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glidemesh.functions import text
+from glidemesh.sources import quoted
 
-WAYPOINTS = ["name", "code", "country", "lat", "lon", "elev", "style", "rwdir", "rwlen", "rwwidth", "freq", "desc", "userdata", "pics"]
-
-
-def decoded(content: Column) -> Column:
-    """A file's text: UTF-8 where it is that, with or without a mark, else Latin-1."""
-    utf8 = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
-    return F.regexp_replace(F.coalesce(utf8, F.decode(content, "ISO-8859-1")), "^\\uFEFF", "")
+#: Columns that are read of waypoint files, found by their names in the header. Fixed values.
+WAYPOINTS = [
+    "name", "code", "country", "lat", "lon", "elev", "style", "type", "rwdir", "rwlen", "rwwidth", "width", "rw_width", "desc", "comment",
+    "userdata", "pics", "images", "files", "freq", "frequency", "frequence", "fréquence", "radio",
+]
+#: The header of written waypoint files.
+HEADER = "name,code,country,lat,lon,elev,style,rwdir,rwlen,freq,desc"
 
 
 def read_waypoints(spark: SparkSession, paths: list[str] | str, source: str) -> DataFrame:
-    """The usable waypoints of files in the CUP format, one row each, in the order of their lines.
+    """The usable waypoints of files in the CUP format, one row each; ``line_no`` is the number of its
+    first line in its file.
 
-    A file is one row until its lines are dealt out, as its encoding is told from all of it; files
-    are many and small. A header that runs into the first line is parted from it. Rows without a
-    name or a position, and ``version=`` rows, are left out. Columns are found by the header's names.
+    Quoted fields may hold line ends, commas and doubled quotes; a file's splits are read apart (see
+    ``quoted``). A header that runs into the first line is parted from it. Rows without a name or a
+    position, and ``version=`` rows, are left out. Columns are found by the header's names; of two
+    with one name the last counts.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    whole = F.regexp_replace(decoded(F.col("content")), 'pics *"?version=', 'pics\n"version=')
-    lines = files.select("path", F.split(whole, "\\r?\\n").alias("lines")).select("path", F.col("lines")[0].alias("head"), F.posexplode("lines").alias("line_no", "line"))
-    lines = lines.where((F.col("line_no") > 0) & (F.trim("line") != "")).repartition("path", "line_no")
-    cells = lambda c: F.transform(F.regexp_extract_all(F.concat(F.col(c), F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), F.lit(1)), lambda x: F.replace(text.clean(x), F.lit('""'), F.lit('"')))
-    pairs = F.zip_with(F.array_distinct(F.transform(cells("head"), F.lower)), cells("line"), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    rows = lines.select("path", "line_no", F.map_from_entries(F.filter(pairs, lambda x: x["k"].isNotNull())).alias("m"))
-    at = {c: F.coalesce(F.col("m")[c], F.lit("")) for c in WAYPOINTS}
-    notes = at["desc"]
+    found = quoted.records(quoted.file_lines(spark, paths))
+    head = found.where("line_no = 0").select("path", F.regexp_replace("record", '(?s)pics *"?version=.*$', "pics").alias("record"))
+    head = head.select("path", F.transform(quoted.fields(F.col("record")), lambda x: F.lower(F.trim(x))).alias("head"))
+    values = lambda x: F.regexp_replace(x, r'^\s+|\s+$', "")
+    rows = found.where("line_no > 0").join(head, "path").withColumn("v", quoted.fields(F.col("record")))
+    place = {c: F.array_position(F.reverse("head"), c) for c in WAYPOINTS}
+    # a name at place k from the end is the (size - k)-th column; a short row has fewer values
+    at = {c: F.coalesce(F.when(k > 0, text.clean(values(F.get("v", (F.size("head") - k).cast("int"))))), F.lit("")) for c, k in place.items()}
+    rows = rows.select("path", "line_no", *[v.alias(c) for c, v in at.items()])
+    some = lambda *cs: F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in cs])
+    notes = F.coalesce(F.nullif("desc", F.lit("")), "comment")
+    width = F.coalesce(*[F.nullif(text.parse_length_m(F.col(c)), F.lit(0.0)) for c in ("rwwidth", "width", "rw_width")], text.parse_width_m(some("desc", "comment", "userdata")))
     return (
         rows.select(
-            "path", "line_no", at["name"].alias("name"), at["code"].alias("code"), at["country"].alias("country"),
-            F.round(text.parse_coord(at["lat"], True), 7).alias("lat"), F.round(text.parse_coord(at["lon"], False), 7).alias("lon"),
-            text.parse_length_m(at["elev"]).alias("elev_m"), text.parse_length_m(at["rwlen"]).alias("length_m"),
-            F.coalesce(text.parse_float(F.col("m")["rwwidth"]), text.parse_width_m(notes)).alias("width_m"),
-            text.parse_float(F.nullif(at["rwdir"], F.lit(""))).alias("heading_deg"),
-            text.raw_difficulty(F.concat_ws(" ", notes, at["userdata"]), at["style"]).alias("raw_difficulty"),
-            text.strip_tags(notes).alias("notes"), text.media_refs(at["pics"]).alias("media_refs"), F.lit(source).alias("source"),
+            "path", "line_no", "name", "code", "country",
+            F.round(text.parse_coord(F.upper("lat"), True), 7).alias("lat"), F.round(text.parse_coord(F.upper("lon"), False), 7).alias("lon"),
+            text.parse_length_m(F.col("elev")).alias("elev_m"), text.parse_length_m(F.col("rwlen")).alias("length_m"), width.alias("width_m"),
+            text.parse_float(F.nullif("rwdir", F.lit(""))).alias("heading_deg"),
+            text.raw_difficulty(F.concat_ws(" ", notes, "userdata", "type"), F.col("style")).alias("raw_difficulty"),
+            text.strip_tags(notes).alias("notes"), text.media_refs(some("pics", "images", "files")).alias("media_refs"), F.lit(source).alias("source"),
+            some("freq", "frequency", "frequence", "fréquence", "radio", "userdata", "comment", "desc").alias("radio_text"),
         )
         .where("name <> '' and lower(name) not like 'version=%' and lat is not null and lon is not null")
-        .withColumns({"difficulty": text.grade(F.col("raw_difficulty")), "kind": text.site_kind(F.col("raw_difficulty"), F.col("code"))})
+        .withColumns({"difficulty": text.grade(F.col("raw_difficulty")), "kind": text.site_kind(F.col("raw_difficulty"), F.col("code")), "frequencies": text.labelled_frequencies(F.col("radio_text"))})
+        .drop("radio_text")
     )
 
 
@@ -62,8 +72,32 @@ def waypoint_lines(sites: DataFrame, lang: str = "en") -> DataFrame:
     return sites.where("lat is not null and lon is not null").select("pack_id", "kind", "name", line.alias("line"))
 
 
+def export_waypoints(lines: DataFrame, folder: str) -> None:
+    """Waypoint files that other programs open: a folder a pack, every file with the header first.
+
+    Packs are split by ranges of names where they are large, so no task writes all of one.
+    """
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = ()
+        for batch in batches:
+            out = []
+            for pack, line in zip(batch["pack_id"].to_pylist(), batch["line"].to_pylist()):
+                if (pack,) != last:
+                    out.append((pack, HEADER))
+                    last = (pack,)
+                out.append((pack, line))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["pack_id", "line"])
+
+    dealt = lines.repartitionByRange("pack_id", "name").sortWithinPartitions("pack_id", "name").select("pack_id", "line")
+    files = dealt.mapInArrow(headed, "pack_id string, line string")
+    # a file limit would cut a file after its header
+    files.write.partitionBy("pack_id").option("lineSep", "\r\n").option("maxRecordsPerFile", 0).mode("overwrite").text(folder)
+
+
 def write_waypoints(lines: DataFrame, folder: str) -> None:
-    """One folder of text a pack, each site in the pack it was given to."""
+    """The bare lines without a header: one folder of text a pack, each site in the pack it was given to."""
     lines.select("pack_id", "line").repartition("pack_id").write.partitionBy("pack_id").option("lineSep", "\r\n").mode("overwrite").text(folder)
 
 
