@@ -2,27 +2,78 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def assign_packs(sites: DataFrame, packs: DataFrame, edges: DataFrame, most: int = 100_000) -> DataFrame:
-    """``(src_seq, pack_id, pack_rank)``: by country, or by ray casting with half-open edges.
+def _strips(edges: DataFrame, cell: float, slack: float) -> DataFrame:
+    """Edges once for every row of cells that they touch, with the columns they touch there."""
+    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
+    row = lambda y: F.floor(y / cell).cast("long")
+    e = edges.withColumn("row", F.explode(F.sequence(row(lo - slack), row(hi + slack))))
+    # where the edge enters and leaves the row; a level one is in it as a whole
+    y0, y9 = F.greatest(lo, F.col("row") * cell), F.least(hi, (F.col("row") + 1) * cell)
+    x = lambda y: F.when(F.col("y1") == F.col("y2"), None).otherwise(F.col("x1") + (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")))
+    ends = [F.coalesce(x(y0), F.col("x1")), F.coalesce(x(y9), F.col("x2"))]
+    col = lambda v: F.floor(v / cell).cast("long")
+    return e.withColumns({"c0": col(F.least(*ends) - slack), "c1": col(F.greatest(*ends) + slack)})
+
+
+def cell_cover(edges: DataFrame, cell: float = 0.25, slack: float = 1e-9) -> tuple[DataFrame, DataFrame]:
+    """``(fence, row, col, border)`` of the cells in or on rings ``edges(fence, y1, x1, y2, x2)``, and
+    the edges by the rows they touch.
 
-    Packs and edges are literals of the job, a few dozen rows; more than ``most`` are refused before
-    any is broadcast.
+    A cell that an edge touches is a border cell. Any other is inside or outside as a whole, as its
+    middle is: along the middle of a row, the crossings of a ring pair up to what lies inside.
     """
-    n = packs.count() + edges.count()
-    if n > most:
-        raise ValueError(f"{n} packs and edges; above {most} they are no literals of a job")
-    by_country = sites.join(F.broadcast(packs.where("country is not null")), "country").select("src_seq", "pack_id", "pack_rank")
-    fenced = F.broadcast(packs.where("fence is not null").select("pack_id", "pack_rank", "fence").join(edges, "fence"))
+    strips = _strips(edges, cell, slack)
+    border = strips.select("fence", "row", F.explode(F.sequence("c0", "c1")).alias("col")).distinct()
+    middle = (F.col("row") + 0.5) * cell
+    cuts = strips.where((F.col("y1") > middle) != (F.col("y2") > middle))
+    at = (F.col("x2") - F.col("x1")) * (middle - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    lists = cuts.groupBy("fence", "row").agg(F.sort_array(F.collect_list(at)).alias("x"))
+    pairs = F.explode(F.expr("transform(sequence(0, size(x) div 2 - 1), i -> struct(x[2 * i] as a, x[2 * i + 1] as b))"))
+    col = lambda v: F.floor(F.col(v) / cell).cast("long")
+    whole = lists.where("size(x) > 1").select("fence", "row", pairs.alias("p")).select("fence", "row", F.explode(F.sequence(col("p.a"), col("p.b"))).alias("col"))
+    inside = whole.distinct().join(border, ["fence", "row", "col"], "left_anti")
+    cover = border.withColumn("border", F.lit(True)).unionByName(inside.withColumn("border", F.lit(False)))
+    return cover, strips.select("fence", "row", "y1", "x1", "y2", "x2")
+
+
+def in_fences(sites: DataFrame, edges: DataFrame, cell: float = 0.25) -> DataFrame:
+    """``(src_seq, lon, fence)``: the rings that each site lies in, by ray casting with half-open edges.
+
+    Sites meet the cells that cover the rings by cell; only those in border cells meet edges, those
+    of their row. Rings do not reach over 180 degrees. Sites without a position are in none.
+    """
+    cover, strips = cell_cover(edges, cell)
+    at = sites.select("src_seq", "lat", "lon", F.floor(F.col("lat") / cell).cast("long").alias("row"), F.floor(F.col("lon") / cell).cast("long").alias("col"))
+    met = at.join(cover, ["row", "col"])
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (
         F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
     )
-    hits = sites.select("src_seq", "lat", "lon").join(fenced, crosses).groupBy("src_seq", "pack_id", "pack_rank").count()
-    # a pack with both selectors holds a site that meets both once
-    return by_country.unionByName(hits.where("count % 2 = 1").drop("count")).distinct()
+    near = met.where("border").join(strips, ["fence", "row"]).where(crosses)
+    odd = near.groupBy("src_seq", "lon", "fence").count().where("count % 2 = 1")
+    return met.where("not border").select("src_seq", "lon", "fence").unionByName(odd.drop("count"))
+
+
+def assign_packs(sites: DataFrame, packs: DataFrame, edges: DataFrame, cell: float = 0.25) -> DataFrame:
+    """``(src_seq, pack_id, pack_rank)``: by country, or by the ring that a pack is fenced with.
+
+    Where ``packs`` has ``min_lon`` and ``max_lon``, a fenced pack holds only the sites between them,
+    both included, so two packs may share a ring and overlap in a band; null is no bound. A pack with
+    both selectors holds a site that meets both once.
+    """
+    by_country = sites.join(packs.where("country is not null"), "country").select("src_seq", "pack_id", "pack_rank")
+    bound = lambda c: (F.col(c) if c in packs.columns else F.lit(None)).cast("double").alias(c)
+    fenced = packs.where("fence is not null").select("pack_id", "pack_rank", "fence", bound("min_lon"), bound("max_lon"))
+    hits = in_fences(sites, edges, cell).join(fenced, "fence")
+    hits = hits.where(F.coalesce(F.col("lon") >= F.col("min_lon"), F.lit(True)) & F.coalesce(F.col("lon") <= F.col("max_lon"), F.lit(True)))
+    return by_country.unionByName(hits.select("src_seq", "pack_id", "pack_rank")).distinct()
 
 
 def first_pack(members: DataFrame) -> DataFrame:
@@ -81,9 +132,37 @@ def diff_snapshots(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, by: str) -> DataFrame:
-    """SHA-256 of a group's sorted ``path:hash`` lines."""
+    """SHA-256 of a group's sorted ``path:hash`` lines.
+
+    Groups are dealt to tasks and sorted there; a digest is carried on line by line, so a task holds
+    one line of a group at a time, however many there are.
+    """
+    key = df.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sha = None, None
+        out: list[tuple] = []
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], kind), pa.array([d for _, d in out], pa.string())], names=[by, "digest"])
+        for batch in batches:
+            kind = batch.schema.field(by).type
+            for group, line in zip(batch[by].to_pylist(), batch["_line"].to_pylist()):
+                if sha is not None and group == now:
+                    sha.update(b"\n")
+                else:
+                    if sha is not None:
+                        out.append((now, sha.hexdigest()))
+                    now, sha = group, hashlib.sha256()
+                sha.update(line.encode())
+            if out:
+                yield done()
+                out = []
+        if sha is not None:
+            out.append((now, sha.hexdigest()))
+            yield done()
+
     line = F.concat_ws(":", F.col("path").cast("string"), F.substring("hash", 1, 12))
-    return df.groupBy(by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"))
+    dealt = df.select(by, line.alias("_line")).repartition(by).sortWithinPartitions(by, "_line")
+    return dealt.mapInArrow(run, f"`{by}` {key}, digest string")
 
 
 def coverage_status(expected: DataFrame, held: DataFrame, by: str) -> DataFrame:

@@ -28,6 +28,17 @@ members AS (SELECT src_seq, pack_id, pack_rank FROM sites JOIN packs USING (coun
   UNION ALL SELECT src_seq, pack_id, pack_rank FROM sites CROSS JOIN packs JOIN edges USING (fence)
   WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)"""
 add("J9_assign_packs", members, f"{M} SELECT src_seq, pack_id, pack_rank FROM members")
+#: Two packs on one ring that overlap between 7.3 and 9.2 degrees, and a pack by country.
+BANDS = """SELECT 'west' AS pack_id, 1 AS pack_rank, cast(null as varchar(2)) AS country, cast(3 as int) AS fence, cast(null as double) AS min_lon, cast(9.2 as double) AS max_lon
+  UNION ALL SELECT 'east', 2, NULL, 3, 7.3, NULL UNION ALL SELECT 'france', 3, 'FR', NULL, NULL, NULL UNION ALL SELECT 'north', 4, NULL, 1, 6.0, 11.0"""
+add(
+    "J9_banded_packs",
+    lambda s, d: packs.assign_packs(derive(s, d, fx.SITES), derive(s, d, BANDS), derive(s, d, fx.EDGES)),
+    f"""WITH sites AS ({plain(fx.SITES)}), packs AS ({BANDS}), edges AS ({fx.EDGES}) SELECT src_seq, pack_id, pack_rank FROM sites JOIN packs USING (country)
+    UNION ALL SELECT src_seq, pack_id, pack_rank FROM sites CROSS JOIN packs JOIN edges USING (fence)
+    WHERE (min_lon IS NULL OR lon >= min_lon) AND (max_lon IS NULL OR lon <= max_lon) AND (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1
+    GROUP BY ALL HAVING count(*) % 2 = 1""",
+)
 add("W5_first_pack", lambda s, d: packs.first_pack(members(s, d)), f"{M} SELECT src_seq, arg_min(pack_id, pack_rank) AS pack_id FROM members GROUP BY src_seq")
 FILES = ", files AS (SELECT pack_id, url, max(bytes) AS bytes, count(*) AS items FROM members JOIN media ON site = src_seq GROUP BY pack_id, url)"
 add(
