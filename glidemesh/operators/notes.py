@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glidemesh.operators.totals import running_totals
+
 #: Notes: documents' texts.
 NOTES = "SELECT doc_id AS note_id, text FROM {documents}"
 #: The segmentation in SQL, for comparison.
@@ -41,18 +43,13 @@ def apply_memory(df: DataFrame, tm: DataFrame) -> DataFrame:
 def misses(df: DataFrame, tm: DataFrame, budget: int) -> DataFrame:
     """Distinct segments without translation, in reading order, while their characters fit the budget.
 
-    The running total is taken over blocks of the order first, then inside the blocks that the
-    budget can reach, so the whole list is never one window.
+    ``first`` numbers the place: the note and, in it, the line, which is below 100,000 for lines of
+    that many; it only tells where a segment was found first, the order is by note and line.
     """
     s = segments(df).where("value <> ''").join(tm, F.col("norm") == F.col("value"), "left_anti")
-    one = s.groupBy("value").agg(F.min(F.struct("note_id", "pos")).alias("at")).select("at", F.length("value").cast("long").alias("chars"))
-    one = one.withColumn("block", F.floor(F.col("at.note_id") / 1_000))
-    sums = one.groupBy("block").agg(F.sum("chars").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = sums.select("block", before.alias("before")).where(F.col("before") <= budget)
-    run = F.sum("chars").over(Window.partitionBy("block").orderBy("at"))
-    out = one.join(near, "block").withColumn("total", F.col("before") + run).where(F.col("total") <= budget)
-    return out.select((F.col("at.note_id") * 100_000 + F.col("at.pos")).alias("first"), "chars", "total")
+    one = s.groupBy("value").agg(F.min(F.struct("note_id", "pos")).alias("at")).select("at.note_id", "at.pos", F.length("value").cast("long").alias("chars"))
+    out = running_totals(one, "note_id", ["pos"], "chars", budget)
+    return out.select((F.col("note_id") * 100_000 + F.col("pos")).alias("first"), "chars", "total")
 
 
 #: 'Label: value': a label of 24 characters at most, without a colon.
@@ -109,13 +106,8 @@ def lang_misses(df: DataFrame, tm: DataFrame, langs: list[str], budget: int) ->
     each = parts(df).where("value <> ''").withColumn("lang", every).withColumn("norm", norm_space(F.col("value")))
     each = each.join(whole.select("note_id", "lang"), ["note_id", "lang"], "left_anti").join(known, ["lang", "norm"], "left_anti")
     one = each.groupBy("lang", "norm").agg(F.min(F.struct("note_id", "pos", "part")).alias("first")).select("lang", "first", F.length("norm").cast("long").alias("chars"))
-    one = one.withColumn("block", F.floor(F.col("first.note_id") / 1000))
-    sums = one.groupBy("block").agg(F.sum("chars").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = sums.select("block", before.alias("before")).where(F.col("before") <= budget)
-    run = F.sum("chars").over(Window.partitionBy("block").orderBy("first", "lang"))
-    out = one.join(near, "block").withColumn("total", F.col("before") + run).where(F.col("total") <= budget)
-    return out.select("lang", "first.note_id", "first.pos", "first.part", "chars", "total")
+    one = one.select("lang", "first.note_id", "first.pos", "first.part", "chars")
+    return running_totals(one, "note_id", ["pos", "part", "lang"], "chars", budget).select("lang", "note_id", "pos", "part", "chars", "total")
 
 
 def tm_merge(current: DataFrame, incoming: DataFrame) -> DataFrame:

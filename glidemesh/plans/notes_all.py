@@ -19,6 +19,7 @@ def memory(s, d):
 
 
 QUERIES = {
+    "T1_segment_notes_all": lambda s, d: notes.parts(derive(s, d, notes.NOTES)).withColumn("value", F.md5("value")),
     "T2_T5_memory_lookup_all": lambda s, d: notes.translate_notes(derive(s, d, notes.NOTES), memory(s, d), LANGS).withColumn("text", F.md5("text")),
     "T3_misses_in_budget_all": lambda s, d: notes.lang_misses(derive(s, d, notes.NOTES), memory(s, d), LANGS, BUDGET),
 }
@@ -34,6 +35,9 @@ p AS (SELECT note_id, pos, mark, unnest(range(len(v))) AS part, unnest(v) AS val
 e AS (SELECT p.*, lang, {SPACE.format('value')} AS norm FROM p, langs WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.note_id = p.note_id AND w.lang = langs.lang)),
 h AS (SELECT e.*, translation FROM e LEFT JOIN m ON m.lang = e.lang AND m.norm = e.norm)"""
 ORACLES = {
+    "T1_segment_notes_all": f"""WITH s AS ({notes.SEGMENTS_SQL.format(notes=plain(notes.NOTES))}),
+    l AS (SELECT note_id, pos, mark, CASE WHEN regexp_matches(value, '{LABEL}') THEN [regexp_extract(value, '{LABEL}', 1) || ':', regexp_extract(value, '{LABEL}', 2)] ELSE [value] END AS v FROM s)
+    SELECT note_id, pos, mark, part, md5(value) AS value FROM (SELECT note_id, pos, mark, cast(unnest(range(len(v))) as integer) AS part, unnest(v) AS value FROM l) p""",
     "T2_T5_memory_lookup_all": f"""{HEAD}, t AS (SELECT note_id, lang, pos, mark[1:] || string_agg(coalesce(translation, value), ' ' ORDER BY part) AS line, count(translation) AS hits, count(*) FILTER (translation IS NULL AND value <> '') AS fallbacks FROM h GROUP BY note_id, lang, pos, mark)
     SELECT note_id, lang, md5(translation) AS text, true AS whole, 1 AS hits, 0 AS fallbacks FROM w
     UNION ALL SELECT note_id, lang, md5(string_agg(line, chr(10) ORDER BY pos)), false, cast(sum(hits) as bigint), cast(sum(fallbacks) as bigint) FROM t GROUP BY note_id, lang""",

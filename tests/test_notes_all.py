@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from glidemesh.operators import notes
+from glidemesh.operators import notes, totals
 from glidemesh.plans import notes_all
 from tests.oracle import rows_of_duckdb, rows_of_spark
 
@@ -32,3 +34,20 @@ def test_labels_whole_notes_and_languages(spark):
     assert missed == [("de", 1, 0, 0), ("de", 1, 0, 1), ("de", 1, 1, 0), ("fr", 1, 1, 0)]
     more = spark.createDataFrame([("fr", "grass", "gazon"), ("fr", "new", "nouveau"), ("fr", "new", "nouveau")], tm.schema)
     assert sorted(map(tuple, notes.tm_merge(tm, more).collect())) == sorted([*held, ("fr", "new", "nouveau")])
+
+
+def test_running_totals_over_all_levels(spark):
+    """Keys over the whole 64 bits, null and negative ones, ties and null values, against one pass."""
+    rng = random.Random(1)
+    keys = [rng.choice([rng.randrange(-(2**63) + 1, 2**63), rng.randrange(-300, 300), rng.randrange(2**20), 7]) for _ in range(600)]
+    rows = [(k, i, rng.choice([None, 1, 5, 40])) for i, k in enumerate(keys)] + [(None, i, 3) for i in range(4)]
+    df = spark.createDataFrame(rows, "k long, i long, v long").repartition(5)
+    want, total = {}, 0
+    for k, i, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        total += v or 0
+        want[k, i] = total
+    got = totals.running_totals(df, "k", ["i"], "v")
+    assert {(r.k, r.i): r.total for r in got.collect()} == want
+    half = total // 2
+    assert {(r.k, r.i): r.total for r in totals.running_totals(df, "k", ["i"], "v", half).collect()} == {k: t for k, t in want.items() if t <= half}
+    assert totals.running_totals(df.limit(0), "k", ["i"], "v").count() == 0
