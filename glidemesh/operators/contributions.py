@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from math import degrees
+from collections import defaultdict
+from collections.abc import Iterator
+from math import asin, cos, degrees, floor, pi, radians, sin, sqrt
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glidemesh.functions import geo, text
 from glidemesh.operators.records import RULE, localize
-from glidemesh.operators.resolve import cell_of, ensure_checkpoints, near_pairs
+from glidemesh.operators.resolve import cell_of, cells_around, ensure_checkpoints, near_pairs
 
 #: What a report is headed with in each language, and what a photo is.
 REPORT = {"en": "Pilot report", "fr": "Rapport pilote", "de": "Pilotenbericht"}
@@ -17,34 +20,79 @@ PHOTO = "Pilot photo"
 SOURCE = "Community contribution"
 
 
-def first_come(points: DataFrame, radius_m: float, rounds: int = 1_000) -> DataFrame:
+class _Nearby:
+    """Points on a sphere by cubes a radius wide: is one of them within the radius?"""
+
+    def __init__(self, radius_m: float):
+        self.radius_m, self.side, self.cubes = radius_m, 2 * sin(min(radius_m / geo.EARTH_M / 2, pi / 2)), defaultdict(list)
+
+    def _cube(self, la: float, lo: float) -> tuple[int, int, int]:
+        return floor(cos(la) * cos(lo) / self.side), floor(cos(la) * sin(lo) / self.side), floor(sin(la) / self.side)
+
+    def add(self, la: float, lo: float) -> None:
+        self.cubes[self._cube(la, lo)].append((la, lo))
+
+    def has(self, la: float, lo: float) -> bool:
+        x, y, z = self._cube(la, lo)
+        for i in (0, -1, 1):
+            for j in (0, -1, 1):
+                for k in (0, -1, 1):
+                    for a, o in self.cubes.get((x + i, y + j, z + k), ()):
+                        h = sin((a - la) / 2) ** 2 + cos(la) * cos(a) * sin((o - lo) / 2) ** 2
+                        if 2 * geo.EARTH_M * asin(sqrt(min(h, 1.0))) <= self.radius_m:
+                            return True
+        return False
+
+
+def _decide(left: DataFrame, radius_m: float, step: float) -> DataFrame:
+    """``(id, lat, lon, kept)`` of the points that their tile of ``step`` degrees keeps, or (``kept``
+    false) cannot decide on, as that hangs on earlier points beyond its edge."""
+    tile = cell_of(F.col("lat"), F.col("lon"), step)
+    each = left.withColumn("own", tile).withColumn("g", F.explode(cells_around(F.col("lat"), F.col("lon"), radius_m, step)))
+    each = each.select("g", (F.col("g") == F.col("own")).alias("mine"), "id", "lat", "lon")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, unsure = None, _Nearby(radius_m), _Nearby(radius_m)
+        for batch in batches:
+            out = []
+            for g, mine, i, lat, lon in zip(*(batch[c].to_pylist() for c in ("g", "mine", "id", "lat", "lon"))):
+                if g != now:
+                    now, kept, unsure = g, _Nearby(radius_m), _Nearby(radius_m)
+                la, lo = radians(lat), radians(lon)
+                if kept.has(la, lo):
+                    continue
+                # a point of another tile may be kept or not: that is not seen from here
+                sure = mine and not unsure.has(la, lo)
+                (kept if sure else unsure).add(la, lo)
+                if mine:
+                    out.append((i, lat, lon, sure))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["id", "lat", "lon", "kept"])
+
+    dealt = each.repartition("g").sortWithinPartitions("g", "id", "lat", "lon")
+    return dealt.mapInArrow(run, "id long, lat double, lon double, kept boolean")
+
+
+def first_come(points: DataFrame, radius_m: float, tile_m: float = 32_000.0) -> DataFrame:
     """The ``id`` of points ``(id, lat, lon)`` that are kept if they come in the order of their ids
     and each is kept unless one kept before is within the radius.
 
-    Each round takes the least id of every small cell, keeps those that no earlier open point is
-    near, and closes what is near these. Open points meet cell leaders only, never each other, so a
-    crowd of near points costs no pairs; points at one place count as their first. The first open
-    point is always kept, so every round settles some; rounds are as many as such decisions hang on
-    each other, and over ``rounds`` of them raise.
+    Each tile takes its points in order, with those just beyond its edge, and decides on all but the
+    ones that hang on what is beyond. What is near a kept point goes; the rest, along the edges, is
+    decided in tiles four times as wide, the last of them the globe: so the rounds are few and the
+    same for any chain of points, however long. A task reads its tiles' points as a stream and holds
+    the kept and undecided ones, so a crowd around a kept point costs no pairs and no memory. Points
+    at one place count as their first; those without a position are left out.
     """
     ensure_checkpoints(points.sparkSession)
-    step = degrees(radius_m / geo.EARTH_M) / 2
-    left = points.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("id").alias("id")).select("id", "lat", "lon").checkpoint()
-    kept = []
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
-        leaders = left.groupBy(cell_of(F.col("lat"), F.col("lon"), step).alias("g")).agg(F.min(F.struct("id", "lat", "lon")).alias("p")).select("p.*")
-        late = near_pairs(leaders, left, radius_m).where("y.id < x.id").select("x.id").distinct()
-        heads = leaders.join(late, "id", "left_anti").checkpoint()
-        near = near_pairs(heads, left, radius_m).select("y.id").distinct()
-        left = left.join(near, "id", "left_anti").join(heads, "id", "left_anti").checkpoint()
-        kept.append(heads.select("id"))
-    else:
-        raise RuntimeError(f"points did not settle in {rounds} rounds")
-    out = points.select("id").limit(0)
-    for part in kept:
-        out = out.union(part)
+    left = points.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("id").cast("long").alias("id")).select("id", "lat", "lon")
+    left, out, step = left.checkpoint(), points.select("id").limit(0), degrees(tile_m / geo.EARTH_M)
+    while not left.isEmpty():
+        found = _decide(left, radius_m, step if step < 90 else 360.0).checkpoint()
+        new, rest = found.where("kept"), found.where("not kept").select("id", "lat", "lon")
+        out = out.union(new.select("id"))
+        left = rest.join(near_pairs(new, rest, radius_m).select("y.id").distinct(), "id", "left_anti").checkpoint()
+        step *= 4
     return out
 
 
@@ -103,6 +151,41 @@ def proposal_note(lat, lon, kind, difficulty, runway, length, width, surface, fr
     )
 
 
+def in_path_order(contribs: DataFrame) -> DataFrame:
+    """``contribs`` with ``contrib_id``: whole numbers that rise with ``path``, with gaps. They are given
+    once and written down, as they would not be the same in a second run."""
+    ensure_checkpoints(contribs.sparkSession)
+    return contribs.repartitionByRange("path").sortWithinPartitions("path").withColumn("contrib_id", F.monotonically_increasing_id()).checkpoint()
+
+
+def proposals_of(contribs: DataFrame) -> DataFrame:
+    """The rows of ``sources.sites.read_contributions`` that propose a site, as ``triage_proposals``
+    takes them: with the proposal's own name and position, in the order of their paths."""
+    p = contribs.where(F.coalesce("type", F.lit("")) == "new-field")
+    own = ["kind", "difficulty", "country", "runway", "length_m", "width_m", "surface", "frequency", "elev_m"]
+    return p.select("contrib_id", F.col("proposed.name").alias("name"), F.col("proposed.lat").alias("lat"), F.col("proposed.lon").alias("lon"), F.col("site_id").alias("field_id"), *[f"proposed.{c}" for c in own])
+
+
+def fold_proposals(contribs: DataFrame, triaged: DataFrame) -> DataFrame:
+    """``contribs`` for ``fold_contributions``: each with the site ``src_seq`` that it is for, and what a
+    proposal says kept in its description where it became part of another site.
+
+    Sites that proposals made are numbered below zero, ``-1 - contrib_id`` of the proposal that made
+    them. A new site's own description and values are in the site, so it adds none here; bad
+    proposals are for no site.
+    """
+    t = triaged.select(F.col("contrib_id"), "how", F.col("src_seq").alias("_site"), "first_id")
+    j = contribs.join(t, "contrib_id", "left")
+    p = lambda c: F.col(f"proposed.{c}")
+    said = proposal_note(p("lat"), p("lon"), p("kind"), p("difficulty"), p("runway"), p("length_m"), p("width_m"), p("surface"), p("frequency"), p("elev_m"))
+    with_data = F.concat_ws("\n", F.nullif(text.clean(F.col("description")), F.lit("")), F.concat(F.lit("Proposed field data: "), F.nullif(said, F.lit(""))))
+    part = F.col("how").isin("update", "again")
+    site = F.when(F.col("how") == "update", F.col("_site")).when(F.col("how") == "again", -1 - F.col("first_id")).when(F.col("how") == "new", -1 - F.col("contrib_id"))
+    own = F.col("src_seq") if "src_seq" in contribs.columns else F.lit(None).cast("long")
+    text_of = F.when(part, with_data).when(F.col("how") == "new", F.lit("")).otherwise(F.col("description"))
+    return j.withColumns({"src_seq": F.when(F.col("how").isNotNull(), site).otherwise(own), "description": text_of}).drop("how", "_site", "first_id")
+
+
 def _told(contribs: DataFrame) -> DataFrame:
     """Contributions with the day they are from and who sent them, in brackets, if known."""
     day = F.coalesce(F.nullif(text.clean(F.col("date")), F.lit("")), F.substring(text.clean(F.col("submitted_at")), 1, 10))

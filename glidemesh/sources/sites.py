@@ -109,17 +109,33 @@ def write_packs(sites: DataFrame, folder: str) -> None:
 
 
 def read_contributions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """``(contributions, broken)``: every JSON file below a folder with its path, and those that do not parse."""
+    """``(contributions, broken)``: every JSON file below a folder with its path, and those that do not
+    parse or are no objects.
+
+    ``photos`` has those under ``photoAssets`` and then the single ``photoAsset`` of older files;
+    ``proposed`` is what a new site is proposed with, null where nothing is.
+    """
     files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     parsed = files.withColumn("v", F.try_parse_json("value"))
-    good = parsed.where("v is not null")
+    object_ = F.startswith(F.trim("value"), F.lit("{"))
+    good = parsed.where(F.col("v").isNotNull() & object_)
     get = lambda p, t: F.try_variant_get("v", p, t)
+    photo = "struct<url:string,name:string>"
+    assets = F.coalesce(get("$.photoAssets", f"array<{photo}>"), F.array().cast(f"array<{photo}>"))
+    one = get("$.photoAsset", photo)
+    photos = F.filter(F.concat(assets, F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast(f"array<{photo}>"))), lambda x: text.clean(x.url) != "")
+    number = lambda p: text.parse_float(get(p, "string"))
+    own = {"name": "name", "kind": "kind", "country": "country", "difficulty": "difficulty", "runway": "runway", "surface": "surface", "frequency": "frequency"}
+    sizes = {"lat": "latitude", "lon": "longitude", "elev_m": "elevationM", "length_m": "lengthM", "width_m": "widthM"}
+    proposed = F.struct(*[get(f"$.proposed.{k}", "string").alias(c) for c, k in own.items()], *[number(f"$.proposed.{k}").alias(c) for c, k in sizes.items()])
     out = good.select(
         "path", get("$.fieldId", "string").alias("site_id"), get("$.fieldCode", "string").alias("code"), get("$.fieldName", "string").alias("name"),
         get("$.fieldLat", "double").alias("lat"), get("$.fieldLon", "double").alias("lon"), get("$.description", "string").alias("description"),
         get("$.date", "string").alias("date"), get("$.submitter", "string").alias("submitter"), get("$.type", "string").alias("type"),
+        get("$.submittedAt", "string").alias("submitted_at"), get("$.submitter.handle", "string").alias("handle"), photos.alias("photos"),
+        F.when(get("$.proposed", "variant").isNotNull() & (get("$.type", "string") == "new-field"), proposed).alias("proposed"),
     )
-    return out, parsed.where("v is null").select("path")
+    return out, parsed.where(F.col("v").isNull() | ~object_).select("path")
 
 
 def read_airport_json(spark: SparkSession, paths: list[str] | str) -> DataFrame:
