@@ -26,8 +26,8 @@ DOC = ["doc_id", "d1"]
 class RepeatParams:
     length: int = 100  # bytes that a string must share with an earlier one
     most_starts: int = 1_024  # of one piece
-    chunk_pieces: int = 4_096  # of one bucket that are put in suffix order together
-    batch_bytes: int = 1 << 21
+    chunk_pieces: int = 1_024  # of one bucket that are put in suffix order together
+    batch_bytes: int = 1 << 16
 
 
 def _gram_hashes(buf: np.ndarray) -> np.ndarray:
@@ -189,16 +189,24 @@ def marks(found: DataFrame, p: RepeatParams) -> DataFrame:
 def suffix_ranks(buf: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """The place of each start's suffix in the order of first ``length`` bytes; equal ones share it.
 
-    Ranks of eight bytes are joined to ranks of 16, 32, ... and, with an overlap, of ``length``.
-    ``length`` is at least eight, and ``starts`` have so many bytes behind them.
+    Ranks of eight bytes are joined, as many as fit 64 bits, to ranks of longer strings, the last
+    ones with an overlap. ``length`` is at least eight, and ``starts`` have so many bytes behind them.
     """
-    n = len(buf)
-    word = np.ndarray(shape=(n - 7,), dtype=">u8", buffer=buf, strides=(1,)).astype(np.uint64)
+    word = np.ndarray(shape=(len(buf) - 7,), dtype=">u8", buffer=buf, strides=(1,)).astype(np.uint64)
+    bits = len(buf).bit_length()
     rank, have = np.unique(word, return_inverse=True)[1].astype(np.uint64), 8
-    pair = lambda x, y: np.unique((x << np.uint64(32)) | y, return_inverse=True)[1].astype(np.uint64)
-    while have * 2 <= length:
-        rank, have = pair(rank[: len(rank) - have], rank[have:]), have * 2
-    return pair(rank[starts], rank[starts + length - have]) if have < length else rank[starts]
+    if length == 8:
+        return rank[starts]
+    while True:
+        parts = min(64 // bits, -(-length // have))
+        last = parts * have >= length
+        at = starts if last else np.arange(len(buf) - parts * have + 1)
+        key = rank[at]
+        for k in range(1, parts):
+            key = (key << np.uint64(bits)) | rank[at + (length - have if last and k == parts - 1 else k * have)]
+        rank, have = np.unique(key, return_inverse=True)[1].astype(np.uint64), parts * have
+        if last:
+            return rank
 
 
 def smaller_before(pos: np.ndarray) -> np.ndarray:
