@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from math import degrees, pi, sqrt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glidemesh.functions import geo
-from glidemesh.operators.resolve import near_pairs
+from glidemesh.operators.resolve import cell_of, ensure_checkpoints, near_pairs
 
 
 def score_pairs(sites: DataFrame, fixes: DataFrame, radius_m: float = 60_000.0, margin_m: float = 250.0) -> DataFrame:
@@ -45,12 +47,54 @@ def _each_fix(df: DataFrame):
     return Window.partitionBy(*(["g", "fix_id"] if "g" in df.columns else ["fix_id"]))
 
 
-def rank_answers(df: DataFrame) -> DataFrame:
+def rank_answers(df: DataFrame, ties: tuple[str, ...] = ("distance_m", "src_seq")) -> DataFrame:
     """Least ratio first, rows without one last, then by distance."""
-    by = _each_fix(df).orderBy(F.asc_nulls_last("ratio"), "distance_m", "src_seq")
+    by = _each_fix(df).orderBy(F.asc_nulls_last("ratio"), *ties)
     return df.withColumn("rank", F.row_number().over(by).cast("long"))
 
 
+def best_answers(
+    sites: DataFrame, fixes: DataFrame, k: int, radius_m: float = 60_000.0, margin_m: float = 250.0, ties: tuple[str, ...] = ("distance_m", "src_seq")
+) -> DataFrame:
+    """The first ``k`` rows a fix of ``rank_answers(score_pairs(sites, fixes, radius_m), ties)``, without
+    scoring the pairs that cannot be among them. Without height over any site, ``ties`` begin with
+    the distance, or such fixes have no first rows but by chance of the ring.
+
+    Rings grow from one that holds some ``k`` sites where sites are as dense as on average, twice as
+    wide each time, up to the radius. No site beyond a ring needs less than the ring's width over the
+    height above the lowest site; a fix with ``k`` sites below that is done and makes no more pairs.
+    A fix without height over any site is done with ``k`` sites, as then the distance alone counts.
+    A round keeps ``k`` rows a fix; they are checkpointed, as the next one asks which fixes are done.
+    """
+    ensure_checkpoints(sites.sparkSession)
+    step = degrees(radius_m / geo.EARTH_M) / 12
+    known = sites.where("lat is not null and lon is not null")
+    n, cells, lowest = known.agg(F.count("*"), F.countDistinct(cell_of(F.col("lat"), F.col("lon"), step)), F.min("elev_m")).first()
+    open_ = fixes.select("fix_id", "lat", "lon", "alt_m")
+    dense = n / max(cells, 1) / (radius_m / 12) ** 2
+    ring = min(radius_m, sqrt(4 * k / (pi * dense))) if n else radius_m
+    top = F.col("alt_m") - F.lit(lowest).cast("double") - margin_m
+    found = []
+    while True:
+        last = ring >= radius_m
+        ranked = rank_answers(score_pairs(sites, open_, ring, margin_m), ties).where(F.col("rank") <= k)
+        if last:
+            found.append(ranked)
+            break
+        each = _each_fix(ranked)
+        told = ranked.withColumns({"_n": F.count("*").over(each), "_finite": F.count("ratio").over(each), "_worst": F.max("ratio").over(each)})
+        told = told.join(open_.select("fix_id", top.alias("_top")), "fix_id")
+        done = (F.col("_n") == k) & F.when(F.col("_top") > 0, (F.col("_finite") == k) & (F.col("_worst") < ring / F.col("_top"))).otherwise(True)
+        told = told.where(F.coalesce(done, F.lit(False))).select(ranked.columns).checkpoint()
+        found.append(told)
+        open_ = open_.join(told.select("fix_id").distinct(), "fix_id", "left_anti").checkpoint()
+        ring = min(2 * ring, radius_m)
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def top_picks(df: DataFrame, k: int = 3, max_ratio: float = 25.0) -> DataFrame:
     """Grade A within the ratio, airfields first, then the least ratio: k a fix."""
     by = _each_fix(df).orderBy((F.col("kind") != "airfield").cast("int"), "ratio", "src_seq")
@@ -65,6 +109,25 @@ def rest_list(ranked: DataFrame, picks: DataFrame, n: int = 120) -> DataFrame:
     return rest.withColumn("place", F.row_number().over(by).cast("long")).where(F.col("place") <= n)
 
 
+def best_picks(sites: DataFrame, fixes: DataFrame, k: int = 3, max_ratio: float = 25.0, radius_m: float = 60_000.0) -> DataFrame:
+    """``top_picks`` of all pairs, from the best ``k`` airfields and the best ``k`` other sites of grade A of each fix."""
+    good = sites.where("difficulty = 'A'")
+    airfield = F.coalesce(F.col("kind") == "airfield", F.lit(False))
+    both = [best_answers(good.where(w), fixes, k, radius_m, ties=("src_seq",)) for w in (airfield, ~airfield)]
+    return top_picks(both[0].unionByName(both[1]).drop("rank", "g"), k, max_ratio)
+
+
+def drift_beyond(scored: DataFrame, far_m: float, n: int) -> DataFrame:
+    """``rank_drift`` from all scored pairs to those farther than ``far_m``, in one pass over the pairs.
+    The best ``n`` or more of each fix do: what is better than one of them is among them."""
+    each = ["g", "fix_id"] if "g" in scored.columns else ["fix_id"]
+    order = [F.asc_nulls_last("ratio"), "distance_m", "src_seq"]
+    far = F.col("distance_m") > far_m
+    later = F.when(far, F.row_number().over(Window.partitionBy(*each, far).orderBy(*order)))
+    both = rank_answers(scored.withColumn("_later", later)).where(F.col("rank") <= n)
+    return both.groupBy("fix_id").agg(F.count("*").alias("held"), F.count_if(F.col("_later") > n).alias("sank"), F.count_if(F.col("_later").isNull()).alias("gone"))
+
+
 def solve_targets(ranked: DataFrame, n: int = 80, lo_m: float = 15_000, hi_m: float = 90_000) -> DataFrame:
     """Per fix the number of targets among the first n ranked, and the radius that holds them."""
     far = F.max("distance_m") * 1.5

@@ -253,6 +253,12 @@ def scored(s, d):
     return answers.score_pairs(sites(s, d), derive(s, d, fx.FIXES))
 
 
+def rest(s, d):
+    """The first 120 that are not picked are among the first 123."""
+    at, fixes = sites(s, d), derive(s, d, fx.FIXES)
+    return answers.rest_list(answers.best_answers(at, fixes, 123), answers.best_picks(at, fixes))
+
+
 add(
     "G6_J10_score_pairs",
     lambda s, d: scored(s, d).groupBy("fix_id", "reason").agg(F.count("*").alias("n"), F.round(F.min("ratio"), 3).alias("best")),
@@ -265,17 +271,17 @@ add(
 )
 add(
     "W1_rank_answers",
-    lambda s, d: answers.rank_answers(scored(s, d)).where("rank <= 10").select("fix_id", "src_seq", "rank", F.round("ratio", 3).alias("ratio")),
+    lambda s, d: answers.best_answers(sites(s, d), derive(s, d, fx.FIXES), 10).select("fix_id", "src_seq", "rank", F.round("ratio", 3).alias("ratio")),
     f"{SCORED} SELECT fix_id, src_seq, rank, round(ratio, 3) AS ratio FROM ranked WHERE rank <= 10",
 )
 add(
     "W2_top_picks",
-    lambda s, d: answers.top_picks(scored(s, d)).select("fix_id", "src_seq", "pick", F.round("ratio", 3).alias("ratio"), F.round("distance_m").cast("long").alias("d_m")),
+    lambda s, d: answers.best_picks(sites(s, d), derive(s, d, fx.FIXES)).select("fix_id", "src_seq", "pick", F.round("ratio", 3).alias("ratio"), F.round("distance_m").cast("long").alias("d_m")),
     f"{SCORED} SELECT fix_id, src_seq, pick, round(ratio, 3) AS ratio, cast(round(d) as bigint) AS d_m FROM picks",
 )
 add(
     "W3_rest_list",
-    lambda s, d: answers.rest_list(answers.rank_answers(scored(s, d)), answers.top_picks(scored(s, d))).select("fix_id", "src_seq", "place"),
+    lambda s, d: rest(s, d).select("fix_id", "src_seq", "place"),
     f"{SCORED} SELECT fix_id, src_seq, place FROM (SELECT r.fix_id, r.src_seq, row_number() OVER (PARTITION BY r.fix_id ORDER BY r.rank) AS place FROM ranked r ANTI JOIN picks p ON p.fix_id = r.fix_id AND p.src_seq = r.src_seq) x WHERE place <= 120",
 )
 add(
@@ -285,7 +291,7 @@ add(
 )
 add(
     "W12_rank_drift",
-    lambda s, d: answers.rank_drift(answers.rank_answers(scored(s, d)), answers.rank_answers(scored(s, d).where("distance_m > 20000")), 10),
+    lambda s, d: answers.drift_beyond(answers.best_answers(sites(s, d), derive(s, d, fx.FIXES), 10).drop("rank"), 20_000.0, 10),
     f"""{SCORED}, later AS (SELECT fix_id, src_seq, row_number() OVER (PARTITION BY fix_id ORDER BY ratio NULLS LAST, d, src_seq) AS l FROM scored WHERE d > 20000)
     SELECT r.fix_id, count(*) AS held, count(*) FILTER (l > 10) AS sank, count(*) FILTER (l IS NULL) AS gone FROM ranked r LEFT JOIN later USING (fix_id, src_seq) WHERE rank <= 10 GROUP BY r.fix_id""",
 )
