@@ -111,6 +111,34 @@ def select_documents(editions: DataFrame, lang: str) -> DataFrame:
     return editions.withColumn("r", F.row_number().over(by)).where("r = 1").drop("r")
 
 
+def ordered_documents(editions: DataFrame, lang: str, types: list[str]) -> DataFrame:
+    """``(code, documents)``: for each code one edition's ``seq`` a slot, in reading order.
+
+    ``editions`` are ``(seq, code, type, suffix, lang)``; a slot is a type and a suffix. Types that are
+    not listed go; cases do not matter. The first edition in the preferred language stands for its
+    slot, else the first of all. Slots come in the order of ``types``, then by the numbers in their
+    suffix (none: 0), compared as numbers one by one, then as they first came. A list holds one code's slots.
+    """
+    kind = F.upper("type")
+    e = editions.where(kind.isin([t.upper() for t in types])).withColumns({"type": kind, "_wanted": F.lower("lang") == lang.lower()})
+    slots = e.groupBy("code", "type", "suffix").agg(F.min("seq").alias("first"), F.coalesce(F.min(F.when(F.col("_wanted"), F.col("seq"))), F.min("seq")).alias("seq"))
+    numbers = F.transform(F.regexp_extract_all("suffix", F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("long"))
+    place = F.when(F.size(numbers) > 0, numbers).otherwise(F.array(F.lit(0).cast("long")))
+    rank = F.array_position(F.array(*[F.lit(t.upper()) for t in types]), F.col("type"))
+    each = slots.groupBy("code").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), place.alias("place"), "first", "seq"))).alias("l"))
+    return each.select("code", F.transform("l", lambda x: x.seq).alias("documents"))
+
+
+def sync_files(wanted: DataFrame, held: DataFrame, drift: bool) -> DataFrame:
+    """``(path, action)`` for files ``(path, bytes)``: ``fetch`` what is not held and, after a drift of
+    versions, what is held with another size than wanted; ``keep`` the rest, ``evict`` what is not wanted.
+    Sizes that are unknown or zero on either side are no reason to fetch."""
+    w, h = wanted.select("path", F.col("bytes").alias("w"), F.lit(True).alias("want")), held.select("path", F.col("bytes").alias("h"), F.lit(True).alias("have"))
+    other = F.coalesce((F.col("w") > 0) & (F.col("h") > 0) & (F.col("w") != F.col("h")), F.lit(False)) & F.lit(drift)
+    action = F.when(F.col("want").isNull(), "evict").when(F.col("have").isNull() | other, "fetch").otherwise("keep")
+    return w.join(h, "path", "full").select("path", action.alias("action"))
+
+
 def prefer_source(primary: DataFrame, secondary: DataFrame, key: str) -> DataFrame:
     """The primary's rows, and the secondary's for keys that it lacks; where each came from."""
     rest = secondary.join(primary.select(key).distinct(), key, "left_anti")
