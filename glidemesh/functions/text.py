@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,14 +158,43 @@ def difficulty_label(c) -> Column:
     return F.when(up.isin("A", "B", "C", "D"), up).when(up.isin("UNKNOWN", ""), "?").otherwise(F.lower(up))
 
 
+def unescape(c) -> Column:
+    """Character references resolved, each once: the named ones of HTML 4, decimal and hexadecimal ones.
+    Unknown names stay as they are."""
+    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+    parts = F.regexp_extract_all(c, F.lit(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);|[^&]++|&"), F.lit(0))
+
+    def char(number: Column) -> Column:
+        known = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    def one(x: Column) -> Column:
+        body = F.regexp_extract(x, "^&(.*);$", 1)
+        decimal = F.regexp_extract(body, r"^#(\d+)$", 1).try_cast("long")
+        hexa = F.conv(F.nullif(F.regexp_extract(body, r"^#[xX]([0-9a-fA-F]+)$", 1), F.lit("")), 16, 10).cast("long")
+        number = F.coalesce(decimal, hexa)
+        return F.when(number.isNotNull(), char(number)).otherwise(F.coalesce(F.try_element_at(names, body), x))
+
+    return F.array_join(F.transform(parts, one), "")
+
+
+def _untagged(c) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")
+
+
 def strip_html(c) -> Column:
-    s = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    s = F.regexp_replace(s, r"(?s)<[^>]*>", " ")
+    """A page without tags, six common references resolved, white space single."""
+    s = _untagged(c)
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         s = F.replace(s, F.lit(entity), F.lit(char))
     return norm_space(s)
 
 
+def page_text(c) -> Column:
+    """The text of a page: scripts, styles and tags go, all character references are resolved."""
+    return unescape(_untagged(c))
+
+
 def norm_space(c) -> Column:
     return F.trim(F.regexp_replace(c, r"[ \t\n\r\f]+", " "))
 

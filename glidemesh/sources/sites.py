@@ -227,16 +227,35 @@ def pack_index(manifests: DataFrame) -> DataFrame:
 COUNTRIES = ["FR", "CH", "DE", "IT", "AT"]
 
 
+#: Submissions: what a photo may be, and the characters that are kept of a proposal's texts. Fixed values.
+PHOTO_TYPE, PHOTO_BYTES, PHOTO_EDGE = "image/jpeg", 15_728_640, 2_560
+CLIPS = {"runway": 20, "surface": 60, "frequency": 20}
+
+
 def check_submissions(df: DataFrame, countries: list[str] | None = None, most_photos: int = 5) -> tuple[DataFrame, DataFrame]:
     """``(accepted, rejected)`` of submissions ``(type, name, lat, lon, country, site_id, description, photos)``.
 
-    Numbers are texts as they were sent; a blank one is none. Rejected rows say why, the first
-    reason found. Accepted proposals have their texts clipped and a grade of A to C or none.
+    Numbers are texts as they were sent; a blank one is none, and so is one that is not finite. Rejected
+    rows say why, the first reason found. With ``photo_files``, an array of structs of type, bytes and
+    long_edge (pixels, null: unknown), the first photo that is no JPEG, too large or too small tells.
+    Accepted proposals have their texts clipped (name, and of runway, surface, frequency, difficulty,
+    elev_m, length_m, width_m those that there are), a grade of A to C or none, and numbers or null.
     """
-    number = lambda c: F.trim(c).try_cast("double")
-    new, lat, lon = F.col("type") == "new-field", number(F.col("lat")), number(F.col("lon"))
+
+    def number(c: str) -> Column:
+        v = F.trim(c).try_cast("double")
+        return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+    new, lat, lon = F.col("type") == "new-field", number("lat"), number("lon")
     name = F.trim(F.substring(F.trim(F.coalesce("name", F.lit(""))), 1, 80))
     inside = F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
+    photo = F.lit(None).cast("string")
+    if "photo_files" in df.columns:
+        wrong = F.transform(
+            "photo_files",
+            lambda x: F.when(F.coalesce(x.type, F.lit("")) != PHOTO_TYPE, "photo-type").when(x.bytes > PHOTO_BYTES, "photo-size").when(x.long_edge < PHOTO_EDGE, "photo-edge"),
+        )
+        photo = F.get(F.array_compact(wrong), 0)
     reason = (
         F.when(new & (F.length(name) < 3), "name")
         .when(new & ~inside, "coordinates")
@@ -244,7 +263,13 @@ def check_submissions(df: DataFrame, countries: list[str] | None = None, most_ph
         .when(~new & ((F.coalesce(F.trim("site_id"), F.lit("")) == "") | lat.isNull() | lon.isNull()), "reference")
         .when(F.coalesce("photos", F.lit(0)) > most_photos, "photos")
         .when(~new & (F.coalesce(F.trim("description"), F.lit("")) == "") & (F.coalesce("photos", F.lit(0)) == 0), "empty")
+        .otherwise(photo)
     )
     told = df.withColumn("reason", reason)
-    good = told.where("reason is null").drop("reason").withColumns({"name": name, "lat": lat, "lon": lon, "country": F.upper(F.trim("country"))})
+    level = F.upper(F.trim("difficulty")) if "difficulty" in df.columns else None
+    tidy = {"name": name, "lat": lat, "lon": lon, "country": F.upper(F.trim("country"))}
+    tidy |= {c: F.substring(F.trim(c), 1, n) for c, n in CLIPS.items() if c in df.columns}
+    tidy |= {c: number(c) for c in ("elev_m", "length_m", "width_m") if c in df.columns}
+    tidy |= {} if level is None else {"difficulty": F.when(level.isin("A", "B", "C"), level).otherwise("")}
+    good = told.where("reason is null").drop("reason").withColumns(tidy)
     return good, told.where("reason is not null")
