@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glidemesh.functions import records, text
-from glidemesh.operators.records import merge_sources
+from glidemesh.operators.records import merge_notes, merge_sources
 
 #: How much a source's name counts for a record (those found add up), and for a name
 #: (the first found); codes that are real ones; a word that is a known slip of the pen.
@@ -100,3 +100,53 @@ def merge_fields(grouped: DataFrame) -> DataFrame:
     whole = one.withColumn("id", records.stable_id(F.col("country"), F.col("code"), name, *at))
     sources = merge_sources(grouped).select("gid", F.col("name").alias("sources"), "merged")
     return whole.join(sources, "gid").join(merge_docs(grouped), "gid", "left")
+
+
+#: The order in which frequencies are listed by what they are for, and how much the name
+#: of their source counts (those found add up).
+FREQ_ORDER = ["AFIS", "TWR", "CTAF", "ATF", "A/A", "UNICOM", "INFO", "RDO", "APP", "ATIS", "GND"]
+FREQ_SCORES = [("sia|aip", 50), ("openaip", 40), ("guide|cup|planeur", 10)]
+
+
+def merge_frequencies(grouped: DataFrame) -> DataFrame:
+    """``(gid, frequencies, frequency)``: of each group's ``freqs`` (structs of mhz, type, description and
+    source) and those found in the text ``frequency``, one of each frequency, the one of the best source,
+    the first of equals; by use, then by frequency, and the first of them in short."""
+    kind = "array<struct<mhz:double,type:string,description:string,source:string>>"
+    mined = F.transform(
+        text.labelled_frequencies(F.coalesce("frequency", F.lit(""))),
+        lambda x: F.struct(x.mhz.alias("mhz"), x.type.alias("type"), F.lit("").alias("description"), F.col("source").alias("source")),
+    ).cast(kind)
+    held = F.transform("freqs", lambda x: F.struct(x.mhz.alias("mhz"), x.type.alias("type"), x.description.alias("description"), x.source.alias("source"))).cast(kind)
+    each = grouped.select("gid", "src_seq", F.posexplode(F.concat(F.coalesce(held, F.array().cast(kind)), mined)).alias("pos", "f")).where("f.mhz is not null")
+    low, told = F.lower(text.clean(F.col("f.source"))), lambda c: (text.clean(F.col(f"f.{c}")) != "").cast("int")
+    score = sum((F.when(F.regexp_like(low, F.lit(p)), n).otherwise(0) for p, n in FREQ_SCORES), F.lit(0)) + 2 * told("type") + told("description")
+    one = each.withColumn("mhz", F.round("f.mhz", 3)).groupBy("gid", "mhz").agg(F.max_by("f", F.struct(score.alias("s"), -F.col("src_seq"), -F.col("pos"))).alias("f"))
+    said = F.upper(F.concat_ws(" ", text.clean(F.col("f.type")), text.clean(F.col("f.description"))))
+    rank = F.coalesce(*[F.when(F.contains(said, F.lit(t)), i) for i, t in enumerate(FREQ_ORDER)], F.lit(len(FREQ_ORDER)))
+    lists = one.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "mhz", "f.type", "f.description", "f.source"))).alias("l"))
+    lists = lists.select("gid", F.transform("l", lambda x: F.struct(x.mhz.alias("mhz"), x.type.alias("type"), x.description.alias("description"), x.source.alias("source"))).alias("frequencies"))
+    first = F.col("frequencies")[0]
+    return lists.withColumn("frequency", text.format_freq(first["mhz"], text.clean(first["type"])))
+
+
+def merge_media_items(grouped: DataFrame) -> DataFrame:
+    """``(gid, media)``: a group's media, structs with a ``url``, the first of each address in their order."""
+    each = grouped.select("gid", "src_seq", F.posexplode("media").alias("pos", "m")).withColumn("url", text.clean(F.col("m.url"))).where("url <> ''")
+    one = each.groupBy("gid", "url").agg(F.min(F.struct("src_seq", "pos")).alias("at"), F.min_by("m", F.struct("src_seq", "pos")).alias("m"))
+    lists = one.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("at", "url", "m"))).alias("l"))
+    return lists.select("gid", F.transform("l", lambda x: x.m).alias("media"))
+
+
+def whole_records(grouped: DataFrame) -> DataFrame:
+    """``merge_fields`` with the groups' ``frequencies``, their short ``frequency``, ``media`` and ``notes``.
+
+    ``freqs`` and ``media`` are arrays of structs (see above), ``notes`` maps of languages to texts; each
+    language's notes are put together apart, those alike in their beginnings once. Lists are empty, maps
+    and the short frequency null or empty where a group has none. A list holds one group's distinct items.
+    """
+    notes = merge_notes(grouped.select("gid", "src_seq", F.explode("notes").alias("lang", "note")))
+    notes = notes.groupBy("gid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "note")))).alias("notes"))
+    out = merge_fields(grouped).join(merge_frequencies(grouped), "gid", "left").join(merge_media_items(grouped), "gid", "left").join(notes, "gid", "left")
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(out.schema[c].dataType))
+    return out.withColumns({"frequencies": empty("frequencies"), "media": empty("media"), "frequency": F.coalesce("frequency", F.lit(""))})
