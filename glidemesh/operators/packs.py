@@ -61,13 +61,17 @@ def in_fences(sites: DataFrame, edges: DataFrame, cell: float = 0.25) -> DataFra
     return met.where("not border").select("src_seq", "lon", "fence").unionByName(odd.drop("count"))
 
 
-def assign_packs(sites: DataFrame, packs: DataFrame, edges: DataFrame, cell: float = 0.25) -> DataFrame:
+def assign_packs(sites: DataFrame, packs: DataFrame, edges: DataFrame, most: int = 100_000, cell: float = 0.25) -> DataFrame:
     """``(src_seq, pack_id, pack_rank)``: by country, or by the ring that a pack is fenced with.
 
     Where ``packs`` has ``min_lon`` and ``max_lon``, a fenced pack holds only the sites between them,
     both included, so two packs may share a ring and overlap in a band; null is no bound. A pack with
-    both selectors holds a site that meets both once.
+    both selectors holds a site that meets both once. Packs and edges are what a job is set up with;
+    more than ``most`` of them are refused.
     """
+    n = packs.count() + edges.count()
+    if n > most:
+        raise ValueError(f"{n} packs and edges are more than {most}")
     by_country = sites.join(packs.where("country is not null"), "country").select("src_seq", "pack_id", "pack_rank")
     bound = lambda c: (F.col(c) if c in packs.columns else F.lit(None)).cast("double").alias(c)
     fenced = packs.where("fence is not null").select("pack_id", "pack_rank", "fence", bound("min_lon"), bound("max_lon"))
