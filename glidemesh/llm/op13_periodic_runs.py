@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glidemesh.llm.common import batch_setting, small_batches, table
+from glidemesh.llm.common import table
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -232,7 +232,8 @@ def find_runs(df: DataFrame, p: RunParams = RunParams(), id_col: str = "doc_id",
     a tenth of the documents, told by their id, repeat a part of theirs first.
 
     Texts are searched where they are read, many short ones together, without a shuffle; the work
-    for one grows with n log n of its words. Null and empty texts have no words and no runs. Rows
+    for one grows with n log n of its words. A task holds one of Spark's Arrow batches, which are
+    bounded in bytes, or one long text. Null and empty texts have no words and no runs. Rows
     without an id are never looped. Repeated rows each give a row; other columns are ignored.
     """
 
@@ -250,7 +251,6 @@ def find_runs(df: DataFrame, p: RunParams = RunParams(), id_col: str = "doc_id",
                 yield _found(ids, group, p)
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    small_batches(df.sparkSession)
     return docs.mapInArrow(run, FOUND)
 
 
@@ -268,8 +268,7 @@ def _found(ids: list, group: list[list[bytes]], p: RunParams) -> pa.RecordBatch:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with batch_setting(spark):
-        out = find_runs(table(spark, sf_dir, "documents"), loop=True)
+    out = find_runs(table(spark, sf_dir, "documents"), loop=True)
     # the greatest exact length / period: fractions are compared crosswise, so none is rounded
     better = "x.length * y.period > y.length * x.period"
     best = F.expr(f"aggregate(runs, runs[0], (y, x) -> if({better}, x, y))")
