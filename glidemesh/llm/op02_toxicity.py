@@ -40,6 +40,7 @@ class ToxicityParams:
     hard_gain: int = 2
     mined_windows: int = 60_000  # ordinary windows a pass looks for such text in; twice as many at the end
     threshold: float = 0.3
+    memo_windows: int = 300_000  # windows whose gain a task remembers; does not change a score
 
 
 @dataclass(frozen=True)
@@ -77,6 +78,21 @@ class Distance:
         return self.ordinary(ws) - self.toxic(ws)
 
 
+class Remembered(dict):
+    """Gains of windows seen before in the same task, up to so many: copies and near copies repeat them."""
+
+    def __init__(self, distance: Distance, most: int):
+        super().__init__()
+        self.distance, self.most = distance, most
+
+    def gains(self, ws: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        new = [w for w in dict.fromkeys(ws) if w not in self]
+        self.update(zip(new, self.distance(new).tolist()))
+        return np.fromiter(map(self.__getitem__, ws), dtype=np.int32, count=len(ws))
+
+
 def _dictionary(ws: list[bytes], size: int) -> bytes:
     """The most valuable ``size`` bytes of a dictionary trained on windows: its end."""
     samples = [w[len(ANCHOR) :] for w in ws]
@@ -212,9 +228,9 @@ def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", p: Toxici
 
     @F.pandas_udf("double")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        gain, w = Distance(model.toxic, model.ordinary), np.array(model.weights)
+        known, w = Remembered(Distance(model.toxic, model.ordinary), p.memo_windows), np.array(model.weights)
         for texts in batches:
-            z = [float(_measures(gain(windows(t, model.words))) @ w) for t in texts]
+            z = [float(_measures(known.gains(windows(t, model.words))) @ w) for t in texts]
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return df.withColumn("score", toxicity(F.col(text_col))).withColumn(

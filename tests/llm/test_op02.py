@@ -61,3 +61,12 @@ def test_no_labels_and_no_rows(spark):
     model = op.fit(docs, labels)
     assert op.score(docs, model).first().predicted == 0
     assert op.score(docs.limit(0), model).count() == 0
+
+
+def test_remembered_gains_are_the_gains():
+    distance = op.Distance(b"toxic words here " * 20, b"ordinary words there " * 20)
+    known = op.Remembered(distance, 3)
+    texts = ["toxic words here and there", "ordinary words", None, "", "toxic words here and there", "a b c d a b c d a b c d e"]
+    for t in texts * 2:
+        ws = op.windows(t, 4)
+        assert known.gains(ws).tolist() == distance(ws).tolist()
