@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from math import degrees, pi, sqrt
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glidemesh.functions import geo
-from glidemesh.operators.resolve import cell_of, ensure_checkpoints, near_pairs
+from glidemesh.operators.resolve import near_pairs
+from glidemesh.operators.rings import first_around
 
 
 def score_pairs(sites: DataFrame, fixes: DataFrame, radius_m: float = 60_000.0, margin_m: float = 250.0) -> DataFrame:
@@ -60,39 +59,33 @@ def best_answers(
     scoring the pairs that cannot be among them. Without height over any site, ``ties`` begin with
     the distance, or such fixes have no first rows but by chance of the ring.
 
-    Rings grow from one that holds some ``k`` sites where sites are as dense as on average, twice as
-    wide each time, up to the radius. No site beyond a ring needs less than the ring's width over the
-    height above the lowest site; a fix with ``k`` sites below that is done and makes no more pairs.
-    A fix without height over any site is done with ``k`` sites, as then the distance alone counts.
-    A round keeps ``k`` rows a fix; they are checkpointed, as the next one asks which fixes are done.
+    ``rings.first_around`` leaves ``k`` sites a fix, or few more; these are scored and ordered as a list
+    in the fix's own row, so pairs are neither shuffled nor sorted in a window.
     """
-    ensure_checkpoints(sites.sparkSession)
-    step = degrees(radius_m / geo.EARTH_M) / 12
-    known = sites.where("lat is not null and lon is not null")
-    n, cells, lowest = known.agg(F.count("*"), F.countDistinct(cell_of(F.col("lat"), F.col("lon"), step)), F.min("elev_m")).first()
-    open_ = fixes.select("fix_id", "lat", "lon", "alt_m")
-    dense = n / max(cells, 1) / (radius_m / 12) ** 2
-    ring = min(radius_m, sqrt(4 * k / (pi * dense))) if n else radius_m
-    top = F.col("alt_m") - F.lit(lowest).cast("double") - margin_m
-    found = []
-    while True:
-        last = ring >= radius_m
-        ranked = rank_answers(score_pairs(sites, open_, ring, margin_m), ties).where(F.col("rank") <= k)
-        if last:
-            found.append(ranked)
-            break
-        each = _each_fix(ranked)
-        told = ranked.withColumns({"_n": F.count("*").over(each), "_finite": F.count("ratio").over(each), "_worst": F.max("ratio").over(each)})
-        told = told.join(open_.select("fix_id", top.alias("_top")), "fix_id")
-        done = (F.col("_n") == k) & F.when(F.col("_top") > 0, (F.col("_finite") == k) & (F.col("_worst") < ring / F.col("_top"))).otherwise(True)
-        told = told.where(F.coalesce(done, F.lit(False))).select(ranked.columns).checkpoint()
-        found.append(told)
-        open_ = open_.join(told.select("fix_id").distinct(), "fix_id", "left_anti").checkpoint()
-        ring = min(2 * ring, radius_m)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    at = ["src_seq", "lat", "lon", "kind", "difficulty", "elev_m"]
+    lists = first_around(sites.select(*at), fixes.select("fix_id", "lat", "lon", "alt_m"), k, radius_m, margin_m)
+    metres = lambda y: geo.haversine_m(F.col("p.lat"), F.col("p.lon"), y.lat, y.lon)
+    ratio = lambda d, y: geo.glide_ratio(d, F.col("p.alt_m"), y.elev_m, margin_m)
+    measured = F.transform("near", lambda y: F.struct(metres(y).alias("distance_m"), y.alias("y")))
+    inside = F.filter(measured, lambda x: x.distance_m <= radius_m)
+    rated = F.transform(inside, lambda x: F.struct(x.distance_m.alias("distance_m"), ratio(x.distance_m, x.y).alias("ratio"), x.y.alias("y")))
+    part = {"distance_m": lambda x: x.distance_m, "src_seq": lambda x: x.y.src_seq}
+    # arrays sort null parts first
+    keyed = F.transform(rated, lambda x: F.struct(x.ratio.isNull().alias("none"), x.ratio.alias("ratio"), *[part[c](x).alias(f"t{i}") for i, c in enumerate(ties)], x.distance_m.alias("distance_m"), x.y.alias("y")))
+    best = lists.select("p", F.posexplode(F.slice(F.sort_array(keyed), 1, k)).alias("place", "x"))
+    flat = best.select("p", "place", F.col("x.ratio").alias("ratio"), F.col("x.distance_m").alias("distance_m"), F.col("x.y").alias("y"))
+    return flat.select(
+        F.col("p.fix_id").alias("fix_id"),
+        F.col("y.src_seq").alias("src_seq"),
+        F.col("y.kind").alias("kind"),
+        F.col("y.difficulty").alias("difficulty"),
+        "distance_m",
+        geo.bearing_deg(*[F.col(c) for c in ("p.lat", "p.lon", "y.lat", "y.lon")]).alias("bearing"),
+        "ratio",
+        geo.usable_height(F.col("p.alt_m"), F.col("y.elev_m"), margin_m).alias("usable_m"),
+        geo.glide_reason(F.col("p.alt_m"), F.col("y.elev_m"), margin_m).alias("reason"),
+        (F.col("place") + 1).cast("long").alias("rank"),
+    )
 
 
 def top_picks(df: DataFrame, k: int = 3, max_ratio: float = 25.0) -> DataFrame:
@@ -114,7 +107,7 @@ def best_picks(sites: DataFrame, fixes: DataFrame, k: int = 3, max_ratio: float
     good = sites.where("difficulty = 'A'")
     airfield = F.coalesce(F.col("kind") == "airfield", F.lit(False))
     both = [best_answers(good.where(w), fixes, k, radius_m, ties=("src_seq",)) for w in (airfield, ~airfield)]
-    return top_picks(both[0].unionByName(both[1]).drop("rank", "g"), k, max_ratio)
+    return top_picks(both[0].unionByName(both[1]).drop("rank"), k, max_ratio)
 
 
 def drift_beyond(scored: DataFrame, far_m: float, n: int) -> DataFrame:

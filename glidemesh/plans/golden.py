@@ -142,7 +142,7 @@ def streamed(s, d):
 
     def answer(batch):
         placed = batch.sparkSession.sql(fx.FIXES.replace("{events}", "{batch}"), batch=batch)
-        picks = answers.top_picks(answers.score_pairs(where, placed))
+        picks = answers.best_picks(where, placed)
         return picks.select("fix_id", "src_seq", "pick", F.round("ratio", 3).alias("ratio"), F.round("distance_m").cast("long").alias("d_m"))
 
     stream_answers(fixes, answer, f"{out}/rows", f"{out}/log").awaitTermination()
