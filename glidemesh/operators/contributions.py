@@ -96,14 +96,14 @@ def first_come(points: DataFrame, radius_m: float, tile_m: float = 32_000.0) ->
     return out
 
 
-def triage_proposals(proposals: DataFrame, sites: DataFrame, radius_m: float = 300.0) -> DataFrame:
+def triage_proposals(proposals: DataFrame, sites: DataFrame, radius_m: float = 300.0, first: bool = False) -> DataFrame:
     """What becomes of proposals ``(contrib_id, name, lat, lon, field_id, kind, difficulty, country)``,
     which come in the order of ``contrib_id``.
 
     ``how`` is ``bad`` (no name or position), ``update`` (``src_seq`` is the nearest site within the
     radius), ``again`` (``first_id`` is the nearest proposal that made a site before, no site being
     nearer) or ``new``, with an ``id`` from its name and position that stays the same in every build.
-    Of equally near ones the last counts. Grades are A to C, else unknown. Positions go into ids with
+    Of equally near ones the last counts, of proposals the ``first`` on request. Grades are A to C, else unknown. Positions go into ids with
     four decimals, halves rounded up.
     """
     named = proposals.withColumn("_ok", (text.clean(F.col("name")) != "") & F.col("lat").isNotNull() & F.col("lon").isNotNull())
@@ -113,7 +113,7 @@ def triage_proposals(proposals: DataFrame, sites: DataFrame, radius_m: float = 3
     free = good.join(known, "id", "left_anti")
     new = first_come(free, radius_m)
     made = near_pairs(good, free.join(new, "id"), radius_m).where("y.id < x.id").groupBy(F.col("x.id").alias("id"))
-    made = made.agg(F.max_by("y.id", F.struct(-F.col("d"), "y.id")).alias("first_id"), F.min("d").alias("made_d"))
+    made = made.agg(F.max_by("y.id", F.struct(-F.col("d"), -F.col("y.id") if first else F.col("y.id"))).alias("first_id"), F.min("d").alias("made_d"))
     j = named.join(known.withColumnRenamed("id", "contrib_id"), "contrib_id", "left").join(made.withColumnRenamed("id", "contrib_id"), "contrib_id", "left")
     again = F.col("made_d").isNotNull() & (F.col("site_d").isNull() | (F.col("made_d") <= F.col("site_d")))
     how = F.when(~F.col("_ok"), "bad").when(again, "again").when(F.col("src_seq").isNotNull(), "update").otherwise("new")

@@ -100,7 +100,8 @@ CHAIN = f"""{S}, p AS ({plain(PROPOSALS)}), ok AS (SELECT *, row_number() OVER (
       FROM p LEFT JOIN ok USING (contrib_id) LEFT JOIN known k USING (contrib_id) LEFT JOIN m USING (contrib_id))"""
 add(
     "C1_triage_proposals",
-    lambda s, d: contributions.triage_proposals(derive(s, d, PROPOSALS), sites(s, d)),
+    # of equally near proposals the SQL's arg_min keeps the first
+    lambda s, d: contributions.triage_proposals(derive(s, d, PROPOSALS), sites(s, d), first=True),
     f"""{CHAIN} SELECT contrib_id, how, CASE WHEN how = 'update' THEN src_seq END AS src_seq, CASE WHEN how = 'again' THEN first_id END AS first_id,
     CASE WHEN how = 'new' THEN replace(replace(lower(coalesce(field_id, name)), ' ', '_'), '#', '_') || '-' || substr(sha1(printf('%.4f,%.4f', lat, lon)), 1, 6) END AS id,
     CASE WHEN how = 'new' THEN CASE WHEN kind = 'airfield' THEN 'airfield' ELSE 'outlanding' END END AS kind, CASE WHEN how = 'new' THEN CASE upper(difficulty) WHEN 'D' THEN 'UNKNOWN' ELSE upper(difficulty) END END AS difficulty,
