@@ -106,15 +106,14 @@ def _first(block: _Block, lat, lon, alt, k: int, ring: float, margin: float, low
     return point[keep], site[keep], done
 
 
-def _round(sites: DataFrame, open_: DataFrame, k: int, ring: float, step: float, margin: float, lowest: float, last: bool, end: bool) -> DataFrame:
+def _round(sites: DataFrame, open_: DataFrame, k: int, ring: float, step: float, margin: float, lowest: float, last: bool, end: bool, parts: int) -> DataFrame:
     """``(p, near, done)``: points with the sites that can be among their first; those not done have none,
     but in the ``end``. A task streams its blocks: a block's sites are held, its points come in batches."""
     s = sites.select(F.struct(*sites.columns).alias("s"), F.lit(None).cast(open_.schema["p"].dataType).alias("p"), F.explode(cells_around(F.col("lat"), F.col("lon"), ring, step)).alias("g"))
     o = open_.select(F.lit(None).cast(s.schema["s"].dataType).alias("s"), "p", cell_of(F.col("p.lat"), F.col("p.lon"), step).alias("g"))
     o = o.where("p.lat is not null and p.lon is not null")
     schema = StructType([open_.schema["p"], StructField("near", ArrayType(s.schema["s"].dataType)), StructField("done", BooleanType())])
-    n = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = s.union(o).select(F.concat_ws(":", "g.gy", "g.gx").alias("g"), "s", "p").repartition(n, "g").sortWithinPartitions("g", F.col("p").isNotNull())
+    dealt = s.union(o).select(F.concat_ws(":", "g.gy", "g.gx").alias("g"), "s", "p").repartition(parts, "g").sortWithinPartitions("g", F.col("p").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, block, held = None, [], None, None
@@ -186,7 +185,9 @@ def first_around(sites: DataFrame, points: DataFrame, k: int, radius_m: float, m
     while True:
         end = ring >= radius_m
         step = min(degrees(max(2 * ring, sqrt(BLOCK / dense) if n else 0.0) / geo.EARTH_M), 60.0)
-        found = _round(known, open_, k, ring, step, margin_m, lowest, last, end)
+        # no more tasks than there are blocks, twice over
+        tasks = min(int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(8, int(2 * cells * (fine / max(step, fine)) ** 2) + 1))
+        found = _round(known, open_, k, ring, step, margin_m, lowest, last, end, tasks)
         if end:
             found = found.select("p", "near")
             return found if out is None else out.unionByName(found)

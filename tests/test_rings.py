@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from glidemesh.operators import answers, rings
+from glidemesh.operators import answers, contributions, resolve, rings
+from glidemesh.plans import matching
 from glidemesh.plans import sites as plans
-from glidemesh.sources.fixtures import FIXES, derive
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +33,30 @@ def test_a_crowd_at_one_place_and_all_round_the_globe(spark):
     cols = ["fix_id", "src_seq", "rank", "ratio", "distance_m"]
     want = answers.rank_answers(answers.score_pairs(sites, fixes)).where("rank <= 5").select(cols)
     assert sorted(map(str, answers.best_answers(sites, fixes, 5).select(cols).collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("name,plan", [("J6_nearest_within", plans), ("J7_name_cols", matching)])
+def test_nearest_without_pairs_on_cells(spark, monkeypatch, name, plan):
+    def all_pairs(*a, **k):
+        raise AssertionError("pairs are compared one by one")
+
+    monkeypatch.setattr(resolve, "near_pairs", all_pairs)
+    assert plan.QUERIES[name](spark, SF).count() > 0
+
+
+def test_nearest_ties_and_bounds(spark):
+    sites = spark.createDataFrame([(1, 46.0, 7.0), (2, 46.0, 7.0), (3, 46.5, 7.0), (4, None, 7.0)], "src_seq long, lat double, lon double")
+    points = spark.createDataFrame([(0, 46.001, 7.0), (1, 46.5, 7.0), (2, 10.0, 7.0), (3, None, 7.0)], "k long, lat double, lon double")
+    got = lambda **more: {r.k: (r.site.src_seq, r.d_m) for r in resolve.nearest_within(points, sites, 1_000.0, "k", **more).collect()}
+    assert got() == {0: (2, 111), 1: (3, 0)} and got(strict=True, first=True) == {0: (1, 111), 1: (3, 0)}
+    assert resolve.nearest_within(points, sites.limit(0), 1_000.0, "k").count() == 0
+
+
+def test_equally_near_proposals_as_in_sql(spark):
+    """251.30053421726427 m to either side: before, the SQL's first came out as the last."""
+    rows = [(1, "n", 59.40452, 24.0), (2, "n", 59.4, 24.0), (3, "n", 59.40226, 24.0)]
+    more = "cast(null as string) field_id, 'x' kind, 'A' difficulty, 'fr' country"
+    p = spark.createDataFrame(rows, "contrib_id long, name string, lat double, lon double").selectExpr("*", *more.split(", "))
+    none = spark.createDataFrame([], "src_seq long, lat double, lon double")
+    first = lambda **kw: {r.contrib_id: r.first_id for r in contributions.triage_proposals(p, none, **kw).collect()}[3]
+    assert first(first=True) == 1 and first() == 2
