@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glidemesh.operators import answers, contributions, resolve, rings
 from glidemesh.plans import matching
 from glidemesh.plans import sites as plans
+from glidemesh.plans import subsets_all
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +61,26 @@ def test_equally_near_proposals_as_in_sql(spark):
     none = spark.createDataFrame([], "src_seq long, lat double, lon double")
     first = lambda **kw: {r.contrib_id: r.first_id for r in contributions.triage_proposals(p, none, **kw).collect()}[3]
     assert first(first=True) == 1 and first() == 2
+
+
+@pytest.mark.parametrize("name,plan", [("W1_rank_answers_all", subsets_all), ("W3_rest_list", plans)])
+def test_lists_are_ordered_in_a_fix_s_own_row(spark, name, plan):
+    """Before, all pairs were sorted in a window, or joined to the picks and sorted by fix."""
+    text = plan.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    after = text[: text.rindex("MapInArrow")]
+    assert "Window" not in after and "Join" not in after
+
+
+def test_fixes_and_sites_at_one_place_are_counted_once(spark):
+    sites = spark.range(60).selectExpr("id AS src_seq", "45 + id % 3 / 10D AS lat", "7D AS lon", "CASE WHEN id % 5 = 0 THEN NULL ELSE 300D + id % 2 * 2000 END AS elev_m", "'airfield' AS kind", "CASE WHEN id % 4 = 0 THEN 'A' ELSE 'B' END AS difficulty")
+    fixes = spark.range(40).selectExpr("id AS fix_id", "CASE WHEN id = 7 THEN NULL ELSE 45.05D END AS lat", "7D AS lon", "CASE WHEN id % 3 = 0 THEN NULL ELSE 2000D END AS alt_m")
+    rows = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    scored = answers.score_pairs(sites, fixes)
+    want = scored.groupBy("fix_id", "reason").agg(F.count("*").alias("n"), F.min("ratio").alias("best"))
+    got = answers.count_answers(sites, fixes)
+    assert rows(got, "fix_id", "reason", "n", "best") == rows(want, "fix_id", "reason", "n", "best")
+    assert answers._places(fixes).count() == 2 and got.select("fix_id").distinct().count() == 39
+    ranked = answers.rank_answers(scored)
+    assert rows(answers.all_answers(sites, fixes), "fix_id", "src_seq", "rank", "ratio") == rows(ranked, "fix_id", "src_seq", "rank", "ratio")
+    rest = answers.rest_list(ranked, answers.top_picks(scored), 10)
+    assert rows(answers.rest_answers(sites, fixes, n=10), "fix_id", "src_seq", "place") == rows(rest, "fix_id", "src_seq", "place")
