@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from glidemesh.operators import walks
 from glidemesh.operators.raster import NODATA
 from glidemesh.operators.reach import NODES, GlideParams, headroom, reachability  # noqa: F401
 from glidemesh.operators.resolve import ensure_checkpoints
@@ -86,30 +88,6 @@ def _arrays(grid: pd.DataFrame, targets: pd.DataFrame, solve, p: GlideParams) ->
     return elev, floor
 
 
-def _legs(paths: DataFrame, solves: DataFrame) -> DataFrame:
-    """One row a leg: its ends, steps, length and the way flown before it."""
-    each = F.expr("transform(sequence(0, greatest(size(nodes) - 2, 0)), i -> struct(nodes[i] as a, coalesce(try_element_at(nodes, i + 2), nodes[i]) as b))")
-    legs = paths.select(*PATH, F.size("nodes").alias("size"), F.posexplode(each).alias("leg", "x"))
-    d = lambda c: (F.col(f"x.b.{c}") - F.col(f"x.a.{c}"))
-    legs = legs.join(solves.select("solve_id", "alt_m", "north_m", "east_m"), "solve_id")
-    legs = legs.withColumns(
-        {
-            "n": F.greatest(F.abs(d("r")), F.abs(d("c"))),
-            "len": F.sqrt(F.pow(d("r") * F.col("north_m"), 2) + F.pow(d("c") * F.col("east_m"), 2)),
-            "last": F.col("leg") >= F.col("size") - 2,
-        }
-    )
-    before = F.sum("len").over(Window.partitionBy(*PATH).orderBy("leg").rowsBetween(Window.unboundedPreceding, -1))
-    return legs.withColumn("before", F.coalesce(before, F.lit(0.0)))
-
-
-def _steps(legs: DataFrame) -> DataFrame:
-    """One row a step of a leg: the cell it comes to (nearest) and the way flown until then."""
-    on = lambda c: F.floor(F.col(f"x.a.{c}") + (F.col(f"x.b.{c}") - F.col(f"x.a.{c}")) * F.col("s") / F.col("n") + 0.5).cast("long")
-    s = legs.where("n > 0").withColumn("s", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))))
-    return s.select(*PATH, "leg", "s", "alt_m", (F.col("last") & (F.col("s") == F.col("n"))).alias("arrives"), on("r").alias("r"), on("c").alias("c"), (F.col("before") + F.col("len") * F.col("s") / F.col("n")).alias("flown"))
-
-
 def score_paths(paths: DataFrame, grid: DataFrame, solves: DataFrame, targets: DataFrame, p: GlideParams = GlideParams()) -> DataFrame:
     """``paths`` (their ids and nodes) with ``ratio``, ``length_m`` and ``critical(r, c, at_m, elev)`` as a real glide.
 
@@ -117,28 +95,16 @@ def score_paths(paths: DataFrame, grid: DataFrame, solves: DataFrame, targets: D
     is null where a step has no height left or no known ground. Where the arrival alone decides,
     there is no critical cell; of equal steps the first is critical.
     """
-    legs = _legs(paths, solves)
-    floors = targets.groupBy("solve_id", "r", "c").agg(F.min(F.col("elev_m") + p.margin_m).alias("floor"))
-    known = grid.select("solve_id", "r", "c", F.when(F.col("elev") != NODATA, F.col("elev")).alias("elev"))
-    steps = _steps(legs).where("not arrives").join(known, ["solve_id", "r", "c"], "left").join(floors, ["solve_id", "r", "c"], "left")
-    room = F.coalesce(
-        F.col("alt_m") - F.col("floor"), F.col("alt_m") - F.col("elev") - p.clearance_m * F.least(F.lit(1.0), F.col("flown") / p.ramp_m)
-    )
-    steps = steps.withColumn("need", F.when(room > 0, F.col("flown") / room))
-    worst = steps.groupBy(*PATH).agg(
-        F.bool_or(F.col("need").isNull()).alias("blocked"),
-        F.max("need").alias("worst"),
-        F.min_by(F.struct("r", "c", F.col("flown").alias("at_m"), "elev"), F.struct(-F.col("need"), "leg", "s")).alias("critical"),
+    known = grid.select("solve_id", "r", "c", "elev", F.lit(None).cast("double").alias("floor"))
+    none = F.lit(None).cast(grid.schema["elev"].dataType)
+    floors = targets.select("solve_id", "r", "c", none.alias("elev"), (F.col("elev_m") + p.margin_m).alias("floor"))
+    asked = paths.select(*PATH, "nodes").join(solves.select("solve_id", "alt_m", "north_m", "east_m"), "solve_id").join(targets.select(*PATH, F.col("elev_m").alias("to_elev")), PATH)
+    schema = StructType(
+        [asked.schema[c] for c in (*PATH, "nodes")]
+        + [StructField("length_m", DoubleType()), StructField("ratio", DoubleType())]
+        + [StructField("critical", StructType([StructField("r", LongType()), StructField("c", LongType()), StructField("at_m", DoubleType()), StructField("elev", grid.schema["elev"].dataType)]))]
     )
-    length = legs.groupBy(*PATH).agg(F.sum("len").alias("length_m"), F.max("alt_m").alias("alt_m"))
-    j = paths.select(*PATH, "nodes").join(length, PATH).join(targets.select(*PATH, F.col("elev_m").alias("to_elev")), PATH).join(worst, PATH, "left")
-    arrival = F.col("alt_m") - F.col("to_elev") - p.margin_m
-    need = F.when((arrival > 0) & ~F.coalesce("blocked", F.lit(False)), F.col("length_m") / arrival)
-    return j.select(
-        *PATH, "nodes", "length_m",
-        F.when(need.isNotNull(), F.greatest(need, F.coalesce("worst", F.lit(0.0)))).alias("ratio"),
-        F.when(need <= F.col("worst"), F.col("critical")).alias("critical"),
-    )
+    return walks.over_windows(known.unionByName(floors), asked, schema, lambda window, part: walks.score(window, part, p))
 
 
 def pull_strings(scored: DataFrame, grid: DataFrame, solves: DataFrame, targets: DataFrame, p: GlideParams = GlideParams()) -> DataFrame:
@@ -233,19 +199,11 @@ def profiles(paths: DataFrame, grid: DataFrame, solves: DataFrame, n: int = 96)
     """``(solve_id, target_id, step_m, length_m, terrain)``: ``n`` heights along each path.
 
     A bin holds the highest known sample from the last one before it to its end; null where all are
-    unknown. A path of one cell has no profile. A list holds one path's samples.
+    unknown. A path of one cell has no profile.
     """
-    steps = _steps(_legs(paths, solves)).select(*PATH, "leg", "s", "r", "c", "flown")
-    first = paths.where("size(nodes) > 0").select(*PATH, F.lit(-1).alias("leg"), F.lit(0).cast("long").alias("s"), F.expr("nodes[0].r").alias("r"), F.expr("nodes[0].c").alias("c"), F.lit(0.0).alias("flown"))
-    known = grid.select("solve_id", "r", "c", F.when(F.col("elev") != NODATA, F.col("elev")).alias("elev"))
-    at = first.unionByName(steps).join(known, ["solve_id", "r", "c"], "left")
-    lists = at.groupBy(*PATH).agg(F.array_sort(F.collect_list(F.struct("leg", "s", "flown", "elev"))).alias("w")).where("size(w) > 1")
-    lists = lists.withColumn("length_m", F.expr("w[size(w) - 1].flown")).withColumn("step_m", F.col("length_m") / (n - 1))
-
-    def one(i: Column) -> Column:
-        want = i * F.col("step_m")
-        start = F.greatest(F.size(F.filter("w", lambda x: x.flown < want)), F.lit(1))
-        inside = F.filter(F.slice("w", start, F.size("w")), lambda x, k: (k == 0) | (x.flown <= want + F.col("step_m")))
-        return F.array_max(F.transform(inside, lambda x: x.elev))
-
-    return lists.select(*PATH, "step_m", "length_m", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one).alias("terrain"))
+    asked = paths.where("size(nodes) > 0").select(*PATH, "nodes").join(solves.select("solve_id", "north_m", "east_m"), "solve_id")
+    schema = StructType(
+        [asked.schema[c] for c in PATH]
+        + [StructField("step_m", DoubleType()), StructField("length_m", DoubleType()), StructField("terrain", ArrayType(grid.schema["elev"].dataType))]
+    )
+    return walks.over_windows(grid.select("solve_id", "r", "c", "elev"), asked, schema, lambda window, part: walks.profile(window, part, n))
