@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 NODATA = -32768
+#: Lines over one tile that go to one group.
+LINES = 20_000
+
+
+def _by_tile(df: DataFrame) -> DataFrame:
+    """Whole tiles to a task, in a set number of tasks: cells pack so well that by bytes a few tasks would get them all.
+
+    Twice the session's number: with the same, a shuffle by tile further up would stand for this one.
+    """
+    return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile")
 
 
 def pool_max(cells: DataFrame, fr: int, fc: int) -> DataFrame:
@@ -20,7 +31,7 @@ def raster_gradient(cells: DataFrame) -> DataFrame:
     """v - left - up + upleft, modulo 2^16."""
     across = Window.partitionBy("tile", "r").orderBy("c")
     down = Window.partitionBy("tile", "c").orderBy("r")
-    one = cells.withColumn("g", F.col("elev") - F.coalesce(F.lag("elev").over(across), F.lit(0)))
+    one = _by_tile(cells).withColumn("g", F.col("elev") - F.coalesce(F.lag("elev").over(across), F.lit(0)))
     two = one.withColumn("g", F.pmod(F.col("g") - F.coalesce(F.lag("g").over(down), F.lit(0)), F.lit(65536)))
     return two.select("tile", "r", "c", F.col("g").cast("long").alias("g"))
 
@@ -29,7 +40,7 @@ def raster_integrate(grad: DataFrame) -> DataFrame:
     """The inverse: running sums down, then across, back to signed 16 bits."""
     down = Window.partitionBy("tile", "c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy("tile", "r").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
-    s = grad.withColumn("s", F.sum("g").over(down)).withColumn("e", F.sum("s").over(across))
+    s = _by_tile(grad).withColumn("s", F.sum("g").over(down)).withColumn("e", F.sum("s").over(across))
     u = F.pmod(F.col("e"), F.lit(65536))
     return s.select("tile", "r", "c", F.when(u >= 32768, u - 65536).otherwise(u).cast("long").alias("elev"))
 
@@ -53,22 +64,15 @@ def direct_score(pairs: DataFrame, cells: DataFrame, cell_m: float | tuple[float
     At every step the ratio is the way flown over the height left above terrain and a clearance that
     grows over the first ``ramp`` metres; the last step is the arrival above the target's own cell.
     Ground without a cell, or with a missing one, is unknown: a line over it has no ratio. A cell is
-    ``cell_m`` metres, or (north, east) metres where it is not square.
+    ``cell_m`` metres, or (north, east) metres where it is not square. Cells and lines are dealt by tile, a
+    tile's lines in parts of some ``LINES``, and steps are looked up there, so steps are not shuffled.
     """
+    from glidemesh.operators import walks  # it stands on this module's NODATA
+
     north, east = cell_m if isinstance(cell_m, tuple) else (cell_m, cell_m)
-    known = cells.select("tile", "r", "c", F.when(F.col("elev") != NODATA, F.col("elev")).alias("elev"))
-    steps = walk_lines(pairs).join(known, ["tile", "r", "c"], "left")
-    length = F.sqrt(F.pow(F.col("r1") - F.col("r0"), 2) * north**2 + F.pow(F.col("c1") - F.col("c0"), 2) * east**2)
-    if north == east:
-        length = F.sqrt(F.pow(F.col("r1") - F.col("r0"), 2) + F.pow(F.col("c1") - F.col("c0"), 2)) * north
-    flown = length * F.col("s") / F.col("n")
-    arrives = F.col("s") == F.col("n")
-    room = F.when(F.col("elev").isNull(), F.lit(None)).when(arrives, F.col("alt") - F.col("elev") - margin).otherwise(
-        F.col("alt") - F.col("elev") - clearance * F.least(F.lit(1.0), flown / ramp)
-    )
-    s = steps.select("pair", "s", room.alias("room"), flown.alias("flown"))
-    ratio = F.when(F.col("room") > 0, F.col("flown") / F.col("room"))
-    return s.groupBy("pair").agg(
-        F.when(~F.bool_or(ratio.isNull()), F.round(F.max(ratio), 3)).alias("ratio"),
-        F.min_by("s", F.struct(-F.coalesce(ratio, F.lit(1e18)), F.col("s"))).cast("long").alias("critical"),
-    )
+    size = pairs.groupBy("tile").agg(F.ceil(F.count("*") / LINES).alias("parts"))
+    ground = cells.select("tile", "r", "c", "elev").join(size, "tile").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    lines = pairs.select("pair", "tile", "r0", "c0", "r1", "c1", "alt").join(size, "tile").withColumn("part", F.pmod(F.xxhash64("pair"), F.col("parts"))).drop("parts")
+    schema = StructType([pairs.schema["pair"], StructField("ratio", DoubleType()), StructField("critical", LongType())])
+    work = lambda window, part: walks.line_scores(window, part, north, east, clearance, margin, ramp)
+    return walks.over_windows(ground, lines, schema, work, ("tile", "part")).withColumn("ratio", F.round("ratio", 3))

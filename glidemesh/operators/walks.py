@@ -79,7 +79,7 @@ def walk(nodes: pa.ListArray, north: np.ndarray, east: np.ndarray) -> Walk:
     return Walk(path[leg], r, c, before[leg] + length[leg] * s / n[leg], arrives, total)
 
 
-def over_windows(ground: DataFrame, paths: DataFrame, schema: StructType, work) -> DataFrame:
+def over_windows(ground: DataFrame, paths: DataFrame, schema: StructType, work, by: tuple[str, ...] = ("solve_id",)) -> DataFrame:
     """``work(cells, paths) -> columns`` for the paths of each window, some at a time; ``cells`` is the window's ground.
 
     A group is one position's window and its paths. Both are dealt by position, so what is shuffled
@@ -91,7 +91,7 @@ def over_windows(ground: DataFrame, paths: DataFrame, schema: StructType, work)
         parts = [work(window, part) for part in asked.to_batches(max_chunksize=CHUNK)] if len(asked) else []
         return pa.Table.from_batches([pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(p, out)], schema=out) for p in parts], schema=out)
 
-    return ground.groupBy("solve_id").cogroup(paths.groupBy("solve_id")).applyInArrow(run, schema)
+    return ground.groupBy(*by).cogroup(paths.groupBy(*by)).applyInArrow(run, schema)
 
 
 def known_cells(window: pa.Table) -> Cells:
@@ -138,6 +138,29 @@ def score(window: pa.Table, paths: pa.RecordBatch, p: GlideParams) -> list[pa.Ar
     return [paths.column("solve_id"), paths.column("target_id"), paths.column("nodes"), _plain(w.length), _plain(np.where(flies, ratio, np.nan)), cell]
 
 
+def line_scores(window: pa.Table, lines: pa.RecordBatch, north: float, east: float, clearance: float, margin: float, ramp: float) -> list[pa.Array]:
+    """Of ``lines(pair, r0, c0, r1, c1, alt)`` that have a step: pair, ratio (null where blocked), the first step that decides."""
+    r0, c0, r1, c1, alt = (numbers(lines.column(c)) for c in ("r0", "c0", "r1", "c1", "alt"))
+    dy, dx = r1 - r0, c1 - c0
+    n = np.maximum(np.abs(dy), np.abs(dx)).astype(int)
+    length = np.sqrt(dy**2 + dx**2) * north if north == east else np.sqrt(dy**2 * north**2 + dx**2 * east**2)
+    line = np.repeat(np.arange(len(n)), n)
+    first = (np.cumsum(n) - n)[n > 0]
+    s = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + 1
+    elev = known_cells(window).at(np.floor(r0[line] + dy[line] * s / n[line] + 0.5), np.floor(c0[line] + dx[line] * s / n[line] + 0.5))
+    flown = length[line] * s / n[line]
+    above = alt[line] - elev
+    with np.errstate(divide="ignore", invalid="ignore"):
+        room = np.where(s == n[line], above - margin, above - clearance * np.minimum(1.0, flown / ramp))
+        need = np.where(room > 0, flown / room, np.inf)
+    some = np.flatnonzero(n)
+    worst = np.maximum.reduceat(need, first) if len(some) else np.zeros(0)
+    top = np.flatnonzero(need == np.repeat(worst, n[some]))
+    critical = np.zeros(len(n), int)
+    critical[line[top[::-1]]] = s[top[::-1]]
+    return [lines.column("pair").take(pa.array(some)), pa.array(worst, mask=np.isinf(worst)), pa.array(critical[some])]
+
+
 def profile(window: pa.Table, paths: pa.RecordBatch, n: int) -> list[pa.Array]:
     """Of ``paths(solve_id, target_id, nodes, north_m, east_m)`` with a step: ids, step, length, the highest cell of each bin."""
     elevs = known_cells(window)
