@@ -91,6 +91,30 @@ def slugify(c) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(ascii_fold(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+#: Small letters that several capitals stand for, or that got one in Unicode 16, and the one letter
+#: that stands for each where a letter stays a letter: its capital or title form, else itself.
+SEVERAL = {c: c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x11000)) if len(c.upper()) > 1} | {"\u00df": "\u1e9e"} | {
+    c: c for c in "\u019b\u0264\u1c8a\ua7cd\ua7db" + "".join(map(chr, range(0x10D70, 0x10D86)))
+}
+
+
+def upper_each(c: Column) -> Column:
+    """Upper case letter by letter, as DuckDB has it; ``upper`` writes a sharp s as two letters."""
+    special = "".join(SEVERAL)
+    one = lambda p: F.when(F.regexp_like(p, F.lit(f"^[{special}]")), F.translate(p, special, "".join(SEVERAL.values()))).otherwise(F.upper(p))
+    apart = F.array_join(F.transform(F.split(c, f"(?<=[{special}])|(?=[{special}])"), one), "")
+    return F.when(F.regexp_like(c, F.lit(f"[{special}]")), apart).otherwise(F.upper(c))
+
+
+#: Spaces of every width, which ``trim`` alone leaves.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
+def trim_spaces(c) -> Column:
+    """Without spaces of any width at the ends."""
+    return F.btrim(c, F.lit(SPACES))
+
+
 def match_name(c, strip_directions: bool = False) -> Column:
     """A name as it is compared: folded, lower case, without a leading ordinal, codes and stopwords."""
     low = F.regexp_replace(F.lower(ascii_fold(c)), "^#?[0-9]+[ ]+", "")

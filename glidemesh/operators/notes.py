@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glidemesh.functions.text import trim_spaces, upper_each
 from glidemesh.operators.totals import running_totals
 
 #: Notes: documents' texts.
@@ -18,19 +19,19 @@ SEGMENTS_SQL = """SELECT note_id, i - 1 AS pos, lower(regexp_extract(trim(l[i]),
 def segments(df: DataFrame) -> DataFrame:
     """``(note_id, pos, mark, value)``: lines of notes, their bullet marker apart."""
     each = df.select("note_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    line = F.trim("line")
+    line = trim_spaces("line")
     return each.select(
         "note_id",
         F.col("pos").cast("long").alias("pos"),
         F.regexp_extract(line, "^([-*] )?", 1).alias("mark"),
-        F.trim(F.regexp_replace(line, "^[-*] ", "")).alias("value"),
+        trim_spaces(F.regexp_replace(line, "^[-*] ", "")).alias("value"),
     )
 
 
 def memory(conversations: DataFrame) -> DataFrame:
     """``(norm, translation)`` from the lines of all conversations."""
     lines = conversations.select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    return lines.select(F.trim("line").alias("norm")).distinct().withColumn("translation", F.upper("norm"))
+    return lines.select(trim_spaces("line").alias("norm")).distinct().withColumn("translation", upper_each(F.col("norm")))
 
 
 def apply_memory(df: DataFrame, tm: DataFrame) -> DataFrame:
@@ -54,16 +55,18 @@ def misses(df: DataFrame, tm: DataFrame, budget: int) -> DataFrame:
 
 #: 'Label: value': a label of 24 characters at most, without a colon.
 LABEL = r"^([^:]{1,24}):\s+(\S.*)$"
+#: The same for Java's expressions, whose dot and end also stop at other line ends than a newline.
+_LABEL = r"^([^:]{1,24}):[ \t\n\f\r]+([^ \t\n\f\r][^\n]*)\z"
 
 
 def norm_space(text: "F.Column") -> "F.Column":
-    return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+    return trim_spaces(F.regexp_replace(text, r"[ \t\r\n]+", " "))
 
 
 def parts(df: DataFrame) -> DataFrame:
     """``(note_id, pos, part, mark, value)``: what is looked up of each line; a label and its value apart."""
-    both = F.array(F.concat(F.regexp_extract("value", LABEL, 1), F.lit(":")), F.regexp_extract("value", LABEL, 2))
-    each = F.when(F.col("value").rlike(LABEL), both).otherwise(F.array("value"))
+    both = F.array(F.concat(F.regexp_extract("value", _LABEL, 1), F.lit(":")), F.regexp_extract("value", _LABEL, 2))
+    each = F.when(F.col("value").rlike(_LABEL), both).otherwise(F.array("value"))
     return segments(df).select("note_id", "pos", "mark", F.posexplode(each).alias("part", "value"))
 
 

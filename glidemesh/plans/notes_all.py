@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glidemesh.functions.text import upper_each
 from glidemesh.operators import notes
 from glidemesh.sources.fixtures import derive, plain
 
@@ -15,7 +16,7 @@ def memory(s, d):
     """Every line of every conversation, in each language; a line is German only if it has an even number of characters."""
     lines = notes.memory(derive(s, d, CONVERSATIONS)).withColumn("norm", notes.norm_space(F.col("norm"))).select("norm").distinct()
     each = lines.withColumn("lang", F.explode(F.array(*map(F.lit, LANGS)))).where("lang <> 'de' or length(norm) % 2 = 0")
-    return each.select("lang", "norm", F.concat("lang", F.lit(" "), F.upper("norm")).alias("translation"))
+    return each.select("lang", "norm", F.concat("lang", F.lit(" "), upper_each(F.col("norm"))).alias("translation"))
 
 
 QUERIES = {

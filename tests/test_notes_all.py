@@ -1,10 +1,13 @@
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from glidemesh.functions.text import upper_each
 from glidemesh.operators import notes, totals
 from glidemesh.plans import notes_all
-from tests.oracle import rows_of_duckdb, rows_of_spark
+from tests.oracle import TABLES, rows_of_duckdb, rows_of_spark
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,6 +39,29 @@ def test_labels_whole_notes_and_languages(spark):
     assert sorted(map(tuple, notes.tm_merge(tm, more).collect())) == sorted([*held, ("fr", "new", "nouveau")])
 
 
+def test_query_equals_sql_beyond_plain_letters(spark, tmp_path):
+    """Sharp s and other letters of several capitals, wide spaces, and line ends that are no newline."""
+    texts = ["straße\n- ŉ und ǰ ᾳ ƛ", " Maß : auf\rab\n* wide　", "Weg: a\u2028b\nWeg: c\r\nOrt: \x0bd", "Weg: e\x85", "Maß", "all ß\none"]
+    talks = ["straße\nMaß", "ŉ und ǰ ᾳ ƛ\u2003", "auf\rab\nwide", "Weg:\nd", "all ß one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/d")
+    spark.createDataFrame([(i, t) for i, t in enumerate(talks)], "conv_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/c")
+    for t in TABLES:
+        src = next(tmp_path.glob({"documents": "d/*.parquet", "conversations": "c/*.parquet"}.get(t, "none")), f"{SF}/{t}.parquet")
+        (tmp_path / f"{t}.parquet").symlink_to(src)
+    for name in sorted(notes_all.QUERIES):
+        got = rows_of_spark(notes_all.QUERIES[name](spark, str(tmp_path)))
+        assert got == rows_of_duckdb(notes_all.ORACLES[name], tmp_path) and got[1]
+
+
+def test_upper_each_is_duckdbs_over_all_letters(spark):
+    con = duckdb.connect()
+    want = dict(con.execute("select c, upper(c) from (select chr(i::int) c from range(1, 1114112) t(i) where i not between 55296 and 57343) x").fetchall())
+    got = spark.createDataFrame([(c,) for c in want if ord(c) < 0x20000], "c string").select("c", upper_each(F.col("c")).alias("u"))
+    assert [(r.c, r.u, want[r.c]) for r in got.collect() if r.u != want[r.c]] == []
+    assert spark.range(1).select(upper_each(F.lit("aßbßßc")).alias("u")).first().u == "AẞBẞẞC"
+
+
 def test_running_totals_over_all_levels(spark):
     """Keys over the whole 64 bits, null and negative ones, ties and null values, against one pass."""
     rng = random.Random(1)
