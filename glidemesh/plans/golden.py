@@ -49,6 +49,16 @@ RAW = f"""SELECT l_orderkey AS gid, row_number() OVER (PARTITION BY l_orderkey O
   FROM {{lineitem}}"""
 
 
+def dealt(s, d, sql, more=""):
+    """Records by their SQL and ``more`` columns, from lines dealt by order before anything is made of them,
+    so that all rules share one shuffle of few columns. The group is named after the numbers, or Spark
+    would not see that groups are together already. The lines are few bytes but much work, so they are
+    left in all the parts there are, which a number of parts sees to."""
+    lines = s.read.parquet(f"{d}/lineitem.parquet").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    rows = s.sql(f"{sql.removesuffix('FROM {lineitem}')}, l_orderkey{more} FROM {{lineitem}}", lineitem=lines)
+    return rows.withColumn("gid", C("l_orderkey")).drop("l_orderkey")
+
+
 def raw_fields(s, d):
     n = lambda c: C(c).cast("int")
     media = F.array_repeat(F.struct(C("media_source").alias("source")), n("n_media"))

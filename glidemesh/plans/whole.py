@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glidemesh.operators import golden
-from glidemesh.plans.golden import RAW
-from glidemesh.sources.fixtures import derive, plain
+from glidemesh.plans.golden import RAW, dealt
+from glidemesh.sources.fixtures import plain
 
 SEQ = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) + l_orderkey * 1000"
 #: What each record says of its place beside its fields: a frequency, a photo and a note.
-SAID = f"""SELECT {SEQ} AS src_seq, cast(117.5 + l_partkey % 12 * 0.5 as double) AS mhz, CASE l_suppkey % 5 WHEN 0 THEN 'TWR' WHEN 1 THEN '' WHEN 2 THEN 'A/A' WHEN 3 THEN '7' ELSE 'INFO' END AS use,
+_SAID = """cast(117.5 + l_partkey % 12 * 0.5 as double) AS mhz, CASE l_suppkey % 5 WHEN 0 THEN 'TWR' WHEN 1 THEN '' WHEN 2 THEN 'A/A' WHEN 3 THEN '7' ELSE 'INFO' END AS use,
   CASE l_partkey % 3 WHEN 0 THEN 'ATIS too' ELSE '' END AS description, CASE l_suppkey % 4 WHEN 0 THEN 'OpenAIP' WHEN 1 THEN 'Guide' WHEN 2 THEN 'SIA' ELSE '' END AS heard_from,
   CASE l_partkey % 8 WHEN 0 THEN '' ELSE 'u' || cast(l_partkey % 5 as varchar(20)) END AS url, CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE 'note ' || cast(l_partkey % 3 as varchar(20)) END AS fr,
-  CASE WHEN l_linenumber % 3 = 0 THEN 'text ' || cast(l_suppkey % 2 as varchar(20)) END AS en FROM {{lineitem}}"""
+  CASE WHEN l_linenumber % 3 = 0 THEN 'text ' || cast(l_suppkey % 2 as varchar(20)) END AS en"""
+SAID = f"SELECT {SEQ} AS src_seq, {_SAID} FROM {{lineitem}}"
 
 
 def records(s, d):
-    r = derive(s, d, RAW).join(derive(s, d, SAID), "src_seq")
+    # what is said is read in the same pass: both number an order's lines alike, and a join by that
+    # number would deal the records anew, away from their groups
+    r = dealt(s, d, RAW, f", {_SAID}")
     freqs = F.array(F.struct("mhz", F.col("use").alias("type"), "description", F.col("heard_from").alias("source")))
     media = F.array(F.struct("url", F.col("media_source").alias("source")))
     docs = F.when(F.col("doc").isNotNull(), F.create_map("doc", "doc"))

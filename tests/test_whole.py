@@ -1,3 +1,5 @@
+import re
+
 from glidemesh.operators import golden
 from glidemesh.plans import whole
 from tests.oracle import rows_of_duckdb, rows_of_spark
@@ -27,3 +29,10 @@ def test_frequencies_of_texts_and_empty_groups(spark):
     assert [(f.mhz, f.type, f.source) for f in one.frequencies] == [(119.7, "AFIS", "OpenAIP"), (123.5, "INFO", "OpenAIP")] and one.frequency == "119.700 AFIS"
     assert [(m.url, m.source) for m in one.media] == [("a", "x"), ("b", "x"), ("c", "y")] and one.notes == {"fr": "un", "en": "one"}
     assert (two.frequencies, two.frequency, two.media, two.notes) == ([], "", [], None)
+
+
+def test_golden_records_are_dealt_once(spark):
+    """All rules of the golden records stand on one shuffle of the lines, the one by order."""
+    plan = whole.QUERIES["A2_A6_golden_records_whole"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)", plan)
+    assert dealt and set(dealt) == {"l_orderkey"}
