@@ -101,15 +101,24 @@ def translate_notes(df: DataFrame, tm: DataFrame, langs: list[str]) -> DataFrame
 
 
 def lang_misses(df: DataFrame, tm: DataFrame, langs: list[str], budget: int) -> DataFrame:
-    """``(lang, first, chars, total)``: distinct parts without translation in a target language, in
-    reading order, while their characters fit the budget. Notes known as a whole need none of theirs."""
-    known = tm.where("norm <> ''").select("lang", "norm")
-    every = F.explode(F.array(*map(F.lit, langs)))
-    whole = df.select("note_id", every.alias("lang"), norm_space(F.col("text")).alias("norm")).join(known, ["lang", "norm"], "left_semi")
-    each = parts(df).where("value <> ''").withColumn("lang", every).withColumn("norm", norm_space(F.col("value")))
-    each = each.join(whole.select("note_id", "lang"), ["note_id", "lang"], "left_anti").join(known, ["lang", "norm"], "left_anti")
-    one = each.groupBy("lang", "norm").agg(F.min(F.struct("note_id", "pos", "part")).alias("first")).select("lang", "first", F.length("norm").cast("long").alias("chars"))
-    one = one.select("lang", "first.note_id", "first.pos", "first.part", "chars")
+    """``(lang, note_id, pos, part, chars, total)``: distinct parts without translation in a target language,
+    in reading order, while their characters fit the budget. Notes known as a whole need none of theirs.
+
+    Texts stand for themselves by their SHA-256, and languages lie side by side until a part's first
+    place is known, so neither texts nor a row for each language are shuffled.
+    """
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    known = tm.where("norm <> ''").groupBy(digest(F.col("norm")).alias("key")).agg(F.collect_set("lang").alias("known"))
+    notes = df.select("note_id", digest(norm_space(F.col("text"))).alias("key")).where("key is not null")
+    whole = notes.join(known, "key").groupBy("note_id").agg(F.array_distinct(F.flatten(F.collect_list("known"))).alias("whole"))
+    norm = norm_space(F.col("value"))
+    each = parts(df).where("value <> ''").select("note_id", "pos", "part", digest(norm).alias("key"), F.length(norm).cast("long").alias("chars"))
+    at, missing = F.struct("note_id", "pos", "part"), lambda lang: ~F.coalesce(F.array_contains("whole", lang), F.lit(False))
+    firsts = [F.min(F.when(missing(lang), at)).alias(f"_{i}") for i, lang in enumerate(langs)]
+    one = each.join(whole, "note_id", "left").groupBy("key").agg(F.first("chars").alias("chars"), *firsts).join(known, "key", "left")
+    found = F.array(*[F.struct(F.lit(lang).alias("lang"), F.col(f"_{i}").alias("at")) for i, lang in enumerate(langs)])
+    told = lambda x: x.at.isNotNull() & ~F.coalesce(F.array_contains("known", x.lang), F.lit(False))
+    one = one.select("chars", F.explode(F.filter(found, told)).alias("x")).select("x.lang", "x.at.*", "chars")
     return running_totals(one, "note_id", ["pos", "part", "lang"], "chars", budget).select("lang", "note_id", "pos", "part", "chars", "total")
 
 

@@ -20,8 +20,10 @@ def running_totals(df: DataFrame, key: str, order: list[str], value: str, most:
     """
     block = lambda bits: F.shiftright(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), bits)
     names = [f"_b{bits}" for bits in LEVELS]
-    rows = df.withColumns({n: block(bits) for n, bits in zip(names, LEVELS)})
-    sums = [rows.groupBy(*names).agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))]
+    # a row carries its lowest block alone, which tells those above
+    rows = df.withColumn(names[0], block(LEVELS[0]))
+    higher = [F.shiftright(names[0], bits - LEVELS[0]).alias(n) for n, bits in zip(names[1:], LEVELS[1:])]
+    sums = [rows.groupBy(names[0]).agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum")).select("*", *higher)]
     for i in range(1, len(LEVELS)):
         sums.append(sums[-1].groupBy(*names[i:]).agg(F.sum("_sum").alias("_sum")))
     above = None
@@ -33,6 +35,6 @@ def running_totals(df: DataFrame, key: str, order: list[str], value: str, most:
         above = level.withColumn("_start", start).select(*names[i:], F.col("_start").alias("_before"))
         if most is not None:
             above = above.where(F.col("_before") <= most)
-    last = F.sum(value).over(Window.partitionBy(*names).orderBy(key, *order).rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.join(above, names).withColumn("total", F.col("_before") + F.coalesce(last, F.lit(0))).drop(*names, "_before")
+    last = F.sum(value).over(Window.partitionBy(names[0]).orderBy(key, *order).rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.join(above.select(names[0], "_before"), names[0]).withColumn("total", F.col("_before") + F.coalesce(last, F.lit(0))).drop(names[0], "_before")
     return out if most is None else out.where(F.col("total") <= most)

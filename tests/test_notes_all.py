@@ -1,4 +1,5 @@
 import random
+import re
 
 import duckdb
 import pytest
@@ -54,6 +55,13 @@ def test_query_equals_sql_beyond_plain_letters(spark, tmp_path):
         assert got == rows_of_duckdb(notes_all.ORACLES[name], tmp_path) and got[1]
 
 
+def test_misses_are_met_by_digest(spark):
+    """Neither texts nor a row for each language are dealt."""
+    plan = notes_all.QUERIES["T3_misses_in_budget_all"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [set(re.findall(r"(\w+)#", x)) for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)]
+    assert {"key"} in dealt and not any(x & {"lang", "value"} for x in dealt)
+
+
 def test_upper_each_is_duckdbs_over_all_letters(spark):
     con = duckdb.connect()
     want = dict(con.execute("select c, upper(c) from (select chr(i::int) c from range(1, 1114112) t(i) where i not between 55296 and 57343) x").fetchall())
