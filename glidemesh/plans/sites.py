@@ -218,7 +218,7 @@ REACH = """, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 walk AS (SELECT a AS id, a AS other FROM e UNION SELECT w.id, e.b FROM walk w JOIN e ON e.a = w.other)"""
 add(
     "R1_components",
-    lambda s, d: resolve.connected_components(resolve.duplicate_pairs(sites(s, d))),
+    lambda s, d: resolve.connected_components(resolve.duplicate_links(sites(s, d))),
     f"{PAIRS}{REACH} SELECT id, min(other) AS gid FROM walk GROUP BY id",
 )
 add(

@@ -82,3 +82,26 @@ def test_stream_emits_what_the_batch_does(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert 10 < len(want) < 180 and got == want
+
+
+def test_duplicate_links_join_what_all_pairs_join(spark):
+    """Copies of strips and names, missing values and neighbours: the same groups from few links."""
+    rng = random.Random(5)
+    names = ["Alp", "Alp Nord", "Alp Sud", "", None, "Piste du Lac", "Lac", "12 Wiese", "Wiese"]
+    rows = [
+        (i, *rng.choice([(45.0, 7.0), (45.002, 7.0), (45.005, 7.001), (46.0, 8.0), (None, 7.0)]),
+         rng.choice([None, 500.0, 512.0, 900.0, float("nan")]), rng.choice([None, 10.0, 190.0, 100.0]), rng.choice(names) if i % 3 else f"Feld {i}")
+        for i in range(40)
+    ]
+    df = spark.createDataFrame(rows, "src_seq long, lat double, lon double, elev_m double, heading_deg double, name string")
+
+    def groups(links):
+        label = {}
+        for a, b in sorted(links.select("a", "b").collect()):
+            old, new = sorted((label.setdefault(a, a), label.setdefault(b, b)), reverse=True)
+            label = {k: new if g == old else g for k, g in label.items()}
+        return label
+
+    assert groups(resolve.duplicate_links(df)) == groups(resolve.duplicate_pairs(df))
+    copies = spark.range(400).selectExpr("id as src_seq", "45D as lat", "7D as lon", "500D as elev_m", "10D as heading_deg", "'Alp' as name")
+    assert resolve.duplicate_links(copies).count() == 2 * 399
