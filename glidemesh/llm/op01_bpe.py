@@ -17,6 +17,8 @@ from glidemesh.llm.overlap import owned_parts
 
 CHUNK_CHARS = 1 << 16
 OVERLAPS = (256, 16_384)
+#: Rows that a task hands on at once, so that ids and decoded bytes of few texts are held together.
+HANDED_ROWS = 500
 #: Characters at a cut end whose reading may change: the longest fixed alternative of the pattern.
 MARGIN = 4
 
@@ -44,6 +46,10 @@ def pre_token_bounds(text: str, pattern: str) -> list[int]:
     return [p for m in _pattern(pattern).finditer(text) if (p := m.start()) and not text[p - 1].isspace()]
 
 
+def decoded_bytes(enc: tiktoken.Encoding, ids: bytes) -> bytes:
+    return enc.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist())
+
+
 def encode(
     df: DataFrame,
     ranks_path: str,
@@ -53,9 +59,13 @@ def encode(
     chunk_chars: int = CHUNK_CHARS,
     overlaps: tuple[int, ...] = OVERLAPS,
     keep: dict[str, str] | None = None,
+    decoded: bool = False,
 ) -> DataFrame:
     """``(doc_id, n_tokens, ids)`` of every text; ``ids`` little-endian unsigned 32-bit integers.
 
+    With ``decoded``, the bytes that the ids decode to follow, as ``decode`` gives them, from the
+    Python worker that has just made the ids: a task then needs one worker, not two.
+
     Texts of at most ``chunk_chars`` are one chunk and are encoded where they are read. Longer ones
     are cut into overlapping chunks, pre-tokenised in parallel, spliced where the boundaries
     resynchronise, and the pieces encoded in parallel; only ids are brought together.
@@ -66,11 +76,13 @@ def encode(
 
     def run(batches):
         enc = encoding(ranks_path, pattern)
-        for pdf in batches:
+        for pdf in (b.iloc[at : at + HANDED_ROWS] for b in batches for at in range(0, len(b), HANDED_ROWS)):
             ids = [np.array(enc.encode_ordinary(t), dtype="<u4").tobytes() if t else b"" for t in pdf.text]
-            yield pdf.drop(columns="text").assign(n_tokens=[len(x) // 4 for x in ids], ids=ids)
+            out = pdf.drop(columns="text").assign(n_tokens=[len(x) // 4 for x in ids], ids=ids)
+            yield out.assign(decoded=[decoded_bytes(enc, x) for x in ids]) if decoded else out
 
-    keep = keep or {}
+    keep, made = keep or {}, ["ids", "decoded"] if decoded else ["ids"]
+    made_types = "n_tokens long, " + ", ".join(f"{c} binary" for c in made)
     docs = df.select(
         F.col(id_col).cast("long").alias("doc_id"),
         *[F.col(c).cast(t).alias(c) for c, t in keep.items()],
@@ -78,21 +90,19 @@ def encode(
     )
     size = F.length("text")
     also = "".join(f", {c} {t}" for c, t in keep.items())
-    short = docs.where(size <= chunk_chars).mapInPandas(run, f"doc_id long{also}, n_tokens long, ids binary")
+    short = docs.where(size <= chunk_chars).mapInPandas(run, f"doc_id long{also}, {made_types}")
     whole = docs.where(size > chunk_chars).withColumn("uid", F.monotonically_increasing_id())
     parts = owned_parts(
         whole.select("uid", "doc_id", "text"),
         lambda part: pre_token_bounds(part, pattern), chunk_chars, overlaps, MARGIN,
     )
-    encoded = parts.withColumnRenamed("part", "text").mapInPandas(
-        run, "uid long, doc_id long, i int, n_tokens long, ids binary"
-    )
+    encoded = parts.withColumnRenamed("part", "text").mapInPandas(run, f"uid long, doc_id long, i int, {made_types}")
     long = encoded.groupBy("uid", "doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"), F.expr("listagg(ids) WITHIN GROUP (ORDER BY i)").alias("ids")
+        F.sum("n_tokens").alias("n_tokens"), *[F.expr(f"listagg({c}) WITHIN GROUP (ORDER BY i)").alias(c) for c in made]
     )
     if keep:
         long = long.join(whole.select("uid", *keep), "uid")
-    return short.unionByName(long.select("doc_id", *keep, "n_tokens", "ids"))
+    return short.unionByName(long.select("doc_id", *keep, "n_tokens", *made))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -105,7 +115,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -
     def to_bytes(ids: pd.Series) -> pd.Series:
         enc = encoding(ranks_path, pattern)
         return pd.Series(
-            [None if x is None else enc.decode_bytes(np.frombuffer(x, dtype="<u4").tolist()) for x in ids], dtype=object
+            [None if x is None else decoded_bytes(enc, x) for x in ids], dtype=object
         )
 
     return df.withColumn("decoded", to_bytes(ids_col))
@@ -115,7 +125,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = decode(encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    out = encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True)
     return out.select(
         "doc_id",
         "n_tokens",

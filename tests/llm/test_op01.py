@@ -64,3 +64,14 @@ def test_very_long_text_at_the_default_chunk_size_keeps_its_place(spark):
     enc = op.encoding(path, pattern)
     assert len(long) > op.CHUNK_CHARS and bytes(got[7].ids) == __import__("numpy").array(enc.encode_ordinary(long), dtype="<u4").tobytes()
     assert got[8].n_tokens == len(enc.encode_ordinary("short")) and got[9].n_tokens == 0
+
+
+def test_decoded_beside_the_ids_from_one_worker(spark, tmp_path):
+    texts = [None, "", " ", awkward(2, 400), awkward(3, 900), "b" * 700, "Hello 日本", awkward(2, 400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in op.encode(df, PATH, P.PATTERN, chunk_chars=64, overlaps=(8, 24), decoded=True).collect()}
+    assert [bytes(got[i].ids) for i in range(len(texts))] == expected(texts)
+    assert [bytes(got[i].decoded).decode() for i in range(len(texts))] == [t or "" for t in texts]
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    plan = op.query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
