@@ -68,14 +68,78 @@ def _lengths(dictionary: bytes):
     return lambda ws: np.fromiter((len(compress(w)) for w in ws), dtype=np.int32, count=len(ws))
 
 
+def _at_each(text: bytes, k: int) -> np.ndarray:
+    """The ``k`` bytes (8 at most) at each place of a text, as a number."""
+    whole = np.ndarray((len(text),), dtype="<u8", buffer=text + bytes(8), strides=(1,))
+    return whole[: max(0, len(text) - k + 1)] & np.uint64((1 << 8 * k) - 1)
+
+
+class Telling:
+    """Whether a window holds a string that the toxic dictionary has and the ordinary one has not.
+
+    For dictionaries of which the toxic one is text of its own in front of the ordinary one's: there
+    a window without such a string finds the same matches, as near, in either, so its gain is 0. The
+    strings are the shortest from each place of the toxic text, of ``SPAN`` bytes at most; of longer
+    ones that stand for none that begins later, the first ``SPAN`` bytes are looked for.
+    """
+
+    LEAST, SPAN, BITS = 4, 8, 17  # no match is shorter than 4 bytes
+
+    def __init__(self, toxic: bytes, ordinary: bytes):
+        own, self.keys, self.marks = len(toxic) - len(ordinary), {}, {}
+        shared = np.ones(own, dtype=bool)  # places whose string of one byte less stands in the ordinary text
+        for k in range(self.LEAST, self.SPAN + 1):
+            here = _at_each(toxic[: own + k - 1], k)
+            here = np.append(here, np.zeros(own - len(here), dtype=here.dtype))  # the text may end before
+            there = np.isin(here, _at_each(ordinary, k))
+            there[max(0, len(toxic) - k + 1) :] = True
+            if k == self.SPAN:
+                there &= ~np.array([t and self._ends_alone(toxic, ordinary, i) for i, t in enumerate(there & shared)], dtype=bool)
+            self.keys[k] = np.unique(here[shared & ~there])
+            self.marks[k] = np.zeros(1 << self.BITS, dtype=bool)
+            self.marks[k][self._hash(self.keys[k])] = True
+            shared &= there
+
+    def _ends_alone(self, toxic: bytes, ordinary: bytes, at: int) -> bool:
+        end = at + self.SPAN + 1
+        while end <= len(toxic) and toxic[at:end] in ordinary:
+            end += 1
+        return end <= len(toxic) and toxic[at + 1 : end] in ordinary
+
+    def _hash(self, x: np.ndarray) -> np.ndarray:
+        return (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
+
+    def __call__(self, ws: list[bytes]) -> np.ndarray:
+        parts = [w[len(ANCHOR) :] + b"\n" * self.SPAN for w in ws]  # no string reaches into the next window
+        ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
+        text, found = b"".join(parts), np.zeros(len(ws), dtype=bool)
+        for k, keys in self.keys.items():
+            if len(keys):
+                here = _at_each(text, k)
+                at = np.flatnonzero(self.marks[k][self._hash(here)])
+                near = np.minimum(np.searchsorted(keys, here[at]), len(keys) - 1)
+                found[np.searchsorted(ends, at[keys[near] == here[at]], side="right")] = True
+        return found
+
+
 class Distance:
-    """By how many bytes the toxic dictionary shortens windows more than the ordinary one does."""
+    """By how many bytes the toxic dictionary shortens windows more than the ordinary one does.
+
+    Where the toxic dictionary goes on with the ordinary one, windows with nothing telling are not
+    compressed: they gain 0.
+    """
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.toxic, self.ordinary = _lengths(toxic), _lengths(ordinary)
+        self.telling = Telling(toxic, ordinary) if toxic.endswith(ordinary) else None
 
     def __call__(self, ws: list[bytes]) -> np.ndarray:
-        return self.ordinary(ws) - self.toxic(ws)
+        if self.telling is None or not ws:
+            return self.ordinary(ws) - self.toxic(ws)
+        at = np.flatnonzero(self.telling(ws))
+        told, out = [ws[i] for i in at], np.zeros(len(ws), dtype=np.int32)
+        out[at] = self.ordinary(told) - self.toxic(told)
+        return out
 
 
 class Remembered(dict):

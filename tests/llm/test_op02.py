@@ -70,3 +70,30 @@ def test_remembered_gains_are_the_gains():
     for t in texts * 2:
         ws = op.windows(t, 4)
         assert known.gains(ws).tolist() == distance(ws).tolist()
+
+
+def test_only_telling_windows_are_compressed(monkeypatch):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    said = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    base = said(1_500).encode()
+    own = base[200:260] + b" " + " ".join(BAD).encode() + b" " + base[900:1_000]
+    ws = [w for _ in range(300) for w in op.windows(said(8) + rng.choice(["", "", " " + rng.choice(BAD)]), 4)] + op.windows("ab x", 4)
+
+    def brute(w):
+        w = w[len(op.ANCHOR) :]
+        return any(w[i:j] in own + base and w[i:j] not in base for i in range(len(w)) for j in range(i + 4, len(w) + 1))
+
+    telling, done = op.Telling(own + base, base)(ws).tolist(), []
+    # none is passed over; a few more are taken for a long string's first bytes
+    assert all(t for w, t in zip(ws, telling) if brute(w))
+    assert sum(t and not brute(w) for w, t in zip(ws, telling)) < 0.1 * len(ws) and sum(telling) < 0.6 * len(ws)
+    distance = op.Distance(own + base, base)
+    whole = distance.ordinary(ws) - distance.toxic(ws)
+    toxic = distance.toxic
+    monkeypatch.setattr(distance, "toxic", lambda some: done.extend(some) or toxic(some))
+    assert distance(ws).tolist() == [g if t else 0 for g, t in zip(whole.tolist(), telling)]
+    assert done == [w for w, t in zip(ws, telling) if t] and max(g for g, t in zip(whole, telling) if not t) <= 0
+    for toxic_text, ordinary in ((b"", b""), (b"abc", b""), (b"abcde", b"cde"), (base, base), (b"xy" + base, base)):
+        d = op.Distance(toxic_text, ordinary)
+        assert len(d(ws)) == len(ws) and d([]).tolist() == []
