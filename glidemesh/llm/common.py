@@ -41,9 +41,10 @@ def ensure_checkpoint(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(_base(spark))
 
 
-def saved(df: DataFrame, folder: str) -> DataFrame:
+def saved(df: DataFrame, folder: str, compression: str | None = None) -> DataFrame:
     """Write a table in the shared folder and read it back, which cuts its lineage."""
-    df.write.mode("overwrite").parquet(folder)
+    writer = df.write.mode("overwrite")
+    (writer.option("compression", compression) if compression else writer).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -132,7 +132,7 @@ def line_classes(df: DataFrame, p: LineParams = LineParams(), id_col: str = "doc
 
     Each distinct line is split into ``edits`` + 1 segments, of which one at least survives so many
     edits, and looked up under substrings of fitting lengths and places; copies are put together
-    before, so a line that a third of all texts hold is looked up once. Under keys of more than
+    before, once and for all steps, so a line that a third of all texts hold is looked up once. Under keys of more than
     ``hot_members`` lines a pair is only made if the counts of ``letters`` differ by two an edit at
     most, which no link exceeds. All candidates are verified by banded bit-parallel edit distance
     on whole lines.
@@ -141,10 +141,11 @@ def line_classes(df: DataFrame, p: LineParams = LineParams(), id_col: str = "doc
     lines = lines_of(with_uid(df, id_col, text_col), p)
     place = F.struct("doc_id", "uid", "line_no")
     distinct = lines.groupBy("h1", "h2").agg(
-        F.min(place).alias("first"), F.count("*").alias("copies"), F.first("line").alias("line")
+        F.min(place).alias("first"), F.count("*").alias("copies"), *([F.first("line").alias("line")] if p.edits else [])
     )
-    long = distinct.select("h1", "line", F.length("line").alias("n")).where(f"n >= {p.near_chars}")
+    distinct = saved(distinct, f"{at}/distinct", "zstd")
     if p.edits:
+        long = distinct.select("h1", "h2", "line", F.length("line").alias("n")).where(f"n >= {p.near_chars}")
         keyed = lambda sql: long.select(F.explode(F.expr(sql)).alias("key"), "h1", "line")
         index, probes = keyed(index_keys(p.edits)), keyed(probe_keys(p.edits))
         hot = index.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {p.hot_members}")
@@ -160,8 +161,7 @@ def line_classes(df: DataFrame, p: LineParams = LineParams(), id_col: str = "doc
         ids = candidates.select(F.col("a").alias("h1")).union(candidates.select("b")).distinct()
         if ids.count() <= p.broadcast_ids:
             ids = F.broadcast(ids)
-        texts = lines.where(F.length("line") >= p.near_chars).select("h1", "h2", "line").join(ids, "h1", "left_semi")
-        texts = saved(texts.groupBy("h1", "h2").agg(F.first("line").alias("line")), f"{at}/texts")
+        texts = saved(long.select("h1", "h2", "line").join(ids, "h1", "left_semi"), f"{at}/texts")
 
         @F.pandas_udf("boolean")
         def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -175,8 +175,7 @@ def line_classes(df: DataFrame, p: LineParams = LineParams(), id_col: str = "doc
         links = df.sparkSession.createDataFrame([], "a struct<h1:long,h2:long>, b struct<h1:long,h2:long>")
     comp = components(links).select("id.*", "component")
     degree = links.select("a").union(links.select("b")).toDF("id").groupBy("id").agg(F.count("*").alias("links")).select("id.*", "links")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-    told = firsts.join(comp.join(degree, ["h1", "h2"]), ["h1", "h2"], "left").where("copies > 1 or component is not null")
+    told = distinct.select("h1", "h2", "first", "copies").join(comp.join(degree, ["h1", "h2"]), ["h1", "h2"], "left").where("copies > 1 or component is not null")
     told = saved(told.withColumn("component", F.coalesce("component", F.struct("h1", "h2"))), f"{at}/told")
     heads = told.groupBy("component").agg(F.min("first").alias("class"))
     out = told.join(heads, "component").select("h1", "h2", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), "class")

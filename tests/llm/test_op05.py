@@ -103,3 +103,12 @@ def test_repeated_rows_count_once_and_blank_lines_stay(spark, tmp_path):
 def test_short_lines_are_matched_exactly(spark):
     df = spark.createDataFrame([(1, "ab\n}\nzz", "u"), (2, "ab\n}\nzy", "v")], "doc_id long, text string, _text string")
     assert [tuple(r) for r in op.dedup_lines(df).orderBy("doc_id").collect()] == [(1, "ab\n}\nzz", "u"), (2, "zy", "v")]
+
+
+@pytest.mark.parametrize("edits", [0, 2])
+def test_lines_are_put_together_once(spark, monkeypatch, edits):
+    plans, save = [], op.saved
+    monkeypatch.setattr(op, "saved", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or save(df, *a))
+    line = "this line is long enough to be matched with edits"
+    op.line_classes(spark.createDataFrame([(1, line), (2, line + "!")], "doc_id long, text string"), op.LineParams(edits=edits))
+    assert sum("posexplode" in plan for plan in plans) == 1
