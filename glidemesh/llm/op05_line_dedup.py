@@ -143,9 +143,11 @@ def line_classes(df: DataFrame, p: LineParams = LineParams(), id_col: str = "doc
     distinct = lines.groupBy("h1", "h2").agg(
         F.min(place).alias("first"), F.count("*").alias("copies"), *([F.first("line").alias("line")] if p.edits else [])
     )
+    if p.edits:  # counted once here, as every key asks for it several times over
+        distinct = distinct.withColumn("n", F.length("line"))
     distinct = saved(distinct, f"{at}/distinct", "zstd")
     if p.edits:
-        long = distinct.select("h1", "h2", "line", F.length("line").alias("n")).where(f"n >= {p.near_chars}")
+        long = distinct.select("h1", "h2", "line", "n").where(f"n >= {p.near_chars}")
         keyed = lambda sql: long.select(F.explode(F.expr(sql)).alias("key"), "h1", "line")
         index, probes = keyed(index_keys(p.edits)), keyed(probe_keys(p.edits))
         hot = index.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {p.hot_members}")
