@@ -56,3 +56,15 @@ def test_awkward_rows_and_order(spark, tmp_path):
     again.write.parquet(str(tmp_path / "e" / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "e" / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_last_stage_plans_the_mix_once(spark):
+    from glidemesh.llm import op04_mixing
+
+    rows = [(i, f"text {i} " * (i % 9), f"s{i % 3}") for i in range(60)] + [(7, "another", None), (None, None, "s1"), (99, "word " * 30_000, "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.encode(spark, docs, "")
+    got = sorted((r.doc_id or -1, r.slot, r.start) for r in out.collect())
+    assert got == sorted((r.doc_id or -1, r.slot, r.start) for r in op04_mixing.mix(docs).collect())
+    windows = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+    assert windows(out) <= windows(op04_mixing.mix(docs))
