@@ -84,3 +84,46 @@ def test_fixes_and_sites_at_one_place_are_counted_once(spark):
     assert rows(answers.all_answers(sites, fixes), "fix_id", "src_seq", "rank", "ratio") == rows(ranked, "fix_id", "src_seq", "rank", "ratio")
     rest = answers.rest_list(ranked, answers.top_picks(scored), 10)
     assert rows(answers.rest_answers(sites, fixes, n=10), "fix_id", "src_seq", "place") == rows(rest, "fix_id", "src_seq", "place")
+
+
+def test_lists_come_in_order_but_for_those_too_close_to_tell(spark):
+    """Before, each list was measured, rated and sorted again after the search, and rings went through files."""
+    rng = random.Random(8)
+    rows = [(i, 45 + rng.randint(-400, 400) / 1000, 7 + rng.randint(-400, 400) / 1000, rng.choice([None, 300.0, 900.0, 1500.0])) for i in range(300)]
+    rows += [(1000 + i, *rng.choice(rows)[1:]) for i in range(100)]  # copies, found out of order
+    # one site on either side of a fix, equally far and high: which is nearer only the columns tell
+    rows += [(2000, 10.0, 19.9, 300.0), (2001, 10.0, 20.1, 300.0), (None, 10.0, 20.2, 300.0), (2003, 10.0, 20.2, 300.0)]
+    sites = spark.createDataFrame(rows, "src_seq long, lat double, lon double, elev_m double")
+    at = [(i, 45 + rng.uniform(-0.5, 0.5), 7 + rng.uniform(-0.5, 0.5), rng.choice([None, 400.0, 1200.0, 2500.0])) for i in range(60)]
+    fixes = spark.createDataFrame([*at, (900, 10.0, 20.0, 2000.0)], "fix_id long, lat double, lon double, alt_m double")
+    with_kind = sites.selectExpr("*", "'x' kind", "'A' difficulty")
+    scored = answers.rank_answers(answers.score_pairs(with_kind, fixes))
+    for k in (7, 60, answers.EVERY):
+        lists = rings.first_around(sites, fixes, k, 60_000.0, 250.0, ordered=True)
+        got = {r.p.fix_id: ([y.src_seq for y in r.near], any(x.untold for x in r.parts)) for r in lists.collect()}
+        want = {}
+        for r in scored.where(f"rank <= {k}").orderBy("fix_id", "rank").collect():
+            want.setdefault(r.fix_id, []).append(r.src_seq)
+        sure = [f for f, (near, tied) in got.items() if not tied]
+        assert got[900][1] and all(got[f][0] == want.get(f, []) for f in sure)
+        assert len(sure) > 20 or k == answers.EVERY
+        cols = ["fix_id", "src_seq", "rank", "ratio", "distance_m"]
+        assert sorted(map(str, answers.best_answers(with_kind, fixes, k).select(cols).collect())) == sorted(map(str, scored.where(f"rank <= {k}").select(cols).collect()))
+
+
+def test_fixes_at_one_place_share_the_search_for_targets(spark, monkeypatch):
+    sites = spark.range(30).selectExpr("id AS src_seq", "45 + id / 100D AS lat", "7D AS lon", "CASE WHEN id % 5 = 0 THEN NULL ELSE 300D END AS elev_m", "'x' AS kind", "'A' AS difficulty")
+    fixes = spark.range(50).selectExpr("CASE WHEN id = 3 THEN NULL ELSE id % 40 END AS fix_id", "45.05D AS lat", "7D AS lon", "CASE WHEN id % 3 = 0 THEN NULL ELSE 2000D END AS alt_m")
+    asked, search = [], answers.first_around
+    monkeypatch.setattr(answers, "first_around", lambda s, p, *a, **k: (asked.append(p.count()), search(s, p, *a, **k))[1])
+    got = answers.targets_around(sites, fixes, 8)
+    want = answers.solve_targets(answers.best_answers(sites, fixes, 8), 8)
+    asked = asked[:1]
+    assert asked == [2] and got.count() > 20 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_rounded_as_by_decimal_numbers(spark):
+    rng = random.Random(1)
+    xs = [0.0005, 1.0005, 2.5, -0.0005, 1e12 + 0.5, 1.0004999999999999, None, float("nan"), *(rng.uniform(0, 1e4) for _ in range(2000)), *(i / 2000 for i in range(-50, 50))]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert df.where(~F.round("x", 3).eqNullSafe(answers._to_digits(F.col("x"), 3))).count() == 0
