@@ -280,7 +280,7 @@ add(
 )
 add(
     "W4_solve_targets",
-    lambda s, d: answers.solve_targets(answers.best_answers(sites(s, d), derive(s, d, fx.FIXES), 80)),
+    lambda s, d: answers.targets_around(sites(s, d), derive(s, d, fx.FIXES)),
     f"{SCORED} SELECT fix_id, count(*) AS targets, cast(round(least(greatest(max(d) * 1.5, 15000.0), 90000.0)) as bigint) AS radius_m FROM ranked WHERE rank <= 80 GROUP BY fix_id",
 )
 add(
