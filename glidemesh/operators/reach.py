@@ -13,8 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from glidemesh.operators.raster import NODATA
 from glidemesh.operators.resolve import ensure_checkpoints
@@ -231,35 +235,39 @@ def _segments(held: DataFrame, wanted: DataFrame, p: GlideParams, side: int) ->
     """Walk back from ``wanted(solve_id, tr, tc, target_id, r, c, rung, hop)`` through one tile each:
     the cells passed, and where the path comes from the tile beside it, that cell as ``r`` and ``c``."""
 
-    def run(key, tile: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def run(key: tuple[pa.Scalar, ...], tile: pa.Table, asked: pa.Table) -> pa.Table:
+        parts = []
         if len(tile) and len(asked):
-            x = next(tile.itertuples(index=False))
+            x = next(tile.to_pandas().itertuples(index=False))
             ground, rungs = _ground(x), len(p.ladder)
             dist, width = np.frombuffer(x.dist).reshape(rungs, -1), ground.elev.shape[1]
             own = _own(ground.elev.shape).ravel()
-            r, c = asked.r.to_numpy(int) - key[1] * side + RIM, asked.c.to_numpy(int) - key[2] * side + RIM
-            at = r * width + c
+            corner = [k.as_py() * side - RIM for k in key[1:]]
+            r, c, hop = (asked.column(n).to_numpy() for n in ("r", "c", "hop"))
+            at = (r - corner[0]) * width + c - corner[1]
             # the lowest rung that reaches; a later hop has its rung already
             reach = np.isfinite(dist[:, at])
-            rung = np.where(asked.hop > 0, asked.rung.fillna(0), np.where(reach.any(axis=0), reach.argmax(axis=0), -1)).astype(int)
+            rung = np.where(hop > 0, pc.fill_null(asked.column("rung"), 0).to_numpy(), np.where(reach.any(axis=0), reach.argmax(axis=0), -1))
             for k in np.unique(rung[rung >= 0]):
                 mine = np.flatnonzero(rung == k)
                 prev, walk = entered_from(dist[k], ground), [at[mine]]
                 while (on := (walk[-1] >= 0) & own[np.maximum(walk[-1], 0)]).any():
                     walk.append(np.where(on, prev[np.maximum(walk[-1], 0)], -1))
                 steps = np.stack(walk, axis=1)
-                for i, s in zip(mine.tolist(), steps):
-                    s = s[s >= 0]
-                    inside = own[s]
-                    rows, cols = s // width - RIM + key[1] * side, s % width - RIM + key[2] * side
-                    nodes = [{"r": a, "c": b} for a, b in zip(rows[inside].tolist(), cols[inside].tolist())]
-                    on = (int(rows[-1]), int(cols[-1])) if not inside[-1] else (None, None)
-                    out.append((key[0], asked.target_id.iloc[i], k, asked.hop.iloc[i], dist[k, at[i]], nodes, *on))
-        frame = pd.DataFrame(out, columns=["solve_id", "target_id", "rung", "hop", "length_m", "nodes", "r", "c"])
-        return frame.astype({"r": "Int64", "c": "Int64"})
-
-    return held.groupBy(*TILE).cogroup(wanted.groupBy(*TILE)).applyInPandas(run, SEGMENTS)
+                seen = steps >= 0
+                inside = seen & own[np.maximum(steps, 0)]
+                last = np.arange(len(mine)), seen.sum(axis=1) - 1
+                place = lambda s: [pa.array(i + o, pa.int64()) for i, o in zip(np.divmod(s, width), corner)]
+                nodes = pa.StructArray.from_arrays(place(steps[inside]), names=["r", "c"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(inside.sum(axis=1))]), pa.int32()), nodes)
+                leaves = [pc.if_else(pa.array(inside[last]), None, v) for v in place(steps[last])]
+                ids = [pa.repeat(key[0], len(mine)), asked.column("target_id").take(pa.array(mine)).combine_chunks(), pa.array(np.full(len(mine), k)), pa.array(hop[mine]), pa.array(dist[k, at[mine]])]
+                parts.append(pa.RecordBatch.from_arrays([v.cast(f.type) for v, f in zip([*ids, lists, *leaves], out)], schema=out))
+        return pa.Table.from_batches(parts, schema=out)
+
+    schema = StructType.fromDDL(SEGMENTS)
+    out = to_arrow_schema(schema)
+    return held.groupBy(*TILE).cogroup(wanted.groupBy(*TILE)).applyInArrow(run, schema)
 
 
 def reachability(grid: DataFrame, solves: DataFrame, targets: DataFrame, p: GlideParams = GlideParams(), side: int = 256) -> DataFrame:

@@ -9,14 +9,15 @@ nodes)`` with nodes as ``array<struct<r, c>>``.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from glidemesh.operators import walks
 from glidemesh.operators.raster import NODATA
-from glidemesh.operators.reach import NODES, GlideParams, headroom, reachability  # noqa: F401
+from glidemesh.operators.reach import GlideParams, headroom, reachability  # noqa: F401
 from glidemesh.operators.resolve import ensure_checkpoints
 
 METRES_PER_DEGREE = 111_320.0
@@ -78,13 +79,16 @@ def coverage(grid: DataFrame, windows: DataFrame) -> DataFrame:
     return windows.join(n, "solve_id", "left").select("solve_id", covered.alias("covered"), (covered / (F.col("rows") * F.col("cols"))).alias("coverage"))
 
 
-def _arrays(grid: pd.DataFrame, targets: pd.DataFrame, solve, p: GlideParams) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(grid: pa.Table, targets: pa.Table, solve: dict, p: GlideParams) -> tuple[np.ndarray, np.ndarray]:
     """Heights and floors of one window as dense arrays, NaN where there are none."""
-    g = grid[grid.elev != NODATA]
-    shape = tuple(int(max([solve[a], *grid[b], *targets[b]])) + 1 for a, b in (("r0", "r"), ("c0", "c")))
+    height = walks.numbers(grid.column("elev"))
+    at = [[walks.numbers(t.column(c)).astype(int) for c in ("r", "c")] for t in (grid, targets)]
+    is_known = height != NODATA
+    cells = [x[is_known] for x in at[0]]
+    shape = tuple(int(max([solve[a], *(x[i].max() for x in (cells, at[1]) if len(x[i]))])) + 1 for i, a in enumerate(("r0", "c0")))
     elev, floor = np.full(shape, np.nan), np.full(shape, np.nan)
-    elev[g.r.to_numpy(int), g.c.to_numpy(int)] = g.elev
-    np.fmin.at(floor, (targets.r.to_numpy(int), targets.c.to_numpy(int)), targets.elev_m.to_numpy(float) + p.margin_m)
+    elev[cells[0], cells[1]] = height[is_known]
+    np.fmin.at(floor, tuple(at[1]), walks.numbers(targets.column("elev_m")) + p.margin_m)
     return elev, floor
 
 
@@ -110,46 +114,91 @@ def score_paths(paths: DataFrame, grid: DataFrame, solves: DataFrame, targets: D
 def pull_strings(scored: DataFrame, grid: DataFrame, solves: DataFrame, targets: DataFrame, p: GlideParams = GlideParams()) -> DataFrame:
     """``paths`` whose runs of nodes are replaced by straight legs that stay within the path's own ratio.
 
-    From each node the farthest one is taken to which all straight legs up to it keep the ratio. The
-    walk along one path is sequential; a group is one solve's window and its paths.
+    From each node the farthest one is taken to which all straight legs up to it keep the ratio. A group
+    is one solve's window and its paths, which are walked side by side.
     """
 
-    def run(key, window: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    out = to_arrow_schema(StructType([scored.schema[c] for c in PATH] + [scored.schema["nodes"]]))
+
+    def run(window: pa.Table, rest: pa.Table) -> pa.Table:
+        parts = []
         if len(rest) and len(window):
-            solve = rest.iloc[0]
+            solve = {c: float(rest.column(c)[0].as_py()) for c in ("r0", "c0", "alt_m", "north_m", "east_m")}
             elev, floor = _arrays(window, rest, solve, p)
-            for x in rest[rest.nodes.notna()].itertuples(index=False):
-                nodes = np.array([(n["r"], n["c"]) for n in x.nodes], dtype=int)
-                kept, at, flown = [0], 0, 0.0
-                while at < len(nodes) - 1:
-                    at, flown = _farthest(elev, floor, solve, nodes, at, flown, x.ratio, p)
-                    kept.append(at)
-                out.append((solve.solve_id, x.target_id, [{"r": int(nodes[i][0]), "c": int(nodes[i][1])} for i in kept]))
-        return pd.DataFrame(out, columns=[*PATH, "nodes"])
+            mine = rest.select([*PATH, "nodes", "ratio"]).filter(rest.column("nodes").is_valid())
+            parts = [pa.RecordBatch.from_arrays(_pulled(elev, floor, solve, part, p, out), schema=out) for part in mine.to_batches(max_chunksize=walks.CHUNK) if len(part)]
+        return pa.Table.from_batches(parts, schema=out)
 
     asked = solves.join(targets, "solve_id").join(scored.where("ratio is not null").select(*PATH, "nodes", "ratio"), PATH, "left")
     asked = asked.select(*PATH, "r0", "c0", "alt_m", "north_m", "east_m", "r", "c", "elev_m", "nodes", "ratio")
-    return grid.groupBy("solve_id").cogroup(asked.groupBy("solve_id")).applyInPandas(run, f"solve_id long, target_id long, nodes {NODES}")
-
-
-def _farthest(elev, floor, solve, nodes: np.ndarray, at: int, flown: float, limit: float, p: GlideParams) -> tuple[int, float]:
-    """The farthest node from ``at`` on up to which every straight leg stays within a ratio, and the way
-    flown there; the next node in any case. All legs are walked at once, step by step of each."""
-    a, to = nodes[at], nodes[at + 1 :]
-    n = np.abs(to - a).max(axis=1)
-    leg = np.repeat(np.arange(len(to)), n)
-    s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
-    r, c = np.floor(a + (to[leg] - a) * s[:, None] / n[leg][:, None] + 0.5).astype(int).T
-    ends = flown + np.hypot((to - a)[:, 0] * solve.north_m, (to - a)[:, 1] * solve.east_m)
-    way = flown + (ends[leg] - flown) * s / n[leg]
-    room = headroom(solve.alt_m, elev[r, c], floor[r, c], way, p)
+    return grid.groupBy("solve_id").cogroup(asked.groupBy("solve_id")).applyInArrow(run, StructType([scored.schema[c] for c in PATH] + [scored.schema["nodes"]]))
+
+
+def _pulled(elev, floor, solve: dict, part: pa.RecordBatch, p: GlideParams, out: pa.Schema) -> list[pa.Array]:
+    """The ids and the nodes that are left of some paths, all walked at once, a leg of each at a time.
+
+    Legs that begin with the same way flown at one node and end at one node are walked once.
+    """
+    lists = part.column("nodes")
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(int)
+    flat = lists.flatten()
+    y, x = (walks.numbers(flat.field(i)).astype(int) for i in ("r", "c"))
+    first = np.cumsum(size) - size
+    limit = walks.numbers(part.column("ratio"))
+    kept = np.zeros(len(y), bool)
+    kept[first[size > 0]] = True
+    at, to, flown = first.copy(), first + 1, np.zeros(len(size))
+    end = first + size - 1
+    going = np.flatnonzero(to <= end)
+    width = int(elev.shape[1])
+    while len(going):
+        a, b, way = at[going], to[going], flown[going]
+        # the first leg from a node is taken in any case
+        free = b == a + 1
+        good = free.copy()
+        if not free.all():
+            asked = np.flatnonzero(~free)
+            legs = np.stack([way[asked], y[a[asked]] * width + x[a[asked]], y[b[asked]] * width + x[b[asked]]], axis=1)
+            _, one, same = np.unique(legs, axis=0, return_index=True, return_inverse=True)
+            i, j = a[asked[one]], b[asked[one]]
+            whole, before = _needed(elev, floor, solve, y[i], x[i], y[j], x[j], way[asked[one]], p)
+            need = np.where(b[asked] == end[going[asked]], before[same.ravel()], whole[same.ravel()])
+            good[asked] = need <= limit[going[asked]]
+        on = good & (b < end[going])
+        to[going[on]] += 1
+        # a path stops at the last node that it could reach, or at its end
+        stop = np.where(good, b, b - 1)[~on]
+        who = going[~on]
+        leg = np.hypot((y[stop] - y[at[who]]) * solve["north_m"], (x[stop] - x[at[who]]) * solve["east_m"])
+        flown[who] += leg
+        kept[stop] = True
+        at[who], to[who] = stop, stop + 1
+        going = going[to[going] <= end[going]]
+    left = np.bincount(np.repeat(np.arange(len(size)), size)[kept], minlength=len(size))
+    nodes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32()), flat.take(pa.array(np.flatnonzero(kept))))
+    return [part.column(c).cast(out.field(c).type) for c in PATH] + [nodes.cast(out.field("nodes").type)]
+
+
+def _needed(elev, floor, solve: dict, r0, c0, r1, c1, flown, p: GlideParams) -> tuple[np.ndarray, np.ndarray]:
+    """The largest ratio that any step of straight legs needs, over all steps and over all but the last."""
+    n = np.maximum(np.abs(r1 - r0), np.abs(c1 - c0))
+    leg = np.repeat(np.arange(len(n)), n)
+    begin = np.cumsum(n) - n
+    s = np.arange(n.sum()) - begin[leg] + 1
+    r = np.floor(r0[leg] + (r1 - r0)[leg] * s / n[leg] + 0.5).astype(int)
+    c = np.floor(c0[leg] + (c1 - c0)[leg] * s / n[leg] + 0.5).astype(int)
+    ends = flown + np.hypot((r1 - r0) * solve["north_m"], (c1 - c0) * solve["east_m"])
+    way = flown[leg] + (ends - flown)[leg] * s / n[leg]
+    room = headroom(solve["alt_m"], elev[r, c], floor[r, c], way, p)
     with np.errstate(divide="ignore", invalid="ignore"):
-        good = (room > 0) & (way / room <= limit)
-    arrives = (leg == len(to) - 1) & (s == n[leg])
-    fails = leg[~good & ~arrives & (leg > 0)]
-    best = fails.min() - 1 if len(fails) else len(to) - 1
-    return at + 1 + int(best), float(ends[best])
+        need = np.where(room > 0, way / room, np.inf)
+    whole, before = np.full(len(n), -np.inf), np.full(len(n), -np.inf)
+    some = n > 0
+    if some.any():
+        whole[some] = np.maximum.reduceat(need, begin[some])
+        need[(begin + n - 1)[some]] = -np.inf
+        before[some] = np.maximum.reduceat(need, begin[some])
+    return whole, before
 
 
 def refine_paths(paths: DataFrame, grid: DataFrame, solves: DataFrame, targets: DataFrame, p: GlideParams = GlideParams(), passes: int = 2) -> DataFrame:

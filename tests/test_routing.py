@@ -170,3 +170,48 @@ def test_labels_are_a_fixpoint_of_the_search_by_distance():
         want = search(elev, {}, (30, 30), ground.alt_m, ground.north_m, ground.east_m, ratio, 64)
         got = {(int(i) // 64, int(i) % 64): dist[k, i] for i in np.flatnonzero(np.isfinite(dist[k]))}
         assert set(got) == set(want) and all(got[c] == pytest.approx(d) for c, d in want.items())
+
+
+def test_all_paths_of_a_window_are_pulled_at_once(world):
+    """Against one path at a time; before, each path's legs were walked apart, as often as paths share them."""
+    cells, solves, targets, grid, s, t = world
+    scored = rt.score_paths(rt.reachability(grid, s, t), grid, s, t).where("ratio is not null")
+    got = {r.target_id: [tuple(n) for n in r.nodes] for r in rt.pull_strings(scored, grid, s, t).collect()}
+    paths, by_id, geo = scored.collect(), {x[1]: x for x in targets}, {x[0]: x for x in solves}
+
+    def needs(k, a, b, flown, arrives):
+        n, out, (_, _, _, alt, dy, dx) = max(abs(b[0] - a[0]), abs(b[1] - a[1])), [], geo[k]
+        way = flown + math.hypot((b[0] - a[0]) * dy, (b[1] - a[1]) * dx)
+        elev = {(r, c): e for q, r, c, e in cells if q == k}
+        floor = {}
+        for q, _, r, c, e in targets:
+            if q == k:
+                floor[r, c] = min(floor.get((r, c), math.inf), e + P.margin_m)
+        for i in range(1, n + (not arrives)):
+            cell = tuple(math.floor(u + (v - u) * i / n + 0.5) for u, v in zip(a, b))
+            here = flown + (way - flown) * i / n
+            h = room(elev, floor, alt, cell, here)
+            out.append(here / h if h > 0 else math.inf)
+        return max(out, default=-math.inf), way
+
+    assert len(got) == len(paths) > 15 and any(len(got[r.target_id]) < len(r.nodes) for r in paths)
+    for r in paths:
+        nodes, at, flown, kept = [tuple(n) for n in r.nodes], 0, 0.0, [tuple(r.nodes[0])]
+        while at < len(nodes) - 1:
+            to = at + 1
+            while to < len(nodes) - 1 and needs(r.solve_id, nodes[at], nodes[to + 1], flown, to + 1 == len(nodes) - 1)[0] <= r.ratio:
+                to += 1
+            flown, at = needs(r.solve_id, nodes[at], nodes[to], flown, False)[1], to
+            kept.append(nodes[at])
+        assert got[r.target_id] == kept and kept[-1] == by_id[r.target_id][2:4]
+
+
+def test_legs_that_paths_share_are_walked_once(monkeypatch):
+    """One hundred targets beside each other, with one path: before, its legs were walked for each of them."""
+    asked = []
+    part = rt.pa.RecordBatch.from_arrays([rt.pa.array([0] * 100), rt.pa.array(range(100)), rt.pa.array([[{"r": i, "c": 0} for i in range(9)]] * 100), rt.pa.array([50.0] * 100)], names=["solve_id", "target_id", "nodes", "ratio"])
+    needed = rt._needed
+    monkeypatch.setattr(rt, "_needed", lambda *a: (asked.append(len(a[3])), needed(*a))[1])
+    flat = np.zeros((10, 2))
+    got = rt._pulled(flat, np.full((10, 2), np.nan), {"alt_m": 2000.0, "north_m": 100.0, "east_m": 100.0}, part, P, part.schema)
+    assert got[2].to_pylist() == [[{"r": 0, "c": 0}, {"r": 8, "c": 0}]] * 100 and sum(asked) == 7
