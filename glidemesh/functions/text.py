@@ -134,8 +134,13 @@ def directions_conflict(a, b) -> Column:
     return (F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)
 
 
+def words(c) -> Column:
+    """The different words of a text."""
+    return F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+
+
 def token_jaccard(a, b) -> Column:
-    x, y = (F.array_distinct(F.filter(F.split(s, " "), lambda w: w != "")) for s in (a, b))
+    x, y = words(a), words(b)
     union = F.size(F.array_union(x, y))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
 

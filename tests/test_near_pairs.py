@@ -105,3 +105,22 @@ def test_duplicate_links_join_what_all_pairs_join(spark):
     assert groups(resolve.duplicate_links(df)) == groups(resolve.duplicate_pairs(df))
     copies = spark.range(400).selectExpr("id as src_seq", "45D as lat", "7D as lon", "500D as elev_m", "10D as heading_deg", "'Alp' as name")
     assert resolve.duplicate_links(copies).count() == 2 * 399
+
+
+def test_names_are_made_ready_in_all_tasks_and_words_seldom_compared(spark, monkeypatch):
+    """Before, sites of one file were spread over 49 cells each by one task, and all neighbours' names were cut into words."""
+    rng = random.Random(3)
+    word = ["alp", "feld", "nord", "sud", "wiese", "see", "piste", "1", "2", "lac", "grand", "petit"]
+    rows = [(i, 45 + rng.uniform(0, 0.01), 7 + rng.uniform(0, 0.01), rng.choice([None, 500.0, 900.0]), rng.choice([None, 10.0, 200.0]), " ".join(rng.sample(word, rng.randint(1, 5)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "src_seq long, lat double, lon double, elev_m double, heading_deg double, name string").coalesce(1)
+    got = resolve.duplicate_pairs(df)
+    x, y = (resolve._named(df).select(F.struct("*").alias(n)) for n in "xy")
+    d = resolve.geo.haversine_m(*[F.col(f"{n}.{c}") for n in "xy" for c in ("lat", "lon")])
+    each = x.crossJoin(y).withColumn("d", d).where("x.src_seq < y.src_seq and d <= 800")
+    like = lambda s, t: text.token_jaccard(F.col(f"x.{s}"), F.col(f"y.{s}")) >= t
+    for name, least in (("mn", 0.62), ("mb", 0.85)):
+        assert each.where(resolve._alike(name, least) != like(name, least)).count() == 0
+    want = each.where(F.coalesce(resolve.same_strip(), F.lit(False)) | resolve._same_name(resolve.DuplicateBounds()))
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted((r.a, r.b) for r in want.selectExpr("x.src_seq a", "y.src_seq b").collect()) and got.count() > 100
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") >= 2
