@@ -85,3 +85,20 @@ def test_running_totals_over_all_levels(spark):
     half = total // 2
     assert {(r.k, r.i): r.total for r in totals.running_totals(df, "k", ["i"], "v", half).collect()} == {k: t for k, t in want.items() if t <= half}
     assert totals.running_totals(df.limit(0), "k", ["i"], "v").count() == 0
+
+
+def test_no_text_is_shuffled_for_each_language(spark):
+    """Before, notes were dealt three times over by their whole texts, and each part six times for every language."""
+    df = spark.createDataFrame([(1, "a\nb: c"), (1, "a\nz"), (2, "whole"), (None, "whole"), (3, None), (4, "")], "note_id long, text string")
+    tm = spark.createDataFrame([("en", "a", "A"), ("fr", "whole", "TOUT"), ("de", "c", "C"), ("de", "c", "K"), ("it", "a", "I"), ("en", "b:", None)], "lang string, norm string, translation string")
+    got = notes.translate_notes(df, tm, ["en", "fr", "de"])
+    rows = {(r.note_id, r.lang, r.text, r.whole, r.hits, r.fallbacks) for r in got.where("note_id is null or note_id <> 1").collect()}
+    assert rows == {
+        (2, "fr", "TOUT", True, 1, 0), (2, "en", "whole", False, 0, 1), (2, "de", "whole", False, 0, 1),
+        (None, "fr", "TOUT", True, 1, 0), (None, "fr", "TOUT", False, 1, 0), (None, "en", "whole", False, 0, 1), (None, "de", "whole", False, 0, 1),
+        (4, "en", "", False, 0, 0), (4, "fr", "", False, 0, 0), (4, "de", "", False, 0, 0),
+    }
+    one = {r.lang: (r.hits, r.fallbacks) for r in got.where("note_id = 1").collect()}
+    assert one == {"en": (2, 3), "fr": (0, 5), "de": (2, 4)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(langs") < plan.index("RepartitionByExpression")
